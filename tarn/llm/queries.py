@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from ._common import table
 from .content_sort import content_sort
+from .packing import pack_documents
+from .token_counts import token_counts
+
+
+def op1_vector_best_fit(spark, sf_dir):
+    """Every piece's place in sequences of at most 1024 tokens; capacities for documents and attention are those that 1024 tokens imply."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op8_content_sort(spark, sf_dir):
@@ -16,5 +25,13 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM t"""
 
-QUERIES = {"op8_content_sort": op8_content_sort}
+def op10_pretoken_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    "op1_vector_best_fit": op1_vector_best_fit,
+    "op8_content_sort": op8_content_sort,
+    "op10_pretoken_counts": op10_pretoken_counts,
+}
 ORACLE_SQL = {"op8_content_sort": OP8_SQL}
