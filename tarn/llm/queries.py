@@ -6,6 +6,7 @@ import public_tokenizers
 
 from ._common import table
 from .content_sort import content_sort
+from .lines import dedup_lines
 from .packing import pack_documents
 from .token_counts import token_counts
 
@@ -25,6 +26,20 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM t"""
 
+def op9_reversible_lines(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keyed AS (SELECT *, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+held AS (SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT keyed.*, held.k IS NOT NULL AND doc_id <> first AS gone FROM keyed LEFT JOIN held ON keyed.k = held.k)
+SELECT doc_id, count(*) AS n_lines, cast(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
 def op10_pretoken_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -32,6 +47,7 @@ def op10_pretoken_counts(spark, sf_dir):
 QUERIES = {
     "op1_vector_best_fit": op1_vector_best_fit,
     "op8_content_sort": op8_content_sort,
+    "op9_reversible_lines": op9_reversible_lines,
     "op10_pretoken_counts": op10_pretoken_counts,
 }
-ORACLE_SQL = {"op8_content_sort": OP8_SQL}
+ORACLE_SQL = {"op8_content_sort": OP8_SQL, "op9_reversible_lines": OP9_SQL}
