@@ -45,17 +45,12 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         base = base.withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("_id"), F.col("_salts")))).drop("_salts")
     else:
         base = base.withColumn("_salt", F.lit(-1).cast("long"))
-    dealt = base.withColumn("_p", F.substring("_t", 1, PREFIX)).repartitionByRange(n, "_p", "_h", "_salt")
-    # the range partitioning satisfies the window's clustering: no second exchange
-    run = Window.partitionBy("_p", "_h", "_salt", "_t")
-    runs = dealt.select(
-        "_id", "_salt",
-        F.sha2("_t", 256).alias("text_sha256"),
-        F.min("_id").over(run).alias("_min"),
-        F.count(F.lit(1)).over(run).alias("_n"),
-        (F.row_number().over(run.orderBy(F.col("_id").asc_nulls_last())) == 1).alias("_head"),
-        "_t",
-    )
+    # the range partitioning satisfies the windows' clustering, and the first window's sort serves both
+    key = ["_p", "_h", "_salt"] if heavy else ["_p", "_h"]
+    dealt = base.withColumn("_p", F.substring("_t", 1, PREFIX)).repartitionByRange(n, *key)
+    run = Window.partitionBy(*key, "_t")
+    runs = dealt.withColumn("_head", F.row_number().over(run.orderBy(F.col("_id").asc_nulls_last())) == 1)
+    runs = runs.select("_id", "_salt", F.sha2("_t", 256).alias("text_sha256"), F.min("_id").over(run).alias("_min"), F.count(F.lit(1)).over(run).alias("_n"), "_head", "_t")
     if not heavy:
         return runs.select(F.col("_id").alias(id_col), F.col("_min").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_head").alias("kept"), "text_sha256")
     runs = materialise(runs.withColumn("_t", F.when(F.col("_head") & (F.col("_salt") >= 0), F.col("_t"))), "content-sort")

@@ -7,6 +7,7 @@ import public_tokenizers
 from ._common import table
 from .content_sort import content_sort
 from .lines import dedup_lines
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .token_counts import token_counts
 
@@ -16,6 +17,28 @@ def op1_vector_best_fit(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_bbit_minhash(spark, sf_dir):
+    """Near duplicates at a similarity of 85 in 100 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=(85, 100))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id) LEFT JOIN size USING (doc_id)"""
+
+
 def op8_content_sort(spark, sf_dir):
     return content_sort(table(spark, sf_dir, "documents"))
 
@@ -46,8 +69,9 @@ def op10_pretoken_counts(spark, sf_dir):
 
 QUERIES = {
     "op1_vector_best_fit": op1_vector_best_fit,
+    "op2_bbit_minhash": op2_bbit_minhash,
     "op8_content_sort": op8_content_sort,
     "op9_reversible_lines": op9_reversible_lines,
     "op10_pretoken_counts": op10_pretoken_counts,
 }
-ORACLE_SQL = {"op8_content_sort": OP8_SQL, "op9_reversible_lines": OP9_SQL}
+ORACLE_SQL = {"op2_bbit_minhash": OP2_SQL, "op8_content_sort": OP8_SQL, "op9_reversible_lines": OP9_SQL}
