@@ -6,6 +6,7 @@ import public_tokenizers
 
 from ._common import table
 from .content_sort import content_sort
+from .decontaminate import decontaminate
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -39,6 +40,31 @@ SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, r.component_id, d.doc_id = r
 FROM documents d JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id) LEFT JOIN size USING (doc_id)"""
 
 
+def op3_wu_manber(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+OP3_SQL = r"""
+WITH split AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+item AS (
+  SELECT DISTINCT id AS item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, least(13, len(w)) AS m FROM split WHERE kind = 'b' AND len(w) > 0))),
+size AS (SELECT DISTINCT m FROM item),
+win AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT id AS doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM split, size WHERE kind = 'd' AND len(w) >= m)),
+occurs AS (SELECT DISTINCT doc_id, item.m, i, item_id FROM win JOIN item ON win.win = item.win AND win.m = item.m),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM occurs) GROUP BY doc_id),
+held AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, cast(item_id AS VARCHAR) AS item FROM occurs) GROUP BY doc_id)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(held.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM split LEFT JOIN hit ON id = hit.doc_id LEFT JOIN held ON id = held.doc_id WHERE kind = 'd'"""
+
+
 def op8_content_sort(spark, sf_dir):
     return content_sort(table(spark, sf_dir, "documents"))
 
@@ -70,8 +96,9 @@ def op10_pretoken_counts(spark, sf_dir):
 QUERIES = {
     "op1_vector_best_fit": op1_vector_best_fit,
     "op2_bbit_minhash": op2_bbit_minhash,
+    "op3_wu_manber": op3_wu_manber,
     "op8_content_sort": op8_content_sort,
     "op9_reversible_lines": op9_reversible_lines,
     "op10_pretoken_counts": op10_pretoken_counts,
 }
-ORACLE_SQL = {"op2_bbit_minhash": OP2_SQL, "op8_content_sort": OP8_SQL, "op9_reversible_lines": OP9_SQL}
+ORACLE_SQL = {"op2_bbit_minhash": OP2_SQL, "op3_wu_manber": OP3_SQL, "op8_content_sort": OP8_SQL, "op9_reversible_lines": OP9_SQL}
