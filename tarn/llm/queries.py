@@ -10,7 +10,9 @@ from .decontaminate import decontaminate
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .token_counts import token_counts
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_vector_best_fit(spark, sf_dir):
@@ -65,6 +67,16 @@ SELECT id AS doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(he
 FROM split LEFT JOIN hit ON id = hit.doc_id LEFT JOIN held ON id = held.doc_id WHERE kind = 'd'"""
 
 
+def op4_subword_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_pu_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_content_sort(spark, sf_dir):
     return content_sort(table(spark, sf_dir, "documents"))
 
@@ -97,6 +109,8 @@ QUERIES = {
     "op1_vector_best_fit": op1_vector_best_fit,
     "op2_bbit_minhash": op2_bbit_minhash,
     "op3_wu_manber": op3_wu_manber,
+    "op4_subword_quality": op4_subword_quality,
+    "op5_pu_toxicity": op5_pu_toxicity,
     "op8_content_sort": op8_content_sort,
     "op9_reversible_lines": op9_reversible_lines,
     "op10_pretoken_counts": op10_pretoken_counts,
