@@ -13,6 +13,7 @@ from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .token_counts import token_counts
 from .toxicity import fit_toxicity, score_toxicity
+from .url_rules import judge_urls
 
 
 def op1_vector_best_fit(spark, sf_dir):
@@ -77,6 +78,10 @@ def op5_pu_toxicity(spark, sf_dir):
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_fp_url_rules(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_content_sort(spark, sf_dir):
     return content_sort(table(spark, sf_dir, "documents"))
 
@@ -111,6 +116,7 @@ QUERIES = {
     "op3_wu_manber": op3_wu_manber,
     "op4_subword_quality": op4_subword_quality,
     "op5_pu_toxicity": op5_pu_toxicity,
+    "op7_fp_url_rules": op7_fp_url_rules,
     "op8_content_sort": op8_content_sort,
     "op9_reversible_lines": op9_reversible_lines,
     "op10_pretoken_counts": op10_pretoken_counts,
