@@ -8,6 +8,7 @@ from ._common import table
 from .content_sort import content_sort
 from .decontaminate import decontaminate
 from .lines import dedup_lines
+from .lm import lm_scores
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
@@ -78,6 +79,10 @@ def op5_pu_toxicity(spark, sf_dir):
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_elias_fano_lm(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_fp_url_rules(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -116,6 +121,7 @@ QUERIES = {
     "op3_wu_manber": op3_wu_manber,
     "op4_subword_quality": op4_subword_quality,
     "op5_pu_toxicity": op5_pu_toxicity,
+    "op6_elias_fano_lm": op6_elias_fano_lm,
     "op7_fp_url_rules": op7_fp_url_rules,
     "op8_content_sort": op8_content_sort,
     "op9_reversible_lines": op9_reversible_lines,
