@@ -29,7 +29,7 @@ from .token_counts import _frequency
 
 END, BEGIN = 0x9AE16A3B2F90404F, 0xC949C7DEFE8A21B5
 #: m(v): for words that aren't broadcast, and factor and power of c(v) for those that are.
-RARE_WEIGHT, WEIGHT, POWER = 3.0, 1.5, 0.9
+RARE_WEIGHT, WEIGHT, POWER = 6.0, 3.0, 0.9
 #: Tokens that a task turns into blocks at a time.
 BLOCK_TOKENS = 1 << 20
 U64 = np.uint64

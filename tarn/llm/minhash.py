@@ -245,6 +245,12 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), siz
     return joined.select(F.col("id").cast(id_type).alias(id_col), "n_shingles", component.cast(id_type).alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs that ``near_duplicates`` keeps, as they are."""
+    gone = near_duplicates(docs, id_col=id_col, **how).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def _confirmed(spark: SparkSession, members: DataFrame, docs: DataFrame, threshold: tuple[int, int], size: int, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between members of one cluster, confirmed on their full sets: a spanning forest for each pair of blocks."""
     import pyarrow as pa

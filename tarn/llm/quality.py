@@ -128,6 +128,38 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
     return train(features_of(docs, ids, id_col, text_col))
 
 
+class Scorer:
+    """Scores of whole texts; what a word adds is summed once and kept."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.words = WordNumbers(lambda w: (float(model.features[f := word_features(w)].sum()), len(f)))
+
+    def score(self, text: str | None) -> float:
+        n = self.words.numbers((text or "").split())
+        z = self.model.bias
+        if len(n):
+            which, often = np.unique(n, return_counts=True)
+            sums = np.array([self.words.rows[i] for i in which.tolist()])
+            same = 16.0 * int((n[1:] == n[:-1]).sum())
+            z += float(often @ sums[:, 0] + same * self.model.features[REPEAT]) / float(often @ sums[:, 1] + same)
+        return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
+
+
+def keep_quality(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score at least ``least``, as they are."""
+    import pyarrow as pa
+
+    known, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def keep(batches):
+        scorer = Scorer(known.value)
+        for batch in bounded_batches(batches):
+            yield batch.filter(pa.array([scorer.score(t) >= least for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score_quality(docs: DataFrame, model: Model, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, score (probability of label 1), predicted (score >= 0.5).
 
@@ -139,19 +171,9 @@ def score_quality(docs: DataFrame, model: Model, folds: int = 3, held_out: int =
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        m = known.value
-        words = WordNumbers(lambda w: (float(m.features[f := word_features(w)].sum()), len(f)))
+        scorer = Scorer(known.value)
         for batch in bounded_batches(batches):
-            out = []
-            for text in batch.column(1).to_pylist():
-                n = words.numbers((text or "").split())
-                z = m.bias
-                if len(n):
-                    which, often = np.unique(n, return_counts=True)
-                    sums = np.array([words.rows[i] for i in which.tolist()])
-                    same = 16.0 * int((n[1:] == n[:-1]).sum())
-                    z += float(often @ sums[:, 0] + same * m.features[REPEAT]) / float(often @ sums[:, 1] + same)
-                out.append(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
+            out = [scorer.score(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], names=[id_col, "held_out", "score", "predicted"])
 
     held = F.coalesce(crc_fold(F.col(id_col), folds) == held_out, F.lit(False))

@@ -57,10 +57,22 @@ def count_pieces(model_path: str, units: list[str]) -> np.ndarray:
     return np.array([len(ids) - (0 if m and len(u) > 1 else 2) for ids, u, m in zip(got, units, marked, strict=True)], dtype=np.int64)
 
 
+def _frequency(words: DataFrame, most: int) -> int:
+    """The least frequency, of a scale of 16 steps an octave, that at most ``most`` pre-tokens reach."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, total = None, 0
+    for r in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):  # at most 16 * 63 rows
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    return 1 << 62 if least is None else int(np.ceil(2 ** (least / 16) - 1e-9))
+
+
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, frequent: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    The ``frequent`` most frequent pre-tokens, a fixed number, are joined by broadcast within each document; all others
+    The most frequent pre-tokens, at most ``frequent`` of them, are joined by broadcast within each document; all others
     by a shuffle of (row, pre-token, frequency), which by their rarity holds no hot key. Null and empty texts have no
     tokens; null and repeated ids stay as they are, each row a document of its own; an empty table gives an empty
     result; other columns of docs are not read.
@@ -94,7 +106,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, frequent:
 
     words = texts.mapInArrow(vocabulary, "unit string, n long").where("unit != ''").groupBy("unit").agg(F.sum("n").alias("n"))
     words = materialise(words.mapInArrow(pieces, "unit string, n long, pieces long"), "pre-tokens")
-    top = words.orderBy(F.desc("n"), "unit").limit(frequent).select("unit", "pieces").toPandas()
+    top = words.where(F.col("n") >= _frequency(words, frequent)).select("unit", "pieces").toPandas().sort_values("unit")
     known = spark.sparkContext.broadcast((pa.array(top["unit"], pa.string()), top["pieces"].to_numpy(dtype=np.int64)))
     id_type = docs.schema[id_col].dataType.simpleString()
 
