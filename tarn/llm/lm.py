@@ -11,7 +11,8 @@ for bigrams never seen. The first two come from word counts. The gains are the t
 Words are 64-bit hashes. The most frequent ones, of a bounded number, are broadcast with their counts. Every document's
 distinct bigrams go once, as compressed blocks, to the shard of their bigram (frequent words, which are thereby spread)
 or of their word (all others, whose counts the shard can then add up itself). The shard counts, builds its trie in a
-mapped file, looks its bigrams up, and returns sums by document. Nothing is pruned, capped or sampled.
+mapped file, looks its bigrams up, and returns its sums by document as one row for each block they came from, so that
+what goes back are blocks too, and not a row for each document and shard. Nothing is pruned, capped or sampled.
 """
 
 from __future__ import annotations
@@ -163,7 +164,8 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
     top = counts.where(F.col("n") >= _frequency(counts, frequent)).toPandas()
     known = spark.sparkContext.broadcast(Unigrams(top["h"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), total, distinct))
     shards = 2 * partitions(spark)
-    sums = f"row long, doc {id_type}, held boolean, n_tokens long, n_known long, base double, score double"
+    # a document's own row has its numbers; a row with data has a shard's records of one block, or its sums for one
+    sums = f"block long, data binary, row long, doc {id_type}, held boolean, n_tokens long, n_known long, base double, score double"
 
     def deal(batches):
         uni, words = known.value, WordHashes()
@@ -189,7 +191,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
             score = base + np.bincount(row, before, len(sizes))
             seen = np.bincount(row, cw > 0, len(sizes)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array((task + start + np.arange(len(sizes))) % shards, pa.int32()), pa.nulls(len(sizes), pa.binary()), pa.array(task + start + np.arange(len(sizes))),
+                pa.array((task + start + np.arange(len(sizes))) % shards, pa.int32()), pa.array([task + start] * len(sizes), pa.int64()), pa.nulls(len(sizes), pa.binary()), pa.array(np.arange(len(sizes))),
                 pa.array(ids, id_arrow), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(seen), pa.array(base), pa.array(score),
             ], names=names)
             pair = scramble(w * U64(0x9E3779B97F4A7C15) ^ v)
@@ -206,9 +208,9 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
                 blocks.append(encode(w[o], v[o], kind[o], coded[o], n[o]))
                 of.append(s)
             k = len(of)
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(blocks, pa.binary()), pa.array([task + start] * k, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([task + start] * k, pa.int64()), pa.array(blocks, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
-        names, id_arrow = ["shard", "data", "row", "doc", "held", "n_tokens", "n_known", "base", "score"], None
+        names, id_arrow = ["shard", "block", "data", "row", "doc", "held", "n_tokens", "n_known", "base", "score"], None
         for batch in bounded_batches(batches, 64):
             id_arrow = batch.schema.field(0).type
             for doc, text, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -220,24 +222,28 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
         if docs:
             yield from out()
 
+    names = ["block", "data", "row", "doc", "held", "n_tokens", "n_known", "base", "score"]
+
     def score(batches):
         import pyarrow.compute as pc
 
         uni, now, records, folder = known.value, None, [], tempfile.gettempdir()
         id_arrow = None
-        names = ["row", "doc", "held", "n_tokens", "n_known", "base", "score"]
 
         def out():
-            rows, seen, base, total = _shard(records, uni, folder)
-            k = len(rows)
-            return pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), pa.array(np.zeros(k, np.int64)), pa.array(seen), pa.array(base), pa.array(total)], names=names)
+            rows, seen, base, total = _shard([r[1:] for r in records], uni, folder)
+            blocks = np.unique([r[0] for r in records])
+            bounds = np.append(np.searchsorted(rows, blocks), len(rows))
+            parts = [b"".join(((rows[i:j] - at).astype(np.uint32).tobytes(), seen[i:j].astype(np.uint32).tobytes(), base[i:j].tobytes(), total[i:j].tobytes())) for at, i, j in zip(blocks, bounds, bounds[1:], strict=False)]
+            k = len(blocks)
+            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(parts, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
         for batch in bounded_batches(batches, 64):
-            id_arrow = batch.schema.field(3).type
-            whole = batch.filter(pc.is_null(batch.column(1)))
+            id_arrow = batch.schema.field("doc").type
+            whole = batch.filter(pc.is_null(batch.column("data")))
             if whole.num_rows:
-                yield pa.RecordBatch.from_arrays([whole.column(i) for i in range(2, 9)], names=names)
-            for shard, data, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([whole.column(n) for n in names], names=names)
+            for shard, block, data in zip(*(batch.column(n).to_pylist() for n in ("shard", "block", "data")), strict=True):
                 if data is None:
                     continue
                 if shard != now and records:
@@ -245,10 +251,47 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
                     records = []
                 now = shard
                 w, v, kind, row, n = decode(data)
-                records.append((w, v, kind, start + (row & np.uint32(0x7FFFFFFF)).astype(np.int64), n.astype(np.int64), row >> np.uint32(31) > 0))
+                records.append((block, w, v, kind, block + (row & np.uint32(0x7FFFFFFF)).astype(np.int64), n.astype(np.int64), row >> np.uint32(31) > 0))
         if records:
             yield out()
 
-    dealt = texts.mapInArrow(deal, f"shard int, data binary, {sums}").repartition(shards, "shard").sortWithinPartitions("shard")
-    by_row = dealt.mapInArrow(score, sums).groupBy("row").agg(F.max("doc").alias(id_col), F.max("held").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return by_row.select(id_col, "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    def gather(batches):
+        """A block's documents with what all shards have for them; a block holds BLOCK_TOKENS tokens, about."""
+        now, own, parts = None, [], []
+        out_names = [id_col, "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+        def out():
+            merged = pa.Table.from_batches(own).sort_by("row").combine_chunks()
+            n = merged.num_rows
+            seen, base, score = (merged[c].to_numpy().copy() for c in ("n_known", "base", "score"))
+            for data in parts:
+                k = len(data) // 24
+                at = np.frombuffer(data, np.uint32, k)  # each document once
+                seen[at] += np.frombuffer(data, np.uint32, k, 4 * k)
+                base[at] += np.frombuffer(data, np.float64, k, 8 * k)
+                score[at] += np.frombuffer(data, np.float64, k, 16 * k)
+            cols = [merged["doc"].combine_chunks(), merged["held"].combine_chunks(), merged["n_tokens"].combine_chunks(), pa.array(seen), pa.array(base), pa.array(score)]
+            return [pa.RecordBatch.from_arrays([c.slice(i, 4096) for c in (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols)], names=out_names) for i in range(0, n, 4096)]
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j == i:
+                    continue
+                piece = batch.slice(i, j - i)
+                if (block := int(blocks[i])) != now and own:
+                    yield from out()
+                    own, parts = [], []
+                now = block
+                data = piece.column("data").to_pylist()
+                parts += [d for d in data if d is not None]
+                if None in data:
+                    own.append(piece.filter(pa.array([d is None for d in data])).select(["row", "doc", "held", "n_tokens", "n_known", "base", "score"]))
+        if own:
+            yield from out()
+
+    dealt = texts.mapInArrow(deal, f"shard int, {sums}").repartition(shards, "shard").sortWithinPartitions("shard")
+    scored = dealt.mapInArrow(score, sums).repartition(partitions(spark), "block").sortWithinPartitions("block")
+    final = scored.mapInArrow(gather, f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return final.select(id_col, "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
