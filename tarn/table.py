@@ -20,7 +20,7 @@ from .operators.commit import CommitProperties, Hooks, PostCommit, Reads, commit
 from .operators.writer import CHANGE, check_schema_allowed, checked, conform, predicate_of, protocol_for, session, write_files
 from .sources.cdf import load_cdf
 from .sources.deletion_vectors import deleted_rows
-from .sources.scan import exact_partitions, prune, scan
+from .sources.scan import FILE, ROW, exact_partitions, prune, scan
 from .sources.snapshot import Log, Metadata, Protocol, Snapshot, TableError, TableNotFound, physical_name, relative, stats_of
 from .sources.store import LOG, Store, uri_of
 
@@ -151,7 +151,7 @@ class Table:
             for x in (p, q):
                 df = df.where(x.column) if x is not None else df
             if identity:
-                extra = [F.col("__tarn_file").alias(file_column)] * bool(file_column) + [F.col("__tarn_row").alias(row_column)] * bool(row_column)
+                extra = [F.col(a).alias(b) for a, b in ((FILE, file_column), (ROW, row_column)) if b]
                 df = df.select(*[F.col(f"`{c}`") for c in schema.names], *extra)
             return df.select(*columns) if columns else df
 
