@@ -114,7 +114,8 @@ class Trie:
         """From rows sorted by (word, context), each once; contexts below 2**32, words below 2**40."""
         first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.empty(0, np.int64)
         number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
-        book = np.unique(np.quantile(values, (np.arange(256) + 0.5) / 256)) if len(values) else np.zeros(1)
+        # half of the codes where most values are, half evenly over all: no value is far from its code
+        book = np.unique(np.concatenate([np.quantile(values, (np.arange(128) + 0.5) / 128), np.linspace(values.min(), values.max(), 128)])) if len(values) else np.zeros(1)
         codes = np.searchsorted((book[1:] + book[:-1]) / 2, values).astype(np.uint8)
         return cls(EliasFano.of(words[first]), EliasFano.of(np.append(first, len(words))), EliasFano.of(number.astype(U64) * U64(cls.SPAN) + contexts.astype(U64)), codes, book)
 
