@@ -99,7 +99,8 @@ def threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> flo
     """The highest of the thresholds with the least class-prior-corrected risk under zero-one loss."""
     zp, zu = np.sort(positive), np.sort(unlabelled)
     at = np.unique(zp)
-    at = np.concatenate([(at[1:] + at[:-1]) / 2, [at[-1] + 1e-6 if at[-1] <= 0 else at[-1]]])
+    # the least positive, between any two, and above all
+    at = np.concatenate([at[:1], (at[1:] + at[:-1]) / 2, [at[-1] + 1e-6]])
     caught, flagged = 1 - np.searchsorted(zp, at) / len(zp), 1 - np.searchsorted(zu, at) / len(zu)
     risk = prior * (1 - caught) + np.maximum(0, flagged - prior * caught)
     return float(at[np.flatnonzero(risk <= risk.min() + 1e-12)[-1]])
