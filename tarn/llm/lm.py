@@ -33,6 +33,8 @@ END, BEGIN = 0x9AE16A3B2F90404F, 0xC949C7DEFE8A21B5
 RARE_WEIGHT, WEIGHT, POWER = 6.0, 3.0, 0.9
 #: Tokens that a task turns into blocks at a time.
 BLOCK_TOKENS = 1 << 20
+#: Words whose hashes a worker keeps.
+WORDS = 150_000
 U64 = np.uint64
 
 
@@ -142,7 +144,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), held.alias("held"))
 
     def count(batches):
-        words, parts, size = WordHashes(), [], 0
+        words, parts, size = WordHashes(WORDS), [], 0
 
         def out():
             h, n = np.unique(np.concatenate([*parts, np.empty(0, U64)]), return_counts=True)
@@ -168,7 +170,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
     sums = f"block long, data binary, row long, doc {id_type}, held boolean, n_tokens long, n_known long, base double, score double"
 
     def deal(batches):
-        uni, words = known.value, WordHashes()
+        uni, words = known.value, WordHashes(WORDS)
         task = TaskContext.get().partitionId() << 33
         start, docs, size = 0, [], 0
 
