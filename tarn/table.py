@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from datetime import datetime
@@ -379,8 +380,11 @@ class QueryBuilder:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.tables: dict[str, Table] = {}
 
     def register(self, name: str, table: Table | DataFrame) -> QueryBuilder:
+        if isinstance(table, Table):
+            self.tables[name] = table
         (table.to_df() if isinstance(table, Table) else table).createOrReplaceTempView(name)
         return self
 
@@ -396,7 +400,15 @@ class QueryBuilder:
         return sorted(names)
 
     def execute(self, sql: str) -> DataFrame:
-        """A query, or INSERT INTO | OVERWRITE name query for a registered table's path (``insert``)."""
+        """A query; or CREATE EXTERNAL TABLE name STORED AS format LOCATION 'path', or INSERT INTO | OVERWRITE name query, whose effect the registered name shows at once."""
+        if m := re.match(r"\s*CREATE\s+EXTERNAL\s+TABLE\s+`?(\w+)`?\s+STORED\s+AS\s+\w+\s+LOCATION\s+'([^']*)'\s*;?\s*$", sql, re.I):
+            self.register(m[1], Table(self.spark, m[2]))
+            return self.spark.createDataFrame([], "name string")
+        if m := re.match(r"\s*INSERT\s+(INTO|OVERWRITE)\s+(?:TABLE\s+)?`?(\w+)`?\s+(.*)$", sql, re.I | re.S):
+            if m[2] not in self.tables:
+                raise TableError(f"{m[2]} isn't a registered table")
+            self.register(m[2], self.insert(self.tables[m[2]], m[3], overwrite=m[1].upper() == "OVERWRITE"))
+            return self.spark.createDataFrame([], "name string")
         return self.spark.sql(sql)
 
     def insert(self, table: Table, sql: str, overwrite: bool = False) -> Table:
