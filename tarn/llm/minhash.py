@@ -157,9 +157,10 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
+        # written, so that the join reads it as a plain side and Spark can split a hot node's rows on the other
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")), name)
         large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
