@@ -33,16 +33,16 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     salted by id, so that no task gets all of its copies; the runs of its salts, at most 4n in all, are then compared
     by full text again and joined by broadcast.
     """
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_t"))
     if only_kept:
         base = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_t"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col], F.lit(0)).alias("_rest"))
     base = base.withColumn("_h", F.xxhash64("_t"))
     most = max(16, docs.count() // (2 * n))
     # fewer than 2n rows: each stands for more than 1/(2n) of all
-    heavy = [(r["_h"], -(-r["count"] // most)) for r in base.groupBy("_h").count().where(F.col("count") > most).collect()]
+    salts = materialise(base.groupBy("_h").count().where(F.col("count") > most).select("_h", F.ceil(F.col("count") / most).alias("_salts")), "heavy-texts")
+    heavy = not salts.isEmpty()
     if heavy:
-        salts = spark.createDataFrame(heavy, "_h long, _salts long")
         base = base.join(F.broadcast(salts), "_h", "left")
         base = base.withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("_id"), F.col("_salts")))).drop("_salts")
     else:
