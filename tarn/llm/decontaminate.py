@@ -14,12 +14,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, materialise
 
 WINDOW = 13
 BLOCK = 2
 #: Bytes of benchmark text that are searched for at a time; a larger benchmark is searched for in several blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Words that one cursor walks over.
 STRIDE = 192
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
@@ -83,13 +83,22 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple, set]] = {}
+        self.names = sorted({item for item, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            m = min(window, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                windows.setdefault(m, {}).setdefault(tuple(ids[i : i + m]), set()).add(item)
-        self.searches = [(WuManber(np.array(list(of), dtype=np.int32)), [sorted(x) for x in of.values()]) for of in windows.values()]
+            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)], dtype=np.int32)
+            if m := min(window, len(ids)):
+                by_length.setdefault(m, []).append((np.unique(np.lib.stride_tricks.sliding_window_view(ids, m), axis=0), number[item]))
+        self.searches = [self._search(parts) for parts in by_length.values()]
+
+    @staticmethod
+    def _search(parts: list[tuple[np.ndarray, int]]) -> tuple[WuManber, np.ndarray, np.ndarray]:
+        """A search for distinct windows; the items of window r are owners[first[r] : first[r + 1]]."""
+        windows, row = np.unique(np.concatenate([w for w, _ in parts]), axis=0, return_inverse=True)
+        item = np.repeat([i for _, i in parts], [len(w) for w, _ in parts])
+        pairs = np.unique(np.column_stack([row.ravel(), item]), axis=0)
+        return WuManber(windows), np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)), pairs[:, 1].astype(np.int32)
 
     def occurrences(self, docs: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set]]:
         """For each document (its words), the spans [from, to) of words in occurrences, and the items that occur."""
@@ -100,13 +109,13 @@ class Benchmark:
             flat[at : at + len(d)] = np.fromiter(map(get, d, repeat(0)), dtype=np.int32, count=len(d))
         spans: list[list[tuple[int, int]]] = [[] for _ in docs]
         items: list[set] = [set() for _ in docs]
-        for search, owners in self.searches:
+        for search, first, owners in self.searches:
             place, row = search.search(flat)
             doc = np.searchsorted(starts, place, side="right") - 1
             for d, p, r in zip(doc.tolist(), (place - starts[doc]).tolist(), row.tolist(), strict=True):
                 spans[d].append((p - search.m + 1, p + 1))
-                items[d].update(owners[r])
-        return spans, items
+                items[d].update(owners[first[r] : first[r + 1]].tolist())
+        return spans, [{self.names[i] for i in x} for x in items]
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -130,8 +139,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     With ``carry`` all columns of docs follow, as fields c0, c1, ... of a struct named carried.
 
-    The benchmark is broadcast in blocks of at most ``block_bytes`` of text (one longer item is a block of its own), and
-    each block is searched for in all documents, one after another in the same task: no shuffle.
+    The benchmark is broadcast in blocks of about ``block_bytes`` of text, and each block is searched for in all
+    documents, in a pass of its own that is written before the next: no shuffle, and one block's index in memory.
     """
     import pyarrow as pa
 
@@ -168,6 +177,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.list_(pa.string())), *batch.columns[4:]], names=["_id", "_text", "_spans", "_items"] + ["carried"] * carry)
 
         found = found.mapInArrow(search, last_schema if last else found.schema)
+        if not last:
+            found = materialise(found, "searched")
+            index.destroy()
     return found
 
 
