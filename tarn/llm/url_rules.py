@@ -66,12 +66,13 @@ class UrlRules:
     default: str
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, most_tokens: int = 200, longest: int = 3) -> UrlRules:
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, most_tokens: int = 200, longest: int = 3, most_in_url: int = 14) -> UrlRules:
     """Rules from rows (tokens, label), label "allow" or "block".
 
     Only tokens that reach the support can be in a rule; there are at most 1 / min_support * (tokens a URL) of them,
-    and the ``most_tokens`` most frequent are mined, so that FP-growth's work has a bound. Of the rules that remain,
-    those go which a rule on fewer of the same tokens makes with at least their confidence.
+    and the ``most_tokens`` most frequent are mined, of one URL the ``most_in_url`` rarest of these, so that FP-growth's
+    work has a bound however many tokens a frequent URL has. Of the rules that remain, those go which a rule on fewer
+    of the same tokens makes with at least their confidence.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -83,7 +84,8 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
         return UrlRules((), default)
     frequent = rows.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= min_support * total)
     keep = [r["t"] for r in frequent.orderBy(F.desc("count"), "t").limit(most_tokens).collect()]
-    kept = F.filter("tokens", lambda x: x.isin(keep)) if keep else F.array().cast("array<string>")
+    # the order of the first array stays: rarest first
+    kept = F.slice(F.array_intersect(F.array(*map(F.lit, reversed(keep))), "tokens"), 1, most_in_url) if keep else F.array().cast("array<string>")
     baskets = rows.select(F.concat(kept, F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
     sets = sets.where(F.size("items") <= longest + 1)
