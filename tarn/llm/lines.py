@@ -10,7 +10,7 @@ Every operation writes new tables and returns a new index: one that was stopped
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +44,12 @@ class LineIndex:
     postings: DataFrame
     counts: DataFrame
     filters: DataFrame
-    shards: int
+    shards: int | None
 
     @classmethod
-    def create(cls, spark: SparkSession, expected_keys: int = SHARD_KEYS) -> LineIndex:
-        """An empty index. The number of shards is fixed by the keys expected."""
-        return cls(spark, spark.createDataFrame([], "key binary, doc_id long"), spark.createDataFrame([], COUNTS), spark.createDataFrame([], "shard int, filter binary"), _shard(expected_keys))
+    def create(cls, spark: SparkSession, expected_keys: int | None = None) -> LineIndex:
+        """An empty index. The number of shards is fixed by the keys expected, or else by those of the first insertion."""
+        return cls(spark, spark.createDataFrame([], "key binary, doc_id long"), spark.createDataFrame([], COUNTS), spark.createDataFrame([], "shard int, filter binary"), expected_keys and _shard(expected_keys))
 
     def _counted(self, postings: DataFrame) -> DataFrame:
         """Counts of postings; partial sums before the shuffle, so that a line which most documents hold is one row a task."""
@@ -84,6 +84,11 @@ class LineIndex:
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> LineIndex:
         """The index with these documents added. Rows of one doc_id are one document; the id must not be in the index yet."""
         new = materialise(line_keys(docs, id_col, text_col, least), "postings")
+        if self.shards is None:
+            return replace(self, shards=_shard(new.count()))._added(new)
+        return self._added(new)
+
+    def _added(self, new: DataFrame) -> LineIndex:
         delta = self._counted(new)
         if self.counts.isEmpty():
             counts = materialise(delta, "line-counts")
@@ -195,5 +200,4 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", expected_keys: int | None = None) -> DataFrame:
     """Index docs and take their repeated lines out: see ``LineIndex.apply``. Other columns of docs are not read."""
-    expected = expected_keys or 16 * docs.count()
-    return LineIndex.create(docs.sparkSession, expected).insert(docs, id_col, text_col).apply(docs, id_col, text_col)
+    return LineIndex.create(docs.sparkSession, expected_keys).insert(docs, id_col, text_col).apply(docs, id_col, text_col)
