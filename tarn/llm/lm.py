@@ -12,7 +12,11 @@ Words are 64-bit hashes. The most frequent ones, of a bounded number, are broadc
 distinct bigrams go once, as compressed blocks, to the shard of their bigram (frequent words, which are thereby spread)
 or of their word (all others, whose counts the shard can then add up itself). The shard counts, builds its trie in a
 mapped file, looks its bigrams up, and returns its sums by document as one row for each block they came from, so that
-what goes back are blocks too, and not a row for each document and shard. Nothing is pruned, capped or sampled.
+what goes back are blocks too, and not a row for each document and shard.
+
+A bigram with a large share of all tokens would bring its shard a record for each document. Such hot bigrams, whose
+number the share bounds, are added up by block: their shard gets one record a block and returns the gain, and what each
+document has of them goes past the shards, with the block. Nothing is pruned, capped or sampled.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ RARE_WEIGHT, WEIGHT, POWER = 6.0, 3.0, 0.9
 BLOCK_TOKENS = 1 << 20
 #: Words whose hashes a worker keeps.
 WORDS = 150_000
+#: A bigram is hot with more than one in so many of all tokens, and in twice as many shards.
+HOT_SHARE = 4096
+#: Rows of a block that no single document's are: what its documents have of hot bigrams, a shard's records of these, their gains.
+OWN_HOT, TO_SHARD_HOT, GAINS_HOT = -1, -2, -3
 U64 = np.uint64
 
 
@@ -59,6 +67,14 @@ def tokens_of(text: str | None, words: WordHashes) -> np.ndarray:
     return np.append(np.fromiter(map(words.__getitem__, parts), dtype=U64, count=len(parts)), U64(END))
 
 
+def bigrams(tokens: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(w, v, pair) of texts one after another: each token, the one before it (BEGIN for the first) and a hash of both."""
+    w = np.concatenate(tokens)
+    v = np.concatenate([[U64(BEGIN)], w[:-1]])
+    v[np.cumsum([len(t) for t in tokens])[:-1]] = U64(BEGIN)
+    return w, v, scramble(w * U64(0x9E3779B97F4A7C15) ^ v)
+
+
 def encode(w: np.ndarray, v: np.ndarray, kind: np.ndarray, row: np.ndarray, n: np.ndarray) -> bytes:
     """Records sorted by w, as compressed columns: differences of w by bytes, and the others as they are."""
     import zstandard
@@ -82,12 +98,20 @@ def decode(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 class Unigrams:
-    """Counts of the broadcast words, and the numbers of training tokens (N) and of distinct ones (V)."""
+    """Counts of the broadcast words, the numbers of training tokens (N) and of distinct ones (V), and the hot bigrams."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, hot: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.total, self.distinct = total, distinct
+        self.hot = np.sort(hot)
+
+    def hot_number(self, pair: np.ndarray) -> np.ndarray:
+        """Numbers of hot bigrams, -1 for all others."""
+        if not len(self.hot):
+            return np.full(len(pair), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hot, pair), len(self.hot) - 1)
+        return np.where(self.hot[at] == pair, at, -1)
 
     def count(self, h: np.ndarray) -> np.ndarray:
         """Counts of words, -1 for those that aren't broadcast."""
@@ -101,7 +125,7 @@ class Unigrams:
 
 
 def _shard(records: list[tuple], uni: Unigrams, folder: str) -> tuple[np.ndarray, ...]:
-    """(row, n_known, base, score): sums by document of one shard's records (w, v, class, row, n, training)."""
+    """(row, n_known, base, score): sums by document of one shard's records (w, v, class, row, n, training); (row, gain) of those with rows below 0."""
     w, v, kind, row, n, training = (np.concatenate(x) for x in zip(*records, strict=True))
     word, number = np.unique(w, return_inverse=True)
     order = np.argsort((number.astype(U64) << U64(32)) | v)
@@ -120,11 +144,14 @@ def _shard(records: list[tuple], uni: Unigrams, folder: str) -> tuple[np.ndarray
     gain = np.repeat(found, np.diff(np.append(first, len(v))))
     own = np.where(rare, log_p, 0.0)
     after = np.where(rare & (word != U64(END)), context_term(count, np.zeros(len(word), np.uint8)), 0.0)
+    hot = row < 0
+    gains = row[hot], gain[hot]
+    row, n, number, gain = row[~hot], n[~hot], number[~hot], gain[~hot]
     rows, place = np.unique(row, return_inverse=True)
     base = np.bincount(place, n * own[number], len(rows))
     score = base + np.bincount(place, n * (after[number] + gain), len(rows))
     known = np.bincount(place, n * (rare & (count > 0))[number], len(rows)).astype(np.int64)
-    return rows, known, base, score
+    return rows, known, base, score, *gains
 
 
 def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,32 +171,45 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), held.alias("held"))
 
     def count(batches):
-        words, parts, size = WordHashes(WORDS), [], 0
+        words, parts, train, size = WordHashes(WORDS), [], [], 0
 
         def out():
-            h, n = np.unique(np.concatenate([*parts, np.empty(0, U64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+            h, n = np.unique(np.concatenate([*train, np.empty(0, U64)]), return_counts=True)
+            pair, m = np.unique(bigrams(parts)[2], return_counts=True)
+            # one that has its share of all tokens has half of it at least in such blocks as have half of it themselves
+            often = m * 2 * hot_share > size
+            columns = [(0, h, n), (1, pair[often], m[often]), (2, np.zeros(1, U64), np.array([size]))]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(x), k, np.int8) for k, x, _ in columns])), pa.array(np.concatenate([x for _, x, _ in columns]).view(np.int64)), pa.array(np.concatenate([x for *_, x in columns]), pa.int64())], names=["kind", "h", "n"])
 
         for batch in bounded_batches(batches):
             for text, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                parts.append(tokens_of(text, words))
+                size += len(parts[-1])
                 if not held:
-                    parts += [tokens_of(text, words), np.array([BEGIN], dtype=U64)]
-                    size += len(parts[-2])
+                    train += [parts[-1], np.array([BEGIN], dtype=U64)]
             if size > 2 * BLOCK_TOKENS:
                 yield out()
-                parts, size = [], 0
-        yield out()
+                parts, train, size = [], [], 0
+        if parts:
+            yield out()
 
-    counts = materialise(texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "unigrams")
+    shards = 2 * partitions(spark)
+    hot_share = max(HOT_SHARE, 2 * shards)
+    counted = materialise(texts.mapInArrow(count, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "unigrams")
+    counts = counted.where("kind = 0").select("h", "n")
+    everything = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    # at most 2 * hot_share of them
+    hot = counted.where((F.col("kind") == 1) & (F.col("n") * 2 * hot_share > everything)).select("h").toPandas()
     begin = int(np.array([BEGIN], dtype=U64).view(np.int64)[0])
     total, distinct = counts.where(F.col("h") != begin).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where(F.col("n") >= _frequency(counts, frequent)).toPandas()
-    known = spark.sparkContext.broadcast(Unigrams(top["h"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), total, distinct))
-    shards = 2 * partitions(spark)
+    known = spark.sparkContext.broadcast(Unigrams(top["h"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), total, distinct, hot["h"].to_numpy(np.int64).view(U64)))
     # a document's own row has its numbers; a row with data has a shard's records of one block, or its sums for one
     sums = f"block long, data binary, row long, doc {id_type}, held boolean, n_tokens long, n_known long, base double, score double"
 
     def deal(batches):
+        import zstandard
+
         uni, words = known.value, WordHashes(WORDS)
         task = TaskContext.get().partitionId() << 33
         start, docs, size = 0, [], 0
@@ -177,9 +217,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
         def out():
             ids, held, tokens = (list(x) for x in zip(*docs, strict=True))
             sizes = np.array([len(t) for t in tokens])
-            w = np.concatenate(tokens)
-            v = np.concatenate([[U64(BEGIN)], w[:-1]])
-            v[np.cumsum(sizes)[:-1]] = U64(BEGIN)
+            w, v, pair = bigrams(tokens)
             row = np.repeat(np.arange(len(sizes)), sizes)
             cw = uni.count(w)
             cv = np.concatenate([[0], cw[:-1]])
@@ -196,21 +234,36 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
                 pa.array((task + start + np.arange(len(sizes))) % shards, pa.int32()), pa.array([task + start] * len(sizes), pa.int64()), pa.nulls(len(sizes), pa.binary()), pa.array(np.arange(len(sizes))),
                 pa.array(ids, id_arrow), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(seen), pa.array(base), pa.array(score),
             ], names=names)
-            pair = scramble(w * U64(0x9E3779B97F4A7C15) ^ v)
-            _, at, n = np.unique(scramble(pair + row.astype(U64) * U64(0xD6E8FEB86659FD93)), return_index=True, return_counts=True)
-            w, v, kind, row = w[at], v[at] >> U64(32), kind[at], row[at]
-            shard = (np.where(cw[at] >= 0, pair[at], scramble(w.copy())) >> U64(11)) % U64(shards)
-            order = np.lexsort((w, shard))
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1).astype(U64))
             train = ~np.array(held, dtype=bool)
-            coded = row | (train[row].astype(np.int64) << 31)
-            blocks, of = [], []
-            for s in np.flatnonzero(np.diff(bounds)).tolist():
-                o = order[bounds[s] : bounds[s + 1]]
-                blocks.append(encode(w[o], v[o], kind[o], coded[o], n[o]))
-                of.append(s)
+            shard = (np.where(cw >= 0, pair, scramble(w.copy())) >> U64(11)) % U64(shards)
+            blocks, of, what = [], [], []
+
+            def send(at, coded, n, kind_of_row):
+                place = np.lexsort((w[at], shard[at]))
+                order = at[place]
+                bounds = np.searchsorted(shard[order], np.arange(shards + 1).astype(U64))
+                for s in np.flatnonzero(np.diff(bounds)).tolist():
+                    o, p = order[bounds[s] : bounds[s + 1]], place[bounds[s] : bounds[s + 1]]
+                    blocks.append(encode(w[o], v[o] >> U64(32), kind[o], coded[p], n[p]))
+                    of.append(s)
+                    what.append(kind_of_row)
+
+            number = np.where(cw >= 0, uni.hot_number(pair), -1)
+            hot = np.flatnonzero(number >= 0)
+            if len(hot):
+                held_by, n = np.unique(row[hot] * len(uni.hot) + number[hot], return_counts=True)
+                blocks.append(zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype(np.uint32).tobytes() for x in (held_by // len(uni.hot), held_by % len(uni.hot), n))))
+                of.append((task + start) % shards)
+                what.append(OWN_HOT)
+                which, first = np.unique(number[hot], return_index=True)
+                learnt = np.bincount(number[hot], train[row[hot]], len(uni.hot)).astype(np.int64)
+                send(hot[first], which, learnt[which], TO_SHARD_HOT)
+            cold = np.flatnonzero(number < 0)
+            _, at, n = np.unique(scramble(pair[cold] + row[cold].astype(U64) * U64(0xD6E8FEB86659FD93)), return_index=True, return_counts=True)
+            at = cold[at]
+            send(at, row[at] | (train[row[at]].astype(np.int64) << 31), n, None)
             k = len(of)
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([task + start] * k, pa.int64()), pa.array(blocks, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([task + start] * k, pa.int64()), pa.array(blocks, pa.binary()), pa.array(what, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
         names, id_arrow = ["shard", "block", "data", "row", "doc", "held", "n_tokens", "n_known", "base", "score"], None
         for batch in bounded_batches(batches, 64):
@@ -233,45 +286,70 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
         id_arrow = None
 
         def out():
-            rows, seen, base, total = _shard([r[1:] for r in records], uni, folder)
-            blocks = np.unique([r[0] for r in records])
+            rows, seen, base, total, marks, gain = _shard([r[1:] for r in records], uni, folder)
+            blocks = np.unique([r[0] for r in records if r[4][0] >= 0]).astype(np.int64)
             bounds = np.append(np.searchsorted(rows, blocks), len(rows))
             parts = [b"".join(((rows[i:j] - at).astype(np.uint32).tobytes(), seen[i:j].astype(np.uint32).tobytes(), base[i:j].tobytes(), total[i:j].tobytes())) for at, i, j in zip(blocks, bounds, bounds[1:], strict=False)]
+            what = [None] * len(parts)
+            if len(marks):
+                # all blocks have the same gain for a bigram, and each gets it for those that it asked for
+                gains = np.zeros(len(uni.hot))
+                gains[-1 - marks] = gain
+                asked = [(r[0], -1 - r[4]) for r in records if r[4][0] < 0]
+                blocks = np.append(blocks, [b for b, _ in asked]).astype(np.int64)
+                parts += [which.astype(np.uint32).tobytes() + gains[which].tobytes() for _, which in asked]
+                what += [GAINS_HOT] * len(asked)
             k = len(blocks)
-            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(parts, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(parts, pa.binary()), pa.array(what, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
         for batch in bounded_batches(batches, 64):
             id_arrow = batch.schema.field("doc").type
-            whole = batch.filter(pc.is_null(batch.column("data")))
+            whole = batch.filter(pc.or_(pc.is_null(batch.column("data")), pc.equal(pc.fill_null(batch.column("row"), 0), OWN_HOT)))
             if whole.num_rows:
                 yield pa.RecordBatch.from_arrays([whole.column(n) for n in names], names=names)
-            for shard, block, data in zip(*(batch.column(n).to_pylist() for n in ("shard", "block", "data")), strict=True):
-                if data is None:
+            for shard, block, data, what in zip(*(batch.column(n).to_pylist() for n in ("shard", "block", "data", "row")), strict=True):
+                if data is None or what == OWN_HOT:
                     continue
                 if shard != now and records:
                     yield out()
                     records = []
                 now = shard
                 w, v, kind, row, n = decode(data)
-                records.append((block, w, v, kind, block + (row & np.uint32(0x7FFFFFFF)).astype(np.int64), n.astype(np.int64), row >> np.uint32(31) > 0))
+                if what == TO_SHARD_HOT:
+                    records.append((block, w, v, kind, -1 - row.astype(np.int64), n.astype(np.int64), np.ones(len(row), dtype=bool)))
+                else:
+                    records.append((block, w, v, kind, block + (row & np.uint32(0x7FFFFFFF)).astype(np.int64), n.astype(np.int64), row >> np.uint32(31) > 0))
         if records:
             yield out()
 
     def gather(batches):
         """A block's documents with what all shards have for them; a block holds BLOCK_TOKENS tokens, about."""
-        now, own, parts = None, [], []
+        import zstandard
+
+        now, own, parts, hot = None, [], [], len(known.value.hot)
         out_names = [id_col, "held_out", "n_tokens", "n_known", "base_score", "score"]
 
         def out():
             merged = pa.Table.from_batches(own).sort_by("row").combine_chunks()
             n = merged.num_rows
             seen, base, score = (merged[c].to_numpy().copy() for c in ("n_known", "base", "score"))
-            for data in parts:
+            gains, held_by = np.zeros(hot), None
+            for what, data in parts:
+                if what == GAINS_HOT:
+                    k = len(data) // 12
+                    gains[np.frombuffer(data, np.uint32, k)] = np.frombuffer(data, np.float64, k, 4 * k)
+                    continue
+                if what == OWN_HOT:
+                    held_by = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32).reshape(3, -1)
+                    continue
                 k = len(data) // 24
                 at = np.frombuffer(data, np.uint32, k)  # each document once
                 seen[at] += np.frombuffer(data, np.uint32, k, 4 * k)
                 base[at] += np.frombuffer(data, np.float64, k, 8 * k)
                 score[at] += np.frombuffer(data, np.float64, k, 16 * k)
+            if held_by is not None:
+                at, which, often = held_by
+                score += np.bincount(at, often * gains[which], n)
             cols = [merged["doc"].combine_chunks(), merged["held"].combine_chunks(), merged["n_tokens"].combine_chunks(), pa.array(seen), pa.array(base), pa.array(score)]
             return [pa.RecordBatch.from_arrays([c.slice(i, 4096) for c in (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols)], names=out_names) for i in range(0, n, 4096)]
 
@@ -287,7 +365,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
                     own, parts = [], []
                 now = block
                 data = piece.column("data").to_pylist()
-                parts += [d for d in data if d is not None]
+                parts += [(what, d) for what, d in zip(piece.column("row").to_pylist(), data, strict=True) if d is not None]
                 if None in data:
                     own.append(piece.filter(pa.array([d is None for d in data])).select(["row", "doc", "held", "n_tokens", "n_known", "base", "score"]))
         if own:
