@@ -5,10 +5,13 @@
 2. Documents with equal sets are one class; its smallest id stands for it.
 3. Classes that share a band are linked to the smallest of the bucket: rows grow as the classes, never as their pairs.
    The connected components of these links are clusters, which hold every pair that shares a band.
-4. A cluster is dealt into blocks of bounded size, and each pair of blocks is one group of work: signatures are compared
-   by bit counts, the similarity estimate corrected for chance collisions, and what may reach the threshold is
-   confirmed on full sets, unless both are connected already. A group returns a spanning forest of confirmed links.
-5. The components of the forests are the answer.
+4. A cluster is dealt into blocks of bounded size, each with a few hubs that all blocks of the cluster share: signatures
+   are compared by bit counts, the similarity estimate corrected for chance collisions, and what may reach the
+   threshold is confirmed on full sets, unless both are connected already. A block returns a spanning forest of
+   confirmed links. What is near the hubs is one component now, however many copies there are.
+5. In a cluster of several blocks, those outside its largest component are compared in the same way to all members of
+   other components: pairs within the largest component, which would grow with its square, are never made.
+6. The components of all forests are the answer.
 
 A pair at the threshold is missed with probability below 2e-6: by the bands (1 - 0.85**8)**44 = 8e-7, by the estimate
 (4.75 standard deviations) 1e-6.
@@ -31,6 +34,8 @@ HASHES = ROWS * BANDS
 MARGIN = 4.75
 #: A block holds about so many members and shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 768, 1 << 21
+#: Members of a large cluster, about, that are in each of its blocks.
+HUBS = 16
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -170,8 +175,11 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
 
 
 def _forest(members: list[tuple], threshold: tuple[int, int], floor: float) -> list[tuple[int, int]]:
-    """Confirmed links among the members (side, id, set, sig) of one group; with two sides, only those across them. A spanning forest of them."""
+    """Confirmed links among the members (side, id, set, sig, label) of one group; with two sides, only those across them. A spanning forest of them, on top of equal labels, which are connected already."""
     sides = np.array([m[0] for m in members])
+    known: dict[int, int] = {}
+    above = [known.setdefault(m[4], i) for i, m in enumerate(members)]
+    labels = np.array(above)
     sizes = np.array([len(m[2]) for m in members])
     sigs = np.stack([m[3] for m in members])
     across = sides.min() != sides.max()
@@ -179,6 +187,7 @@ def _forest(members: list[tuple], threshold: tuple[int, int], floor: float) -> l
     pairs = []
     for i in first:
         rest = np.flatnonzero(sides != sides[i]) if across else np.arange(i + 1, len(members))
+        rest = rest[labels[rest] != labels[i]]
         small, large = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
         rest = rest[small * threshold[1] >= large * threshold[0]]
         if len(rest):
@@ -189,8 +198,6 @@ def _forest(members: list[tuple], threshold: tuple[int, int], floor: float) -> l
         return []
     todo = np.concatenate(pairs)
     todo = todo[np.argsort(todo[:, 2], kind="stable")][:, :2].astype(np.int64)
-    above = list(range(len(members)))
-
     def top(x: int) -> int:
         while above[x] != x:
             above[x] = above[above[x]]
@@ -253,20 +260,43 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 
 
 def _confirmed(spark: SparkSession, members: DataFrame, docs: DataFrame, threshold: tuple[int, int], size: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between members of one cluster, confirmed on their full sets: a spanning forest for each pair of blocks."""
-    import pyarrow as pa
-
-    floor = least_estimate(threshold[0] / threshold[1])
-    weight = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    """Links (a, b) between members of one cluster, confirmed on their full sets: a spanning forest for each group of blocks."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     # all but the clusters of several blocks, of which there are at most rows / BLOCK_ROWS + shingles / BLOCK_SHINGLES
-    large = weight.where("blocks > 1")
-    dealt = members.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "fingerprint"), F.col("blocks")).cast("int"))
+    large = members.groupBy("component").agg(blocks.alias("blocks"), F.greatest(F.floor(F.count(F.lit(1)) / HUBS), F.lit(1)).alias("to_hub")).where("blocks > 1")
+    dealt = members.join(large, "component", "left").withColumn("own", F.pmod(F.xxhash64("node", "fingerprint"), F.coalesce("blocks", F.lit(1))).cast("int"))
     text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node IS NOT NULL")
-    work = dealt.join(text, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "fingerprint", "sig", "text")
-    group = ["component", "one", "two"]
-    work = work.repartition(partitions(spark), *group).sortWithinPartitions(*group, "own", "node")
+    hub = F.pmod(F.xxhash64("node", "fingerprint", F.lit(1)), F.col("to_hub")) == 0
+    near = dealt.withColumn("others", F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
+    near = near.withColumn("label", F.col("node")).join(text, "node").withColumn("one", F.explode("others")).withColumn("two", F.col("one"))
+    links = materialise(_links(near, threshold, size), "links-in-blocks")
+
+    several = materialise(dealt.where("blocks > 1").drop("own", "blocks", "to_hub"), "large-clusters")
+    if several.isEmpty():
+        return links
+    inside = components(links.join(several.select(F.col("node").alias("a")).distinct(), "a", "left_semi"), "in-blocks")
+    labelled = several.join(inside.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = materialise(labelled, "labelled")
+    main = labelled.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    outside = F.col("label") != F.col("main")
+    many = lambda those: F.greatest(F.ceil(F.count_if(those) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(those, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    # clusters with members outside their largest component: blocks of these, and blocks of that component
+    plan = labelled.join(main, "component").groupBy("component").agg(F.first("main").alias("main"), many(outside).alias("rest"), many(~outside).alias("mains")).where("rest > 0")
+    todo = labelled.join(plan, "component")
+    mark = F.xxhash64("node", "fingerprint", F.lit(2))
+    todo = todo.withColumn("own", F.when(outside, F.pmod(mark, F.col("rest"))).otherwise(F.col("rest") + F.pmod(mark, F.col("mains"))).cast("int"))
+    todo = todo.withColumn("others", F.sequence(F.lit(0), F.when(outside, F.col("rest") + F.col("mains")).otherwise(F.col("rest")) - 1))
+    todo = todo.join(text, "node").withColumn("other", F.explode("others")).withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
+    return links.unionByName(_links(todo, threshold, size))
+
+
+def _links(work: DataFrame, threshold: tuple[int, int], size: int) -> DataFrame:
+    """Links (a, b) within each group (component, one, two) of work: among all members where one = two, else between those whose own blocks differ."""
+    import pyarrow as pa
+
+    floor, group = least_estimate(threshold[0] / threshold[1]), ["component", "one", "two"]
+    work = work.select(*group, "own", "node", "fingerprint", "sig", "text", "label")
+    work = work.repartition(partitions(work.sparkSession), *group).sortWithinPartitions(*group, "own", "node")
 
     def confirm(batches):
         words, now, held = WordHashes(200_000), None, {}
@@ -277,7 +307,7 @@ def _confirmed(spark: SparkSession, members: DataFrame, docs: DataFrame, thresho
 
         for batch in bounded_batches(batches, 512):
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                key, own, node, mark, sig, text = row[:3], *row[3:]
+                key, own, node, mark, sig, text, label = row[:3], *row[3:]
                 if key != now:
                     if held:
                         yield done()
@@ -286,7 +316,7 @@ def _confirmed(spark: SparkSession, members: DataFrame, docs: DataFrame, thresho
                 # rows of one id with other texts have sets of their own
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == mark:
                     side = 0 if key[1] == key[2] else own
-                    held[side, node, mark] = (side, node, found, np.frombuffer(sig, dtype=np.uint64).reshape(BITS, -1))
+                    held[side, node, mark] = (side, node, found, np.frombuffer(sig, dtype=np.uint64).reshape(BITS, -1), label)
         if held:
             yield done()
 
