@@ -126,12 +126,20 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
-    """A cluster of several blocks: pairs across blocks are found too."""
+@pytest.mark.parametrize(("rows", "hubs"), [(20, 16), (20, 1), (7, 3)])
+def test_near_duplicates_in_blocks(spark, monkeypatch, rows, hubs):
+    """A cluster of several blocks: pairs across blocks are found too, by hubs or by what they leave."""
     from tarn.llm import minhash
 
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(minhash, "HUBS", hubs)
     pairs = near_corpus(8)
+    # a chain, each link near its neighbours only, and far from the hubs
+    rng = random.Random(4)
+    chain = [f"c{i}" for i in range(100)]
+    for i in range(40):
+        chain[(7 * i) % 100] = f"d{rng.randrange(9)}{i}"
+        pairs.append((2000 + i, " ".join(chain)))
     want = brute(pairs)
     assert all(r.component_id == want.get(r.doc_id) for r in near_duplicates(frame(spark, pairs)).collect())
 

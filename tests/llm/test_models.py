@@ -180,10 +180,12 @@ def test_trie(tmp_path):
     assert np.isnan(Trie.build(w[:0], c[:0], values[:0]).find(w[:3], c[:3])).all()
 
 
-@pytest.mark.parametrize("frequent", [1 << 18, 8, 0])
-def test_language_model(spark, frequent, monkeypatch):
+@pytest.mark.parametrize(("frequent", "hot"), [(1 << 18, 4096), (1 << 18, 1), (8, 1), (0, 4096)])
+def test_language_model(spark, frequent, hot, monkeypatch):
+    """All bigrams of so small a corpus are hot at a share of 1 in 4096; few at one of 1 in twice the shards."""
     from tarn.llm import lm
 
+    monkeypatch.setattr(lm, "HOT_SHARE", hot)
     rng = random.Random(11)
     docs = [(i, " ".join(rng.choice(["the", "a", "Cat", "dog\n", "sat", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40)))) for i in range(300)]
     docs += [(1000, None), (1001, ""), (None, "the cat"), (1, docs[1][1]), (1002, "the cat " * 3000), (1003, "neverseen\x0bword")]
@@ -244,6 +246,14 @@ def brute_url(url):
 URLS = [None, "", "no scheme", "http://Example.COM/en/x?y#z", "http://example.com/EN/", "https://www.example.com/en/1", "http://a.www.example.com/en/", "http://notexample.com/en/", "http://example.com", "http://example.com?q=/en/", "ftp://x.net/es/a://b", "http://x.net/fr/", "http://net/fr/1", "http://x.org/fr/1", "http:///en/", "http://a.com/\nb", "://com/", "http://x.net/de/9"]
 
 
+def test_mining_is_bounded(spark):
+    """A frequent URL of many tokens doesn't make all of their combinations."""
+    urls = ["http://hub.net/es/" + "/".join(f"part{chr(97 + k)}" for k in range(25))] * 60 + [f"http://x{i}.example.com/q" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in judge_urls(pages).collect()}
+    assert {got[i] for i in range(60)} == {"block"} and {got[i] for i in range(60, 120)} == {"allow"}
+
+
 def test_urls(spark):
     urls = URLS * 3 + [f"http://h{i % 7}.example.{d}/{lang}/{i}" for i in range(300) for d, lang in (("net", "es"), ("net", "en"), ("org", "es"), ("com", "en"))]
     pages = spark.createDataFrame([(i if i != 4 else None, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
