@@ -179,11 +179,12 @@ def _strip(name: str, alias: str) -> str:
 
 
 def merge(m: Merge) -> dict:
-    """One full join of source and target, one pass of clauses, and a rewrite of the files with changed rows only.
+    """One join of source and target, one pass of clauses, and a rewrite of the files with changed rows only.
 
     The source is written to the shared folder first, as it is read several times. Where no clause looks at target rows
     without a source row, files are pruned beforehand by what the source holds of the columns that the predicate
-    equates. A target row that several source rows would change is an error, but for several unconditional deletes.
+    equates, and a semi join on the predicate's columns alone then leaves the files that hold a match: only they are
+    read whole. A target row that several source rows would change is an error, but for several unconditional deletes.
     """
     from ..sources.workspace import scratch
 
@@ -210,21 +211,29 @@ def merge(m: Merge) -> dict:
         source = spark.read.schema(m.source.schema).parquet(path)
         metrics["num_source_rows"] = source.count()
         by_source = any(k.kind == BY_SOURCE for k in m.clauses)
-        adds = snapshot.adds if by_source else early_filter(m, source, snapshot.adds, src, tgt)
-        target = scan(spark, table.store, snapshot, adds, identity=True)
-        for f in schema:
-            if f.name not in target.columns:
-                target = target.withColumn(f.name, F.lit(None).cast(f.dataType))
-        t = target.withColumn("__tarn_t", F.lit(True)).alias(tgt)
-        s = source.withColumn("__tarn_s", F.lit(True)).alias(src)
         only_inserts = all(k.kind == INSERT for k in m.clauses)
+
+        def target_of(files):
+            rows = scan(spark, table.store, snapshot, files, identity=True)
+            for f in schema:
+                if f.name not in rows.columns:
+                    rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+            return rows.withColumn("__tarn_t", F.lit(True)).alias(tgt)
+
+        adds = scanned = snapshot.adds if by_source else early_filter(m, source, snapshot.adds, src, tgt)
+        if len(adds) > 1 and not by_source and not only_inserts:
+            # one row a file
+            matched_files = {r[FILE] for r in target_of(adds).join(source.alias(src), F.expr(m.predicate), "left_semi").select(FILE).distinct().collect()}
+            adds = [a for a in adds if uri_of(table.store.absolute(relative(a))) in matched_files]
+        t = target_of(adds)
+        s = source.withColumn("__tarn_s", F.lit(True)).alias(src)
         if only_inserts:
             joined = s.join(t, F.expr(m.predicate), "left_anti").select(F.struct(*[F.col(f"{src}.`{c}`") for c in source.columns]).alias(src))
             none = F.lit(None).cast(T.StructType([*schema.fields, T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType())])).alias(tgt)
             joined = joined.select(F.col(src), none, F.lit(True).alias("__tarn_s"), F.lit(None).cast("boolean").alias("__tarn_t"))
         else:
-            # source rows without a match count only where they are inserted, target ones only where files are rewritten
-            kind = "full"
+            # source rows without a match count only where they are inserted; without them Spark may broadcast the source
+            kind = "full" if any(k.kind == INSERT for k in m.clauses) else "right"
             joined = s.join(t, F.expr(m.predicate), kind).select(F.struct(*[F.col(f"{src}.`{c}`") for c in source.columns]).alias(src), F.struct(*[F.col(f"{tgt}.`{c}`") for c in [*names, FILE, ROW]]).alias(tgt), "__tarn_s", "__tarn_t")
         both, source_only, target_only = F.col("__tarn_s") & F.col("__tarn_t"), F.col("__tarn_t").isNull(), F.col("__tarn_s").isNull()
         flag = {MATCHED: F.coalesce(both, F.lit(False)), INSERT: source_only, BY_SOURCE: target_only}
@@ -295,7 +304,7 @@ def merge(m: Merge) -> dict:
             actions += write_files(spark, table.store, feed, new_meta, cdc=True)
     metrics |= {
         "num_target_rows_inserted": counts.get(ADD, 0), "num_target_rows_updated": counts.get(UPDATE, 0), "num_target_rows_deleted": counts.get(DELETE, 0), "num_target_rows_copied": counts.get(COPY, 0),
-        "num_output_rows": sum(counts.values()) - counts.get(DELETE, 0), "num_target_files_scanned": len(adds), "num_target_files_skipped_during_scan": len(snapshot.files) - len(adds),
+        "num_output_rows": sum(counts.values()) - counts.get(DELETE, 0), "num_target_files_scanned": len(scanned), "num_target_files_skipped_during_scan": len(snapshot.files) - len(scanned),
         "num_target_files_added": sum("add" in a for a in actions), "num_target_files_removed": len(touched), "execution_time_ms": int(1000 * (time.time() - began)),
     }
     actions += [remove_of(a) for a in touched]
@@ -308,7 +317,7 @@ def merge(m: Merge) -> dict:
         head.append(new_meta.action())
     listed = lambda kind: [{"actionType": k.action, **({"predicate": k.predicate} if k.predicate else {})} for k in m.clauses if k.kind == kind]
     params = {"mergePredicate": m.predicate, "matchedPredicates": listed(MATCHED), "notMatchedPredicates": listed(INSERT), "notMatchedBySourcePredicates": listed(BY_SOURCE)}
-    reads = Reads(everything=True) if len(adds) == len(snapshot.files) else Reads(files={key(a) for a in adds}, matches=lambda a: True)
+    reads = Reads(everything=True) if len(scanned) == len(snapshot.files) else Reads(files={key(a) for a in scanned}, matches=lambda a: True)
     table.commit(head + actions, "MERGE", params, reads=reads, metrics=metrics, props=m.commit_properties, post=m.post)
     return metrics
 

@@ -6,9 +6,13 @@ import struct
 import uuid
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .store import Store
+from .store import Store, uri_of
 
+#: Deleted rows, by the vectors' own counts, up to which the driver decodes them itself.
+FEW_ROWS = 1 << 16
 _Z85 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.-:+=^!/*?&<>()[]{}@%$#"
 
 
@@ -107,19 +111,51 @@ def encode_bitmap(rows: np.ndarray) -> bytes:
 
 def deleted_rows(store: Store, dv: dict) -> np.ndarray:
     """The row numbers that a deletion vector of the log takes out of its file."""
-    kind, place = dv["storageType"], dv["pathOrInlineDv"]
-    if kind == "i":
-        return decode_bitmap(z85_decode(place)[: dv["sizeInBytes"]])
-    if kind == "u":
-        prefix, name = place[:-20], uuid.UUID(bytes=z85_decode(place[-20:]))
-        path = f"{prefix}/deletion_vector_{name}.bin" if prefix else f"deletion_vector_{name}.bin"
-    else:
-        path = place
-    data, at = store.read(path), dv.get("offset") or 1
+    if dv["storageType"] == "i":
+        return decode_bitmap(z85_decode(dv["pathOrInlineDv"])[: dv["sizeInBytes"]])
+    data, at = store.read(vector_file(dv)), dv.get("offset") or 1
     size = struct.unpack_from(">i", data, at)[0]
     return decode_bitmap(data[at + 4 : at + 4 + size])
 
 
+def vector_file(dv: dict) -> str:
+    """The file that holds a vector which isn't inline."""
+    place = dv["pathOrInlineDv"]
+    if dv["storageType"] != "u":
+        return place
+    prefix, name = place[:-20], uuid.UUID(bytes=z85_decode(place[-20:]))
+    return f"{prefix}/deletion_vector_{name}.bin" if prefix else f"deletion_vector_{name}.bin"
+
+
+def deleted_frame(spark: SparkSession, store: Store, vectors: list[tuple[str, dict]], file_col: str, row_col: str) -> DataFrame:
+    """(file, row number) of all rows that the vectors, each with its data file, take out.
+
+    Few rows are decoded on the driver; else a row a vector is dealt to the executors, which decode it with the part of
+    the vectors' file that Spark reads for it.
+    """
+    schema = f"{file_col} string, {row_col} long"
+    import pandas as pd
+
+    if sum(dv.get("cardinality") or FEW_ROWS for _, dv in vectors) <= FEW_ROWS:
+        return spark.createDataFrame(pd.concat([pd.DataFrame({file_col: u, row_col: deleted_rows(store, dv)}) for u, dv in vectors]), schema)
+    inside = [(u, bytearray(z85_decode(dv["pathOrInlineDv"])[: dv["sizeInBytes"]])) for u, dv in vectors if dv["storageType"] == "i"]
+    filed = [(u, store.absolute(vector_file(dv)), dv.get("offset") or 1, dv["sizeInBytes"]) for u, dv in vectors if dv["storageType"] != "i"]
+    data = spark.createDataFrame(inside, "file string, data binary")
+    if filed:
+        where = spark.createDataFrame([(u, uri_of(p), at, n) for u, p, at, n in filed], "file string, vectors string, at int, n int")
+        files = spark.read.format("binaryFile").load(list(dict.fromkeys(p for _, p, *_ in filed))).select(F.col("_metadata.file_path").alias("vectors"), "content")
+        # behind its size, in 4 bytes
+        data = data.unionByName(files.join(where, "vectors").select("file", F.expr("substring(content, at + 5, n)").alias("data")))
+    parts = min(len(vectors), 4 * spark.sparkContext.defaultParallelism)
+
+    def decode(frames):
+        for pdf in frames:
+            for file, bits in zip(pdf["file"], pdf["data"], strict=True):
+                yield pd.DataFrame({file_col: file, row_col: decode_bitmap(bytes(bits))})
+
+    return data.repartition(parts).mapInPandas(decode, schema)
+
+
 def inline(rows) -> dict:
     """A deletion vector that holds its rows itself."""
     data = encode_bitmap(rows)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import Predicate
 from ..functions.values import comparable, from_partition
-from .deletion_vectors import deleted_rows
+from .deletion_vectors import deleted_frame
 from .snapshot import Snapshot, TableError, physical_name, relative, stats_of
 from .store import Store, uri_of
 
@@ -97,10 +97,7 @@ def scan(spark: SparkSession, store: Store, snapshot: Snapshot, adds: list[dict]
         listed = spark.createDataFrame(rows, T.StructType([T.StructField(FILE, T.StringType()), T.StructField("__listed", T.BooleanType())] + [T.StructField(f.name, f.dataType, True) for f in parts]))
         df = df.join(listed, FILE, "left").where(F.coalesce("__listed", F.raise_error(F.concat(F.lit("not in the log: "), FILE)).cast("boolean"))).drop("__listed")
     if vectors:
-        import pandas as pd
-
-        gone = pd.concat([pd.DataFrame({FILE: u, ROW: deleted_rows(store, dv)}) for u, dv in vectors])
-        df = df.join(spark.createDataFrame(gone, f"{FILE} string, {ROW} long"), [FILE, ROW], "left_anti")
+        df = df.join(deleted_frame(spark, store, vectors, FILE, ROW), [FILE, ROW], "left_anti")
     return df.select(*[F.col(f"`{f.name}`") for f in schema], *([FILE, ROW] if identity else []))
 
 

@@ -124,6 +124,25 @@ def test_cdf_of_deletion_vectors(spark, path):
     assert t.count() == 8 and sum(t.deletion_vectors().first()["selection_vector"]) == 8
 
 
+def test_many_deleted_rows(spark, path, monkeypatch):
+    """Vectors that executors decode: one inline, one in a file."""
+    from tarn.operators.commit import remove_of
+    from tarn.sources import deletion_vectors as vectors
+
+    monkeypatch.setattr(vectors, "FEW_ROWS", 0)
+    t = write_table(spark, path, spark.range(0, 20, 1, 2).toDF("id"), configuration={"delta.enableDeletionVectors": "true"})
+    before = {(r.f, r.i): r.id for r in t.to_df(file_column="f", row_column="i").collect()}
+    one, two = sorted(t.snapshot.adds, key=lambda a: a["path"])
+    bits = vectors.encode_bitmap([0, 2, 4])
+    name = f"{path}/some vectors.bin"
+    with open(name, "wb") as f:
+        f.write(b"\x01" + b"skip" + len(bits).to_bytes(4, "big") + bits + b"sums")
+    filed = {"storageType": "p", "pathOrInlineDv": name, "offset": 5, "sizeInBytes": len(bits), "cardinality": 3}
+    t.commit([remove_of(one), remove_of(two), {"add": {**one, "deletionVector": vectors.inline([1])}}, {"add": {**two, "deletionVector": filed}}], "DELETE", {})
+    gone = {(t.uri(one), 1), *((t.uri(two), i) for i in (0, 2, 4))}
+    assert rows(t.to_df()) == sorted(((v,) for k, v in before.items() if k not in gone), key=repr) and len(before) == 20 and t.count() == 16
+
+
 def test_bitmaps():
     import numpy as np
 
