@@ -8,9 +8,9 @@
 4. A cluster is dealt into blocks of bounded size, each with a few hubs that all blocks of the cluster share: signatures
    are compared by bit counts, the similarity estimate corrected for chance collisions, and what may reach the
    threshold is confirmed on full sets, unless both are connected already. A block returns a spanning forest of
-   confirmed links. What is near the hubs is one component now, however many copies there are.
-5. In a cluster of several blocks, those outside its largest component are compared in the same way to all members of
-   other components: pairs within the largest component, which would grow with its square, are never made.
+   confirmed links, and says which of its members are connected with the cluster's first hub.
+5. In a cluster of several blocks, the members that aren't are compared in the same way to all others: pairs among those
+   that are, of which there may be very many copies and which would grow with their square, are never made.
 6. The components of all forests are the answer.
 
 A pair at the threshold is missed with probability below 2e-6: by the bands (1 - 0.85**8)**44 = 8e-7, by the estimate
@@ -164,7 +164,7 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join reads it as a plain side and Spark can split a hot node's rows on the other
         least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")), name)
-        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), name)
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
@@ -174,8 +174,11 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         seen = mark
 
 
-def _forest(members: list[tuple], threshold: tuple[int, int], floor: float) -> list[tuple[int, int]]:
-    """Confirmed links among the members (side, id, set, sig, label) of one group; with two sides, only those across them. A spanning forest of them, on top of equal labels, which are connected already."""
+def _forest(members: list[tuple], threshold: tuple[int, int], floor: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Confirmed links among the members (side, id, set, sig, label, ...) of one group; with two sides, only those across them.
+
+    A spanning forest of them, on top of equal labels, which are connected already; and the tree that each member is in.
+    """
     sides = np.array([m[0] for m in members])
     known: dict[int, int] = {}
     above = [known.setdefault(m[4], i) for i, m in enumerate(members)]
@@ -184,7 +187,7 @@ def _forest(members: list[tuple], threshold: tuple[int, int], floor: float) -> l
     sigs = np.stack([m[3] for m in members])
     across = sides.min() != sides.max()
     first = np.flatnonzero(sides == sides.min()) if across else np.arange(len(members))
-    pairs = []
+    pairs = [np.empty((0, 3))]
     for i in first:
         rest = np.flatnonzero(sides != sides[i]) if across else np.arange(i + 1, len(members))
         rest = rest[labels[rest] != labels[i]]
@@ -194,8 +197,6 @@ def _forest(members: list[tuple], threshold: tuple[int, int], floor: float) -> l
             e = estimate(sigs[i], sigs[rest])
             at = e >= floor
             pairs.append(np.column_stack([np.full(at.sum(), i), rest[at], -e[at]]))
-    if not pairs:
-        return []
     todo = np.concatenate(pairs)
     todo = todo[np.argsort(todo[:, 2], kind="stable")][:, :2].astype(np.int64)
     def top(x: int) -> int:
@@ -218,7 +219,7 @@ def _forest(members: list[tuple], threshold: tuple[int, int], floor: float) -> l
         if threshold[1] * both >= threshold[0] * (len(x) + len(y) - both):
             above[a] = b
             links.append((members[i][1], members[j][1]))
-    return links
+    return links, [top(i) for i in range(len(members))]
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +240,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), siz
     banded = same.select("rep", F.explode("bands").alias("band"))
     shared = materialise(banded.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least"), "bands")
     stars = banded.join(shared, "band").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    clusters = components(stars.distinct(), "clusters")
+    clusters = components(stars, "clusters")
     members = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
     members = members.join(same.select(F.col("rep").alias("node"), "fingerprint", "n", "sig"), "node")
     members = materialise(members, "members")
@@ -266,58 +267,71 @@ def _confirmed(spark: SparkSession, members: DataFrame, docs: DataFrame, thresho
     large = members.groupBy("component").agg(blocks.alias("blocks"), F.greatest(F.floor(F.count(F.lit(1)) / HUBS), F.lit(1)).alias("to_hub")).where("blocks > 1")
     dealt = members.join(large, "component", "left").withColumn("own", F.pmod(F.xxhash64("node", "fingerprint"), F.coalesce("blocks", F.lit(1))).cast("int"))
     text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node IS NOT NULL")
-    hub = F.pmod(F.xxhash64("node", "fingerprint", F.lit(1)), F.col("to_hub")) == 0
-    near = dealt.withColumn("others", F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
-    near = near.withColumn("label", F.col("node")).join(text, "node").withColumn("one", F.explode("others")).withColumn("two", F.col("one"))
-    links = materialise(_links(near, threshold, size), "links-in-blocks")
-
-    several = materialise(dealt.where("blocks > 1").drop("own", "blocks", "to_hub"), "large-clusters")
-    if several.isEmpty():
+    # all texts are shuffled once, and those of clusters written for both rounds
+    dealt = materialise(dealt.join(text, "node"), "cluster-texts")
+    hub = (F.col("node") == F.col("component")) | (F.pmod(F.xxhash64("node", "fingerprint", F.lit(1)), F.col("to_hub")) == 0)
+    near = dealt.withColumn("others", F.when(F.col("blocks").isNotNull() & hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
+    near = near.select("*", F.col("node").alias("label"), F.col("blocks").isNotNull().alias("tell")).withColumn("one", F.explode("others")).withColumn("two", F.col("one"))
+    found = materialise(_links(near, threshold, size), "links-in-blocks")
+    links = found.where("mark IS NULL").select("a", "b")
+    labels = found.where("mark IS NOT NULL").select(F.col("a").alias("node"), F.col("mark").alias("fingerprint"), F.col("b").alias("label"))
+    outside = F.col("label") != F.col("component")
+    if labels.isEmpty():
         return links
-    inside = components(links.join(several.select(F.col("node").alias("a")).distinct(), "a", "left_semi"), "in-blocks")
-    labelled = several.join(inside.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = materialise(labelled, "labelled")
-    main = labelled.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    outside = F.col("label") != F.col("main")
+
+    labelled = members.join(labels, ["node", "fingerprint"])
     many = lambda those: F.greatest(F.ceil(F.count_if(those) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(those, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
-    # clusters with members outside their largest component: blocks of these, and blocks of that component
-    plan = labelled.join(main, "component").groupBy("component").agg(F.first("main").alias("main"), many(outside).alias("rest"), many(~outside).alias("mains")).where("rest > 0")
-    todo = labelled.join(plan, "component")
+    # clusters with members that aren't connected with the first hub: blocks of these, and blocks of those that are
+    plan = materialise(labelled.groupBy("component").agg(many(outside).alias("rest"), many(~outside).alias("mains")).where("rest > 0"), "rest")
+    if plan.isEmpty():
+        return links
+    todo = labelled.join(plan, "component").withColumn("tell", F.lit(False))
     mark = F.xxhash64("node", "fingerprint", F.lit(2))
     todo = todo.withColumn("own", F.when(outside, F.pmod(mark, F.col("rest"))).otherwise(F.col("rest") + F.pmod(mark, F.col("mains"))).cast("int"))
     todo = todo.withColumn("others", F.sequence(F.lit(0), F.when(outside, F.col("rest") + F.col("mains")).otherwise(F.col("rest")) - 1))
-    todo = todo.join(text, "node").withColumn("other", F.explode("others")).withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
-    return links.unionByName(_links(todo, threshold, size))
+    todo = todo.join(dealt.where("blocks IS NOT NULL").select("node", "fingerprint", "text"), ["node", "fingerprint"]).withColumn("other", F.explode("others")).withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
+    return links.unionByName(_links(todo, threshold, size).select("a", "b"))
 
 
 def _links(work: DataFrame, threshold: tuple[int, int], size: int) -> DataFrame:
-    """Links (a, b) within each group (component, one, two) of work: among all members where one = two, else between those whose own blocks differ."""
+    """Links (a, b) within each group (component, one, two) of work: among all members where one = two, else between those whose own blocks differ.
+
+    In groups with ``tell`` one row follows for each member of that block: its node as a, its fingerprint as mark, and as
+    b the component's node where both are connected, else the smallest node of its tree.
+    """
     import pyarrow as pa
 
     floor, group = least_estimate(threshold[0] / threshold[1]), ["component", "one", "two"]
-    work = work.select(*group, "own", "node", "fingerprint", "sig", "text", "label")
+    work = work.select(*group, "own", "node", "fingerprint", "sig", "text", "label", "tell")
     work = work.repartition(partitions(work.sparkSession), *group).sortWithinPartitions(*group, "own", "node")
 
     def confirm(batches):
-        words, now, held = WordHashes(200_000), None, {}
+        words, now, held, tell = WordHashes(200_000), None, {}, False
 
         def done():
-            links = _forest(list(held.values()), threshold, floor) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            members = list(held.values())
+            out, trees = _forest(members, threshold, floor)
+            rows = [(a, b, None) for a, b in out]
+            if tell:
+                name: dict[int, int] = {}
+                for m, t in zip(members, trees, strict=True):
+                    name[t] = min(m[1], name.get(t, m[1]))  # no node is below the component's
+                rows += [(m[1], name[t], m[5]) for m, t in zip(members, trees, strict=True) if m[6]]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "mark"])
 
         for batch in bounded_batches(batches, 512):
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                key, own, node, mark, sig, text, label = row[:3], *row[3:]
+                key, own, node, mark, sig, text, label, telling = row[:3], *row[3:]
                 if key != now:
                     if held:
                         yield done()
-                    now, held = key, {}
+                    now, held, tell = key, {}, telling
                 found = shingle_set(text, words, size)
                 # rows of one id with other texts have sets of their own
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == mark:
                     side = 0 if key[1] == key[2] else own
-                    held[side, node, mark] = (side, node, found, np.frombuffer(sig, dtype=np.uint64).reshape(BITS, -1), label)
+                    held[side, node, mark] = (side, node, found, np.frombuffer(sig, dtype=np.uint64).reshape(BITS, -1), label, mark, own == key[1])
         if held:
             yield done()
 
-    return work.mapInArrow(confirm, "a long, b long")
+    return work.mapInArrow(confirm, "a long, b long, mark binary")
