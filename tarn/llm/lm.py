@@ -175,8 +175,10 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
 
         def out():
             h, n = np.unique(np.concatenate([*train, np.empty(0, U64)]), return_counts=True)
-            pair, m = np.unique(bigrams(parts)[2], return_counts=True)
-            # one that has its share of all tokens has half of it at least in such blocks as have half of it themselves
+            # a bigram that has its share of all tokens has half of it at least in such blocks as have half of it themselves
+            pair = bigrams(parts)[2]
+            bucket = (pair >> U64(46)).astype(np.int64)
+            pair, m = np.unique(pair[(np.bincount(bucket, minlength=1 << 18) * 2 * hot_share > size)[bucket]], return_counts=True)
             often = m * 2 * hot_share > size
             columns = [(0, h, n), (1, pair[often], m[often]), (2, np.zeros(1, U64), np.array([size]))]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(x), k, np.int8) for k, x, _ in columns])), pa.array(np.concatenate([x for _, x, _ in columns]).view(np.int64)), pa.array(np.concatenate([x for *_, x in columns]), pa.int64())], names=["kind", "h", "n"])
@@ -235,13 +237,13 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
                 pa.array(ids, id_arrow), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(seen), pa.array(base), pa.array(score),
             ], names=names)
             train = ~np.array(held, dtype=bool)
-            shard = (np.where(cw >= 0, pair, scramble(w.copy())) >> U64(11)) % U64(shards)
             blocks, of, what = [], [], []
 
             def send(at, coded, n, kind_of_row):
-                place = np.lexsort((w[at], shard[at]))
+                shard = ((np.where(cw[at] >= 0, pair[at], scramble(w[at])) >> U64(11)) % U64(shards)).astype(np.int32)
+                place = np.lexsort((w[at], shard))
                 order = at[place]
-                bounds = np.searchsorted(shard[order], np.arange(shards + 1).astype(U64))
+                bounds = np.searchsorted(shard[place], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(bounds)).tolist():
                     o, p = order[bounds[s] : bounds[s + 1]], place[bounds[s] : bounds[s + 1]]
                     blocks.append(encode(w[o], v[o] >> U64(32), kind[o], coded[p], n[p]))
