@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_first(docs, threshold=(85, 100))
+    """One document of each group of near duplicates: those linked at a similarity of 80 in 100 or more."""
+    return keep_first(docs, threshold=(80, 100))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,3 +283,15 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert packed.count() == corpus_pipeline.run(spark, folder).count()
+
+
+def test_pipeline_near_threshold(spark):
+    """Near copies of a similarity from 0.80 go, those below it stay."""
+    import corpus_pipeline
+
+    pairs = []
+    for k, same in enumerate((88, 89, 90, 91, 92, 93)):  # of 100 shingles each: similarities of 0.786, 0.802, ... 0.869
+        words = [f"w{k}x{j}" for j in range(208 - same)]
+        pairs += [(2 * k, " ".join(words[:104])), (2 * k + 1, " ".join(words[100 - same : 204 - same]))]
+    kept = corpus_pipeline.near(spark, frame(spark, pairs), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 4, 6, 8, 10]
