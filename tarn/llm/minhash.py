@@ -1,7 +1,7 @@
 """Near-dedup by b-bit MinHash: banded candidates, estimates from packed low bits, confirmation on full sets.
 
-1. One pass makes each document's set of shingle hashes, a fingerprint of the set, the low ``BITS`` bits of ROWS * BANDS
-   minima packed as bit planes, and a hash of each band's minima.
+1. One pass makes each document's set of shingle hashes, a fingerprint of the set, the low ``BITS`` bits of HASHES minima
+   packed as bit planes, and a hash of each band's minima; the threshold says how many rows and bands there are.
 2. Documents with equal sets are one class; its smallest id stands for it.
 3. Classes that share a band are linked to the smallest of the bucket: rows grow as the classes, never as their pairs.
    The connected components of these links are clusters, which hold every pair that shares a band.
@@ -13,8 +13,8 @@
    that are, of which there may be very many copies and which would grow with their square, are never made.
 6. The components of all forests are the answer.
 
-A pair at the threshold is missed with probability below 2e-6: by the bands (1 - 0.85**8)**44 = 8e-7, by the estimate
-(4.75 standard deviations) 1e-6.
+A pair at the threshold is missed with probability below 2e-6: by the bands at most MISSED, for which ``banding`` chooses
+them (at 0.85, 44 bands of 8 rows: (1 - 0.85**8)**44 = 8e-7), by the estimate (4.75 standard deviations) 1e-6.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from ._common import bounded_batches, materialise, partitions
 
 SHINGLE = 5
-ROWS, BANDS, BITS = 8, 44, 2
-HASHES = ROWS * BANDS
+HASHES, BITS = 352, 2
+#: A band has so many rows at most, and the bands miss a pair at the threshold with so much probability at most.
+MOST_ROWS, MISSED = 8, 1e-6
 #: Standard deviations of the estimate below the threshold at which a pair is still confirmed.
 MARGIN = 4.75
 #: A block holds about so many members and shingles.
@@ -104,12 +105,21 @@ def packed(minima: np.ndarray) -> np.ndarray:
     return np.stack([np.ascontiguousarray(p).view(np.uint64) for p in planes], axis=1)
 
 
-def band_hashes(minima: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each band's minima, with the band's number in it: (documents, BANDS)."""
-    rows = minima.reshape(len(minima), BANDS, ROWS).astype(np.uint64)
-    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(minima), 1))
-    for r in range(ROWS):
-        out = scramble((out ^ rows[:, :, r]) * MIX[r])
+def banding(threshold: float) -> tuple[int, int]:
+    """(rows, bands): the most rows, and the fewest bands of them, that miss a pair at the threshold with MISSED at most."""
+    for rows in range(MOST_ROWS, 0, -1):
+        for bands in range(1, HASHES // rows + 1):
+            if (1 - threshold**rows) ** bands <= MISSED:
+                return rows, bands
+    raise ValueError(f"{HASHES} minima don't find all pairs at a similarity of {threshold}")
+
+
+def band_hashes(minima: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """A 64-bit hash of each band's minima, with the band's number in it: (documents, bands)."""
+    parts = minima[:, : rows * bands].reshape(len(minima), bands, rows).astype(np.uint64)
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(minima), 1))
+    for r in range(rows):
+        out = scramble((out ^ parts[:, :, r]) * MIX[r])
     return out
 
 
@@ -130,7 +140,7 @@ def least_estimate(threshold: float) -> float:
     return threshold - MARGIN * float(np.sqrt(p * (1 - p) / HASHES)) / (1 - chance)
 
 
-def digests(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def digests(docs: DataFrame, size: int, rows: int, bands: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, fingerprint, sig, bands); the last three are null for empty sets."""
     import pyarrow as pa
 
@@ -139,15 +149,15 @@ def digests(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
         for batch in bounded_batches(batches, 128):
             sets = [shingle_set(t, words, size) for t in batch.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
-            prints, sigs, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            prints, sigs, banded = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
                 minima = signatures([sets[i] for i in full])
-                planes, hashes = packed(minima), band_hashes(minima).view(np.int64)
+                planes, hashes = packed(minima), band_hashes(minima, rows, bands).view(np.int64)
                 for row, i in enumerate(full):
                     prints[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     sigs[i] = planes[row].tobytes()
-                    bands[i] = hashes[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "fingerprint", "sig", "bands"])
+                    banded[i] = hashes[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], names=["id", "n_shingles", "fingerprint", "sig", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(digest, "id long, n_shingles long, fingerprint binary, sig binary, bands array<long>")
 
@@ -227,13 +237,13 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), siz
 
     Words are what ASCII white space separates, A-Z lower-cased; the set of a document is its distinct shingles of
     ``size`` words, or all of its words as one where it has fewer. Documents are linked where
-    intersection / union >= threshold (a fraction); component_id is the smallest id reachable, kept says whether that
+    intersection / union >= threshold (a fraction, not so low that ``banding`` rejects it); component_id is the smallest id reachable, kept says whether that
     is the document itself. Null texts and texts without words have empty sets, are linked with nothing and kept. Rows
     of one id are one document, linked as any of them is, each returned; a row of null id is linked with nothing and
     kept. Empty tables give empty results; other columns of docs are not read.
     """
     spark = docs.sparkSession
-    all_docs = materialise(digests(docs, size, id_col, text_col), "digests")
+    all_docs = materialise(digests(docs, size, *banding(threshold[0] / threshold[1]), id_col, text_col), "digests")
     sets = all_docs.where("fingerprint IS NOT NULL AND id IS NOT NULL")
     same = sets.groupBy("fingerprint").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     same = materialise(same, "classes")

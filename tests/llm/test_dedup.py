@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -12,7 +13,7 @@ import pytest
 from tarn.llm.content_sort import content_sort
 from tarn.llm.cuckoo import CuckooFilter
 from tarn.llm.lines import LineIndex, dedup_lines, line_key
-from tarn.llm.minhash import components, estimate, keep_first, near_duplicates, packed, signatures
+from tarn.llm.minhash import banding, components, estimate, keep_first, near_duplicates, packed, signatures
 
 ODD = "doc_id long, text string, lang string, _id string, keep_id string, n_lines int, shard int, `we.ird` int"
 EXTRA = ("en", "x", "y", 1, 2, 3)
@@ -144,6 +145,34 @@ def test_near_duplicates_in_blocks(spark, monkeypatch, rows, hubs):
     assert all(r.component_id == want.get(r.doc_id) for r in near_duplicates(frame(spark, pairs)).collect())
 
 
+@pytest.mark.parametrize("threshold", [(50, 100)])
+def test_near_duplicates_at_lower_thresholds(spark, threshold):
+    """Pairs at the threshold share a band; those a little below it aren't linked."""
+    share, rng = threshold[0] / threshold[1], random.Random(12)
+    pairs, want = [], {}
+    for i in range(0, 400, 2):
+        # 100 shingles each, a run of the first text's words goes on in the second
+        same = math.ceil(200 * share / (1 + share)) - (i % 8 == 0)
+        words = [f"w{rng.randrange(10**9)}" for _ in range(208 - same)]
+        pairs += [(i, " ".join(words[:104])), (i + 1, " ".join(words[100 - same : 204 - same]))]
+        a, b = (shingles(t) for _, t in pairs[-2:])
+        linked = threshold[1] * len(a & b) >= threshold[0] * len(a | b)
+        assert len(a) == len(b) == 100 and linked == (i % 8 > 0)
+        want |= {i: i, i + 1: i if linked else i + 1}
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, pairs), threshold=threshold).collect()}
+    assert got == want
+
+
+def test_banding():
+    assert banding(0.85) == (8, 44)
+    for share in (0.05, 0.3, 0.5, 0.7, 0.8, 0.85, 0.9, 1.0):
+        rows, bands = banding(share)
+        assert rows * bands <= 352 and (1 - share**rows) ** bands <= 1e-6
+    for share in (0.0, 0.03):
+        with pytest.raises(ValueError):
+            banding(share)
+
+
 def test_estimates():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
