@@ -1,18 +1,20 @@
 """URL filters: association rules over URL tokens.
 
-FP-growth mines combinations of the tokens of labelled URLs together with their labels; rules "tokens => label" that
+Frequent combinations of the tokens of labelled URLs are mined, level by level, together with their labels; rules "tokens => label" that
 are confident and supported enough are kept, less those that a shorter rule already implies. URLs are judged through
 an inverted index from a rule's rarest token to the rule. Rules that people wrote, by host and path, come first.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower
+from ._common import ascii_lower, bounded_batches, materialise
 
 #: (verdict, host, start of path)
 SITE_RULES = (
@@ -22,7 +24,6 @@ SITE_RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-LABEL = "\x00label="
 
 
 def host_of(url: Column) -> Column:
@@ -66,49 +67,85 @@ class UrlRules:
     default: str
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, most_tokens: int = 200, longest: int = 3, most_in_url: int = 14) -> UrlRules:
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, longest: int = 3) -> UrlRules:
     """Rules from rows (tokens, label), label "allow" or "block".
 
-    Only tokens that reach the support can be in a rule; there are at most 1 / min_support * (tokens a URL) of them,
-    and the ``most_tokens`` most frequent are mined, of one URL the ``most_in_url`` rarest of these, so that FP-growth's
-    work has a bound however many tokens a frequent URL has. Of the rules that remain, those go which a rule on fewer
-    of the same tokens makes with at least their confidence.
+    Only tokens that reach the support can be in a rule; there are at most 1 / min_support * (tokens a URL) of them. All
+    are mined, of every URL, in combinations of up to ``longest``, level by level: a combination is counted where all
+    that are one token shorter can still grow. One can't if no label has the support with it, if it has as many rows as
+    a shorter one of its tokens, or if all its rows have one label: what is longer makes no rule then that a shorter one
+    doesn't make with at least the same confidence, and such rules go.
     """
-    from pyspark.ml.fpm import FPGrowth
-
     rows = labelled.where("label IS NOT NULL").select("tokens", "label")
     by_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(by_label.values())
     default = max(sorted(by_label), key=by_label.get) if by_label else "allow"
     if len(by_label) < 2:
         return UrlRules((), default)
-    frequent = rows.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= min_support * total)
-    keep = [r["t"] for r in frequent.orderBy(F.desc("count"), "t").limit(most_tokens).collect()]
-    # the order of the first array stays: rarest first
-    kept = F.slice(F.array_intersect(F.array(*map(F.lit, reversed(keep))), "tokens"), 1, most_in_url) if keep else F.array().cast("array<string>")
-    baskets = rows.select(F.concat(kept, F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
-    sets = sets.where(F.size("items") <= longest + 1)
-    count, pairs = {}, []
-    for r in sets.toLocalIterator():  # combinations of at most `longest` of `most_tokens` tokens
-        items = frozenset(x for x in r["items"] if not x.startswith(LABEL))
-        label = next((x[len(LABEL) :] for x in r["items"] if x.startswith(LABEL)), None)
-        if label is None:
-            count[items] = r["freq"]
-        elif items:
-            pairs.append((items, label, r["freq"]))
+    labels, least = sorted(by_label), min_support * total
+    frequent = rows.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least)
+    names = sorted(r["t"] for r in frequent.collect())
+    if not names:
+        return UrlRules((), default)
+    kept = F.sort_array(F.array_intersect("tokens", F.array(*map(F.lit, names))))
+    baskets = materialise(rows.groupBy(kept.alias("tokens"), "label").count(), "baskets")
     rules: dict[tuple[frozenset, str], tuple[float, float]] = {}
-    for items, label, n in sorted(pairs, key=lambda x: (len(x[0]), sorted(x[0]))):
-        confidence = n / count[items]
-        if confidence < min_confidence or confidence <= by_label[label] / total:
-            continue
-        if any(k < items and l == label and c >= confidence for (k, l), (c, _) in rules.items()):
-            continue
-        rules[items, label] = (confidence, n / total)
+    counts: dict[tuple[str, ...], int] = {(): total}
+    growing = {()}
+    for size in range(1, longest + 1):
+        found = _counted(baskets, growing, size, labels, least)
+        grown = set()
+        for items, by in sorted(found.items()):
+            n, key = sum(by), frozenset(items)
+            shorter = [items[:k] + items[k + 1 :] for k in range(size)]
+            if any(counts[k] == n for k in shorter if k):
+                continue
+            counts[items] = n
+            for label, m in zip(labels, by, strict=True):
+                confidence = m / n
+                if m < least or confidence < min_confidence or confidence <= by_label[label] / total:
+                    continue
+                if any((frozenset(k), label) in rules and rules[frozenset(k), label][0] >= confidence for r in range(1, size) for k in combinations(items, r)):
+                    continue
+                rules[key, label] = (confidence, m / total)
+            if max(by) >= least and max(by) < n:
+                grown.add(items)
+        growing = grown
+        if not growing:
+            break
     out = [(tuple(sorted(k)), label, c, s) for (k, label), (c, s) in rules.items()]
     return UrlRules(tuple(sorted(out, key=lambda r: (-r[2], -r[3], r[0]))), default)
 
 
+def _counted(baskets: DataFrame, growing: set[tuple[str, ...]], size: int, labels: list[str], least: float) -> dict[tuple[str, ...], list[int]]:
+    """Rows by label of each combination of ``size`` tokens that has ``least`` rows, and whose shorter ones are all in growing."""
+    import pyarrow as pa
+
+    def count(batches):
+        seen: dict[tuple, int] = {}
+
+        def out():
+            keys = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.list_(pa.string())), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["items", "label", "n"])
+
+        for batch in bounded_batches(batches):
+            for tokens, label, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ways = [()] if size == 1 else (c for c in combinations(tokens, size - 1) if c in growing)
+                for start in ways:
+                    for t in tokens[bisect_right(tokens, start[-1]) if start else 0 :]:
+                        items = (*start, t)
+                        if size == 1 or all(items[:k] + items[k + 1 :] in growing for k in range(size - 1)):
+                            seen[items, label] = seen.get((items, label), 0) + n
+                            if len(seen) > 100_000:
+                                yield out()
+                                seen.clear()
+        yield out()
+
+    sums = [F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(labels)]
+    found = baskets.select("tokens", "label", "count").mapInArrow(count, "items array<string>, label string, n long").groupBy("items").agg(*sums)
+    return {tuple(r["items"]): list(r[1:]) for r in found.where(sum(F.col(f"n{k}") for k in range(len(labels))) >= least).toLocalIterator()}
+
+
 def judge_mined(tokens: Column, rules: UrlRules) -> Column:
     """The verdict of the best mined rule that fits, found by an inverted index: token -> rules that need it first."""
     if not rules.rules:

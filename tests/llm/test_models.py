@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from tarn.llm.elias_fano import EliasFano, Trie, mapped
 from tarn.llm.lm import lm_scores
 from tarn.llm.quality import fit_quality, keep_quality, score_quality
 from tarn.llm.toxicity import fit_toxicity, score_toxicity, threshold
-from tarn.llm.url_rules import SITE_RULES, judge_urls
+from tarn.llm.url_rules import SITE_RULES, judge_urls, mine
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -254,6 +255,30 @@ def test_mining_is_bounded(spark):
     assert {got[i] for i in range(60)} == {"block"} and {got[i] for i in range(60, 120)} == {"allow"}
 
 
+def test_mining_is_whole(spark):
+    """Tokens count in URLs of many frequent tokens too, and so do those beyond the 200 most frequent."""
+    rare = [f"p:r{k:02}" for k in range(14)]
+    rows = [(["p:t", *rare], "allow")] * 33 + [(["p:t"], "block")] * 2 + [(["p:o"], "block")] * 65
+    common = [f"q:c{k:03}" for k in range(200)]
+    rows += [(common, label) for label in ("allow", "block") for _ in range(20)] + [(["p:late", "p:z"], "block")] * 10
+    rows += [(["p:x", "p:y"], "block")] * 10 + [(["p:x"], "allow")] * 10 + [(["p:y"], "allow")] * 10
+    rules = mine(spark.createDataFrame(rows, "tokens array<string>, label string"), min_support=0.01)
+    got = {(items, verdict): confidence for items, verdict, confidence, _ in rules.rules}
+    assert got[("p:t",), "allow"] == 33 / 35 and (("p:t",), "block") not in got
+    assert got[("p:late",), "block"] == 1 and got[("p:x", "p:y"), "block"] == 1
+    # brute force over all combinations of the tokens that don't stand in the rows of 200
+    want, n = {}, len(rows)
+    tokens = sorted({t for r, _ in rows for t in r if t[:3] != "q:c"})
+    for size in (1, 2, 3):
+        for items in combinations(tokens, size):
+            by = Counter(label for r, label in rows if set(items) <= set(r))
+            for label, m in by.items():
+                c = m / sum(by.values())
+                if m >= 0.01 * n and c >= 0.8 and c > sum(x == label for _, x in rows) / n and not any(want.get((k, label), 0) >= c for r in range(1, size) for k in combinations(items, r)):
+                    want[items, label] = c
+    assert got == want
+
+
 def test_urls(spark):
     urls = URLS * 3 + [f"http://h{i % 7}.example.{d}/{lang}/{i}" for i in range(300) for d, lang in (("net", "es"), ("net", "en"), ("org", "es"), ("com", "en"))]
     pages = spark.createDataFrame([(i if i != 4 else None, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
