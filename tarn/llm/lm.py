@@ -17,6 +17,10 @@ what goes back are blocks too, and not a row for each document and shard.
 A bigram with a large share of all tokens would bring its shard a record for each document. Such hot bigrams, whose
 number the share bounds, are added up by block: their shard gets one record a block and returns the gain, and what each
 document has of them goes past the shards, with the block. Nothing is pruned, capped or sampled.
+
+The count of a context that isn't broadcast is known in its own word's shard only, and m(v) with it. The shard of such a
+bigram returns c(v, w) / P1(w) with each document's record, the word's shard the class of c(v) to each block that has
+the word, and the block, which gets both, makes the gain of them. These gains aren't quantised.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from .minhash import WordHashes, scramble
 from .token_counts import _frequency
 
 END, BEGIN = 0x9AE16A3B2F90404F, 0xC949C7DEFE8A21B5
-#: m(v): for words that aren't broadcast, and factor and power of c(v) for those that are.
+#: m(v): for words that training doesn't have, where it has no effect, and factor and power of c(v) for all others.
 RARE_WEIGHT, WEIGHT, POWER = 6.0, 3.0, 0.9
 #: Tokens that a task turns into blocks at a time.
 BLOCK_TOKENS = 1 << 20
@@ -43,16 +47,18 @@ WORDS = 150_000
 HOT_SHARE = 4096
 #: Rows of a block that no single document's are: what its documents have of hot bigrams, a shard's records of these, their gains.
 OWN_HOT, TO_SHARD_HOT, GAINS_HOT = -1, -2, -3
+#: The same for contexts that aren't broadcast: a shard's records, cold and hot, what it found of either, and classes of its words.
+TO_SHARD_RARE, TO_SHARD_RARE_HOT, FOUND_RARE, FOUND_RARE_HOT, CLASSES = -4, -5, -6, -7, -8
 U64 = np.uint64
 
 
 def context_class(count: np.ndarray) -> np.ndarray:
-    """1 and up for counts of broadcast words, by quarter octaves."""
-    return (1 + np.floor(4 * np.log2(np.maximum(count, 1)))).astype(np.uint8)
+    """0 for a count of 0, else 1 and up, by quarter octaves."""
+    return np.where(count > 0, 1 + np.floor(4 * np.log2(np.maximum(count, 1))), 0).astype(np.uint8)
 
 
 def context_weight(kind: np.ndarray) -> np.ndarray:
-    """m(v) of a class; 0 is that of words that aren't broadcast."""
+    """m(v) of a class."""
     return np.where(kind == 0, RARE_WEIGHT, WEIGHT * 2.0 ** (POWER * (kind.astype(float) - 1) / 4))
 
 
@@ -75,35 +81,37 @@ def bigrams(tokens: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return w, v, scramble(w * U64(0x9E3779B97F4A7C15) ^ v)
 
 
-def encode(w: np.ndarray, v: np.ndarray, kind: np.ndarray, row: np.ndarray, n: np.ndarray) -> bytes:
-    """Records sorted by w, as compressed columns: differences of w by bytes, and the others as they are."""
+def encode(w: np.ndarray, v: np.ndarray, kind: np.ndarray, row: np.ndarray, n: np.ndarray, whole: bool = False) -> bytes:
+    """Records sorted by w, as compressed columns: differences of w by bytes, the upper halves of v (the lower ones last, if whole), and the others as they are."""
     import zstandard
 
     steps = np.diff(w, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(b"".join((np.ascontiguousarray(steps).tobytes(), v.astype(np.uint32).tobytes(), kind.tobytes(), row.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes())))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join((np.ascontiguousarray(steps).tobytes(), (v >> U64(32)).astype(np.uint32).tobytes(), kind.tobytes(), row.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), v.astype(np.uint32).tobytes() if whole else b"")))
 
 
-def decode(data: bytes) -> tuple[np.ndarray, ...]:
+def decode(data: bytes, whole: bool = False) -> tuple[np.ndarray, ...]:
+    """(w, upper half of v, lower half, class, row, n)."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n = len(raw) // 21
+    n = len(raw) // (25 if whole else 21)
     steps = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T
     at = 8 * n
     w = np.cumsum(np.ascontiguousarray(steps).view(U64).ravel(), dtype=U64)
     v = np.frombuffer(raw, np.uint32, n, at)
     kind = np.frombuffer(raw, np.uint8, n, at + 4 * n)
     row = np.frombuffer(raw, np.uint32, n, at + 5 * n)
-    return w, v, kind, row, np.frombuffer(raw, np.uint32, n, at + 9 * n)
+    low = np.frombuffer(raw, np.uint32, n, at + 13 * n) if whole else np.zeros(n, np.uint32)
+    return w, v, low, kind, row, np.frombuffer(raw, np.uint32, n, at + 9 * n)
 
 
 class Unigrams:
-    """Counts of the broadcast words, the numbers of training tokens (N) and of distinct ones (V), and the hot bigrams."""
+    """Counts of the broadcast words, the numbers of training tokens (N), of distinct ones (V) and of texts, and the hot bigrams."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, hot: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, starts: int, hot: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.starts = total, distinct, starts
         self.hot = np.sort(hot)
 
     def hot_number(self, pair: np.ndarray) -> np.ndarray:
@@ -124,12 +132,17 @@ class Unigrams:
         return np.log10((count + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
 
-def _shard(records: list[tuple], uni: Unigrams, folder: str) -> tuple[np.ndarray, ...]:
-    """(row, n_known, base, score): sums by document of one shard's records (w, v, class, row, n, training); (row, gain) of those with rows below 0."""
-    w, v, kind, row, n, training = (np.concatenate(x) for x in zip(*records, strict=True))
+def _shard(records: list[tuple], blocks: np.ndarray, uni: Unigrams, folder: str) -> tuple[tuple[np.ndarray, ...], ...]:
+    """Of one shard's records (w, halves of v, class, row, n, training), class 0 where the context isn't broadcast:
+
+    (row, n_known, base, score): sums by document; (row, gain or share, context or 0) of those with rows below 0;
+    (row, context, n, share) of contexts that aren't broadcast, share being c(v, w) / P1(w), where that isn't 0; and
+    (block, word, class) of words that aren't broadcast, for each of the sorted blocks that has them.
+    """
+    w, v, low, kind, row, n, training = (np.concatenate(x) for x in zip(*records, strict=True))
     word, number = np.unique(w, return_inverse=True)
     order = np.argsort((number.astype(U64) << U64(32)) | v)
-    number, v, kind, row, n, training = (x[order] for x in (number, v, kind, row, n, training))
+    number, v, low, kind, row, n, training = (x[order] for x in (number, v, low, kind, row, n, training))
     seen = np.where(training, n, 0)
     first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (v[1:] != v[:-1])]))
     together = np.add.reduceat(seen, first)
@@ -137,21 +150,32 @@ def _shard(records: list[tuple], uni: Unigrams, folder: str) -> tuple[np.ndarray
     rare = count < 0
     count = np.where(rare, np.bincount(number, seen, len(word)), count)
     log_p = uni.log_p(count)
-    at = first[together > 0]
-    gain = np.log10(1 + together[together > 0] / (context_weight(kind[at]) * 10.0 ** log_p[number[at]]))
+    closed = kind[first] > 0
+    learnt = (together > 0) & closed
+    at = first[learnt]
+    gain = np.log10(1 + together[learnt] / (context_weight(kind[at]) * 10.0 ** log_p[number[at]]))
     trie = mapped(Trie.build(word[number[at]] >> U64(1), v[at], gain), folder, f"{np.random.default_rng().integers(1 << 62):x}")
-    found = np.nan_to_num(trie.find(word[number[first]] >> U64(1), v[first]))
-    gain = np.repeat(found, np.diff(np.append(first, len(v))))
+    found = np.where(closed, np.nan_to_num(trie.find(word[number[first]] >> U64(1), v[first])), 0.0)
+    share = np.where(closed, 0.0, together / 10.0 ** log_p[number[first]])
+    gain, share = (np.repeat(x, np.diff(np.append(first, len(v)))) for x in (found, share))
+    context = np.where(kind > 0, U64(0), v.astype(U64) << U64(32) | low)
     own = np.where(rare, log_p, 0.0)
-    after = np.where(rare & (word != U64(END)), context_term(count, np.zeros(len(word), np.uint8)), 0.0)
+    after = np.where(rare & (word != U64(END)), context_term(count, context_class(count)), 0.0)
     hot = row < 0
-    gains = row[hot], gain[hot]
-    row, n, number, gain = row[~hot], n[~hot], number[~hot], gain[~hot]
+    gains = row[hot], gain[hot] + share[hot], context[hot]
+    row, n, number, gain, share, context = (x[~hot] for x in (row, n, number, gain, share, context))
+    at = np.flatnonzero(share > 0)
+    at = at[np.argsort(row[at], kind="stable")]
+    shares = row[at], context[at], n[at], share[at]
+    at = (rare & (count > 0) & (word != U64(END)))[number]
+    pair = np.unique((np.searchsorted(blocks, row[at], "right") - 1) * len(word) + number[at])
+    of, which = np.divmod(pair, len(word))
+    classes = blocks[of], word[which], context_class(count[which])
     rows, place = np.unique(row, return_inverse=True)
     base = np.bincount(place, n * own[number], len(rows))
     score = base + np.bincount(place, n * (after[number] + gain), len(rows))
     known = np.bincount(place, n * (rare & (count > 0))[number], len(rows)).astype(np.int64)
-    return rows, known, base, score, *gains
+    return (rows, known, base, score), gains, shares, classes
 
 
 def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,9 +227,10 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
     # at most 2 * hot_share of them
     hot = counted.where((F.col("kind") == 1) & (F.col("n") * 2 * hot_share > everything)).select("h").toPandas()
     begin = int(np.array([BEGIN], dtype=U64).view(np.int64)[0])
-    total, distinct = counts.where(F.col("h") != begin).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    a_word = F.col("h") != begin
+    total, distinct, starts = counts.agg(F.coalesce(F.sum(F.when(a_word, F.col("n"))), F.lit(0)), F.count_if(a_word), F.coalesce(F.sum(F.when(~a_word, F.col("n"))), F.lit(0))).first()
     top = counts.where(F.col("n") >= _frequency(counts, frequent)).toPandas()
-    known = spark.sparkContext.broadcast(Unigrams(top["h"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), total, distinct, hot["h"].to_numpy(np.int64).view(U64)))
+    known = spark.sparkContext.broadcast(Unigrams(top["h"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), total, distinct, starts, hot["h"].to_numpy(np.int64).view(U64)))
     # a document's own row has its numbers; a row with data has a shard's records of one block, or its sums for one
     sums = f"block long, data binary, row long, doc {id_type}, held boolean, n_tokens long, n_known long, base double, score double"
 
@@ -224,11 +249,11 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
             cw = uni.count(w)
             cv = np.concatenate([[0], cw[:-1]])
             begin = v == U64(BEGIN)
-            cv[begin] = uni.count(np.array([BEGIN], dtype=U64))[0]
+            cv[begin] = uni.starts
             kind = np.where(cv >= 0, context_class(cv), 0).astype(np.uint8)
             own = np.where(cw >= 0, uni.log_p(np.maximum(cw, 0)), 0.0)
             # the term of a context that isn't broadcast is added where that word is the second of a bigram
-            before = np.where(cv >= 0, context_term(np.maximum(cv, 0), kind), np.where(begin, context_term(np.zeros(1), np.zeros(1, np.uint8))[0], 0.0))
+            before = np.where(cv >= 0, context_term(np.maximum(cv, 0), kind), 0.0)
             base = np.bincount(row, own, len(sizes))
             score = base + np.bincount(row, before, len(sizes))
             seen = np.bincount(row, cw > 0, len(sizes)).astype(np.int64)
@@ -239,14 +264,19 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
             train = ~np.array(held, dtype=bool)
             blocks, of, what = [], [], []
 
-            def send(at, coded, n, kind_of_row):
+            def send(at, coded, n, kind_of_row, rare_kind):
+                rare = cv[at] < 0
+                for those, what_row in ((~rare, kind_of_row), (rare, rare_kind)):
+                    deal_out(at[those], coded[those], n[those], what_row)
+
+            def deal_out(at, coded, n, kind_of_row):
                 shard = ((np.where(cw[at] >= 0, pair[at], scramble(w[at])) >> U64(11)) % U64(shards)).astype(np.int32)
                 place = np.lexsort((w[at], shard))
                 order = at[place]
                 bounds = np.searchsorted(shard[place], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(bounds)).tolist():
                     o, p = order[bounds[s] : bounds[s + 1]], place[bounds[s] : bounds[s + 1]]
-                    blocks.append(encode(w[o], v[o] >> U64(32), kind[o], coded[p], n[p]))
+                    blocks.append(encode(w[o], v[o], kind[o], coded[p], n[p], kind_of_row in (TO_SHARD_RARE, TO_SHARD_RARE_HOT)))
                     of.append(s)
                     what.append(kind_of_row)
 
@@ -259,11 +289,11 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
                 what.append(OWN_HOT)
                 which, first = np.unique(number[hot], return_index=True)
                 learnt = np.bincount(number[hot], train[row[hot]], len(uni.hot)).astype(np.int64)
-                send(hot[first], which, learnt[which], TO_SHARD_HOT)
+                send(hot[first], which, learnt[which], TO_SHARD_HOT, TO_SHARD_RARE_HOT)
             cold = np.flatnonzero(number < 0)
             _, at, n = np.unique(scramble(pair[cold] + row[cold].astype(U64) * U64(0xD6E8FEB86659FD93)), return_index=True, return_counts=True)
             at = cold[at]
-            send(at, row[at] | (train[row[at]].astype(np.int64) << 31), n, None)
+            send(at, row[at] | (train[row[at]].astype(np.int64) << 31), n, None, TO_SHARD_RARE)
             k = len(of)
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([task + start] * k, pa.int64()), pa.array(blocks, pa.binary()), pa.array(what, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
@@ -288,19 +318,29 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
         id_arrow = None
 
         def out():
-            rows, seen, base, total, marks, gain = _shard([r[1:] for r in records], uni, folder)
-            blocks = np.unique([r[0] for r in records if r[4][0] >= 0]).astype(np.int64)
+            blocks = np.unique([r[0] for r in records if r[5][0] >= 0]).astype(np.int64)
+            (rows, seen, base, total), (marks, gain, context), shares, classes = _shard([r[1:] for r in records], blocks, uni, folder)
             bounds = np.append(np.searchsorted(rows, blocks), len(rows))
             parts = [b"".join(((rows[i:j] - at).astype(np.uint32).tobytes(), seen[i:j].astype(np.uint32).tobytes(), base[i:j].tobytes(), total[i:j].tobytes())) for at, i, j in zip(blocks, bounds, bounds[1:], strict=False)]
-            what = [None] * len(parts)
+            what, own = [None] * len(parts), blocks
+            at_row, of, often, share = shares
+            bounds = np.append(np.searchsorted(at_row, own), len(at_row))
+            more = [(at, FOUND_RARE, b"".join(((at_row[i:j] - at).astype(np.uint32).tobytes(), of[i:j].tobytes(), often[i:j].astype(np.uint32).tobytes(), share[i:j].tobytes()))) for at, i, j in zip(own, bounds, bounds[1:], strict=False) if i < j]
+            by, word, kind = classes
+            bounds = np.append(np.searchsorted(by, own), len(by))
+            more += [(at, CLASSES, word[i:j].tobytes() + kind[i:j].tobytes()) for at, i, j in zip(own, bounds, bounds[1:], strict=False) if i < j]
             if len(marks):
                 # all blocks have the same gain for a bigram, and each gets it for those that it asked for
-                gains = np.zeros(len(uni.hot))
-                gains[-1 - marks] = gain
-                asked = [(r[0], -1 - r[4]) for r in records if r[4][0] < 0]
-                blocks = np.append(blocks, [b for b, _ in asked]).astype(np.int64)
-                parts += [which.astype(np.uint32).tobytes() + gains[which].tobytes() for _, which in asked]
-                what += [GAINS_HOT] * len(asked)
+                gains, contexts = np.zeros(len(uni.hot)), np.zeros(len(uni.hot), U64)
+                gains[-1 - marks], contexts[-1 - marks] = gain, context
+                for r in records:
+                    if r[5][0] < 0:
+                        which = -1 - r[5]
+                        rare = r[4][0] == 0
+                        more.append((r[0], FOUND_RARE_HOT if rare else GAINS_HOT, which.astype(np.uint32).tobytes() + (contexts[which].tobytes() if rare else b"") + gains[which].tobytes()))
+            blocks = np.append(blocks, [b for b, *_ in more]).astype(np.int64)
+            parts += [data for *_, data in more]
+            what += [kind for _, kind, _ in more]
             k = len(blocks)
             return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(parts, pa.binary()), pa.array(what, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
@@ -316,11 +356,11 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
                     yield out()
                     records = []
                 now = shard
-                w, v, kind, row, n = decode(data)
-                if what == TO_SHARD_HOT:
-                    records.append((block, w, v, kind, -1 - row.astype(np.int64), n.astype(np.int64), np.ones(len(row), dtype=bool)))
+                w, v, low, kind, row, n = decode(data, what in (TO_SHARD_RARE, TO_SHARD_RARE_HOT))
+                if what in (TO_SHARD_HOT, TO_SHARD_RARE_HOT):
+                    records.append((block, w, v, low, kind, -1 - row.astype(np.int64), n.astype(np.int64), np.ones(len(row), dtype=bool)))
                 else:
-                    records.append((block, w, v, kind, block + (row & np.uint32(0x7FFFFFFF)).astype(np.int64), n.astype(np.int64), row >> np.uint32(31) > 0))
+                    records.append((block, w, v, low, kind, block + (row & np.uint32(0x7FFFFFFF)).astype(np.int64), n.astype(np.int64), row >> np.uint32(31) > 0))
         if records:
             yield out()
 
@@ -336,11 +376,24 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
             n = merged.num_rows
             seen, base, score = (merged[c].to_numpy().copy() for c in ("n_known", "base", "score"))
             gains, held_by = np.zeros(hot), None
+            shares, shares_hot, classes = [], [], [(np.empty(0, U64), np.empty(0, np.uint8))]
             for what, data in parts:
                 if what == GAINS_HOT:
                     k = len(data) // 12
                     gains[np.frombuffer(data, np.uint32, k)] = np.frombuffer(data, np.float64, k, 4 * k)
                     continue
+                if what == FOUND_RARE:
+                    k = len(data) // 24
+                    shares.append((np.frombuffer(data, np.uint32, k), np.frombuffer(data, U64, k, 4 * k), np.frombuffer(data, np.uint32, k, 12 * k), np.frombuffer(data, np.float64, k, 16 * k)))
+                    continue
+                if what == FOUND_RARE_HOT:
+                    k = len(data) // 20
+                    shares_hot.append((np.frombuffer(data, np.uint32, k), np.frombuffer(data, U64, k, 4 * k), np.frombuffer(data, np.float64, k, 12 * k)))
+                    continue
+                if what == CLASSES:
+                    k = len(data) // 9
+                    classes.append((np.frombuffer(data, U64, k), np.frombuffer(data, np.uint8, k, 8 * k)))
+                    continue
                 if what == OWN_HOT:
                     held_by = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32).reshape(3, -1)
                     continue
@@ -349,6 +402,19 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
                 seen[at] += np.frombuffer(data, np.uint32, k, 4 * k)
                 base[at] += np.frombuffer(data, np.float64, k, 8 * k)
                 score[at] += np.frombuffer(data, np.float64, k, 16 * k)
+            word, kind = (np.concatenate(x) for x in zip(*classes, strict=True))
+            order = np.argsort(word)
+            word, kind = word[order], kind[order]
+
+            def gain(context, share):
+                # a bigram that was learnt has a context that was, so that its class is here
+                return np.log10(1 + share / context_weight(kind[np.searchsorted(word, context)]))
+
+            for at, context, often, share in shares:
+                score += np.bincount(at, often * gain(context, share), n)
+            for which, context, share in shares_hot:
+                there = share > 0
+                gains[which[there]] = gain(context[there], share[there])
             if held_by is not None:
                 at, which, often = held_by
                 score += np.bincount(at, often * gains[which], n)

@@ -227,6 +227,38 @@ def test_language_model(spark, frequent, hot, monkeypatch):
     assert all(r.train_tokens == 0 and r.n_known == 0 and abs(r.base_score) < 1e-9 for r in alone)
 
 
+@pytest.mark.parametrize(("frequent", "hot"), [(8, 4096), (0, 1)])
+def test_language_model_of_rare_contexts(spark, frequent, hot, monkeypatch):
+    """The score is that of the model whichever words are broadcast."""
+    from tarn.llm import lm
+
+    monkeypatch.setattr(lm, "HOT_SHARE", hot)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 500)
+    rng = random.Random(13)
+    docs = [(i, " ".join(rng.choice(["the", "a", "cat", "sat", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40)))) for i in range(300)]
+    tokens = lambda t: [*t.split(), None]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    docs += [(i, "only here held out " * 5) for i in range(1000, 1100) if held(i)]
+    count, pairs = Counter(), Counter()
+    for i, t in docs:
+        if not held(i):
+            k = ["<s>", *tokens(t)]
+            count.update(k)
+            pairs.update(zip(k, k[1:], strict=False))
+    n, v = sum(count.values()) - count["<s>"], len(count) - 1
+    p1 = lambda w: (count[w] + 0.1) / (n + 0.1 * (v + 1))
+    want = {}
+    for i, t in docs:
+        k, want[i] = ["<s>", *tokens(t)], 0.0
+        for a, b in zip(k, k[1:], strict=False):
+            m = float(lm.context_weight(lm.context_class(np.array([count[a]])))[0])
+            want[i] += math.log10((pairs[a, b] + m * p1(b)) / (count[a] + m))
+    got = lm_scores(frame(spark, docs), frequent=frequent).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 0.02 * r.n_tokens + 1e-6
+
+
 # -- URL rules -------------------------------------------------------------------------------------------------------
 
 
