@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from sys import getsizeof
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +60,40 @@ def crc_fold(id_col: Column, folds: int) -> Column:
     return (F.crc32(id_col.cast("string").cast("binary")) % folds).cast("int")
 
 
-def bounded_batches(batches, rows: int = 256):
-    """Slices of Arrow batches, so that Python objects exist for a bounded number of rows at a time."""
+#: Bytes that a worker's cache of words or chunks may hold, about.
+CACHE_BYTES = 48 << 20
+
+
+class Cache(dict):
+    """key -> ``make(key)``. Entries are kept while they fit into ``budget`` bytes, about; the others are made each time."""
+
+    def __init__(self, make, budget: int = CACHE_BYTES):
+        super().__init__()
+        self.make, self.left = make, budget
+
+    def __missing__(self, key):
+        value = self.make(key)
+        cost = getsizeof(key) + getsizeof(value) + 100  # of the entry itself
+        if cost <= self.left:
+            self.left -= cost
+            self[key] = value
+        return value
+
+
+def bounded_batches(batches, rows: int = 256, size: int = 4 << 20):
+    """Slices of Arrow batches, so that Python objects exist for a bounded number of rows, and about ``size`` bytes of text (or one row), at a time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if batch.nbytes <= size:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+            continue
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        ends = np.cumsum(sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts), np.zeros(batch.num_rows, np.int64)))
+        at = done = 0
+        while at < batch.num_rows:
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, "right"))))
+            yield batch.slice(at, stop - at)
+            at, done = stop, int(ends[stop - 1])

@@ -6,6 +6,8 @@ import base64
 import re
 from array import array
 
+from ._common import CACHE_BYTES, Cache
+
 #: How a byte-level BPE of this family cuts text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of which every regex engine says the same: whether letter, number, white space or other.
@@ -25,20 +27,18 @@ def chunks(text: str) -> list[str]:
     return text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
 
 
-class ByteTokens(dict):
+class ByteTokens(Cache):
     """chunk -> its ids as little-endian unsigned 32-bit bytes.
 
-    Keeps the first ``most`` chunks and encodes the others, which are rare by then, each time: memory is bounded.
     Plain chunks go through the merge ranks of the same vocabulary, all others (and whatever may hold a special
     token) through the tokenizers library, which is the authority.
     """
 
-    def __init__(self, json_path: str, ranks_path: str | None = None, most: int = 400_000):
-        super().__init__()
+    def __init__(self, json_path: str, ranks_path: str | None = None, budget: int = CACHE_BYTES):
+        super().__init__(self.encoded, budget)
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(json_path)
-        self.most = most
         self.ranks = None
         if ranks_path:
             import tiktoken
@@ -47,15 +47,12 @@ class ByteTokens(dict):
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.ranks = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def __missing__(self, chunk: str) -> bytes:
+    def encoded(self, chunk: str) -> bytes:
         if self.ranks is not None and "<|" not in chunk and PLAIN.fullmatch(chunk):
             ids = self.ranks.encode_ordinary(chunk)
         else:
             ids = self.whole.encode(chunk, add_special_tokens=False).ids
-        got = array("I", ids).tobytes()
-        if len(self) < self.most:
-            self[chunk] = got
-        return got
+        return array("I", ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, chunks(text)))

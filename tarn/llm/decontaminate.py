@@ -137,7 +137,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     without words or id have no windows; rows of one item_id are one item; null and repeated document ids stay as they
     are; empty tables give empty results or no hits; other columns are not read.
 
-    With ``carry`` all columns of docs follow, as fields c0, c1, ... of a struct named carried.
+    With ``carry`` the text follows as _text, and the other columns of docs as fields c0, c1, ... of a struct named carried.
 
     The benchmark is broadcast in blocks of about ``block_bytes`` of text, and each block is searched for in all
     documents, in a pass of its own that is written before the next: no shuffle, and one block's index in memory.
@@ -149,8 +149,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(None).cast("array<int>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"), *([F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("carried")] if carry else []))
-    last_schema = f"`{id_col}` {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>" + (f", carried {found.schema['carried'].dataType.simpleString()}" if carry else "")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(None).cast("array<int>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"), *([F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col], F.lit(0)).alias("carried")] if carry else []))
+    last_schema = f"`{id_col}` {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>" + (f", _text string, carried {found.schema['carried'].dataType.simpleString()}" if carry else "")
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
         index = spark.sparkContext.broadcast(Benchmark([tuple(r) for r in part.collect()], window))
@@ -172,7 +172,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                 cols = list(zip(*out, strict=True)) if out else [()] * (6 if last else 2)
                 if last:
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True)), *batch.columns[4:]], names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"] + ["carried"] * carry)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True)), *((batch.column(1), batch.column(4)) if carry else ())], names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"] + ["_text", "carried"] * carry)
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.list_(pa.string())), *batch.columns[4:]], names=["_id", "_text", "_spans", "_items"] + ["carried"] * carry)
 
@@ -183,7 +183,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return found
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that aren't contaminated, as they are."""
-    found = decontaminate(docs, benchmark, carry=True, **how).where("NOT contaminated")
-    return found.select(*[F.col(f"carried.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that aren't contaminated, as they are, with all their columns.
+
+    ``how`` goes to ``decontaminate``, whose rules for nulls, empty texts, repeated rows and empty tables hold: rows without
+    words, and all rows where the benchmark has no words, stay. Each text goes through the search once.
+    """
+    found = decontaminate(docs, benchmark, text_col=text_col, carry=True, **how).where("NOT contaminated")
+    return found.select(*[(F.col("_text") if c == text_col else F.col(f"carried.c{k}")).alias(c) for k, c in enumerate(docs.columns)])

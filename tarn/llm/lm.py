@@ -41,8 +41,8 @@ END, BEGIN = 0x9AE16A3B2F90404F, 0xC949C7DEFE8A21B5
 RARE_WEIGHT, WEIGHT, POWER = 6.0, 3.0, 0.9
 #: Tokens that a task turns into blocks at a time.
 BLOCK_TOKENS = 1 << 20
-#: Words whose hashes a worker keeps.
-WORDS = 150_000
+#: Bytes of words whose hashes a worker keeps.
+WORDS = 16 << 20
 #: A bigram is hot with more than one in so many of all tokens, and in twice as many shards.
 HOT_SHARE = 4096
 #: Rows of a block that no single document's are: what its documents have of hot bigrams, a shard's records of these, their gains.

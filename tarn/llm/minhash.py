@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, materialise, partitions
+from ._common import CACHE_BYTES, Cache, bounded_batches, materialise, partitions
 
 SHINGLE = 5
 HASHES, BITS = 352, 2
@@ -54,20 +54,13 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """word -> its 64-bit hash; keeps the first ``most`` words."""
+class WordHashes(Cache):
+    """word -> its 64-bit hash."""
 
-    def __init__(self, most: int = 500_000):
-        super().__init__()
+    def __init__(self, budget: int = CACHE_BYTES):
         import xxhash
 
-        self.hash, self.most = xxhash.xxh3_64_intdigest, most
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.hash(word)
-        if len(self) < self.most:
-            self[word] = h
-        return h
+        super().__init__(xxhash.xxh3_64_intdigest, budget)
 
 
 def shingle_set(text: str | None, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -316,7 +309,7 @@ def _links(work: DataFrame, threshold: tuple[int, int], size: int) -> DataFrame:
     work = work.repartition(partitions(work.sparkSession), *group).sortWithinPartitions(*group, "own", "node")
 
     def confirm(batches):
-        words, now, held, tell = WordHashes(200_000), None, {}, False
+        words, now, held, tell = WordHashes(CACHE_BYTES // 2), None, {}, False
 
         def done():
             members = list(held.values())
