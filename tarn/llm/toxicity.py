@@ -11,8 +11,9 @@ the step goes back up instead.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
+from itertools import chain
+from math import exp, fsum
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,18 +21,24 @@ from pyspark.sql import functions as F
 
 from ._common import bounded_batches, crc_fold
 from .decontaminate import words_of
-from .quality import WordNumbers
 from .samples import sampled, training_labels
+from .subwords import Letters, WordValues
 
-BUCKETS = 1 << 18
+BITS = 18
+BUCKETS = 1 << BITS
 STARTS = (4, 5, 6)
 
 
-def word_features(word: bytes) -> list[int]:
-    """Buckets of a word (lower-cased) and of its beginnings in characters."""
-    out = [zlib.crc32(b"=" + word) % BUCKETS]
-    text = word.decode(errors="replace")
-    return out + [zlib.crc32(b"^" + text[:n].encode()) % BUCKETS for n in STARTS if len(text) > n]
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place in words) of words (lower-cased) and of their beginnings in characters."""
+    letters = Letters(words)
+    bucket, word = zip(letters.whole(BITS), *(letters.beginnings(n, BITS) for n in STARTS), strict=True)
+    return np.concatenate(bucket), np.concatenate(word)
+
+
+def document_words(text: str | None) -> set[str]:
+    """The distinct words of a whole text."""
+    return {w.decode(errors="replace") for w in set(words_of(text))}
 
 
 @dataclass
@@ -55,11 +62,22 @@ class _Rows:
         return self.flat[at], np.repeat(np.arange(len(which)), n)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 512, rate: float = 0.5, sparsity: float = 1e-3, momentum: float = 0.9, least: int = 4, seed: int = 5) -> Model:
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(risk, and what descends by the outputs on positives and on unlabelled text): the gradient of the risk, or, where its
+    second part is below zero, that of minus this part, so that the step goes back up."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    on_positive, as_negative = np.logaddexp(0, -zp).mean(), np.logaddexp(0, zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * as_negative
+    up_p, down_p, down_u = -sigmoid(-zp) / len(zp), sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    if negative >= 0:
+        return float(prior * on_positive + negative), prior * (up_p - down_p), down_u
+    return float(prior * on_positive), prior * down_p, -down_u
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 512, rate: float = 0.1, sparsity: float = 2e-3, momentum: float = 0.9, least: int = 4, seed: int = 5) -> Model:
     """Proximal stochastic gradient descent on the non-negative risk with logistic loss.
 
-    Weights are evidence of toxicity: none goes below zero, and an L1 penalty takes away those that chance made. The
-    constant is then set where the same risk, with zero-one loss, is least on the sample. Buckets in fewer than
+    An L1 penalty takes away the weights that chance made. The constant is then set where the same risk, with zero-one loss, is least on the sample. Buckets in fewer than
     ``least`` documents of it are left out. Without positives or unlabelled text every score is the prior.
     """
     theta, bias = np.zeros(BUCKETS), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
@@ -74,7 +92,6 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     share = max(batch // 4, round(batch * len(pos.sizes) / (len(pos.sizes) + len(unl.sizes))))
     rest = batch - share
     batches = max(1, len(unl.sizes) // rest)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for step in range(epochs * batches):
         k = step % batches
         if not k:
@@ -84,13 +101,11 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         fp, dp = pos.take(p)
         fu, du = unl.take(u)
         zp, zu = np.bincount(dp, theta[fp], len(p)) + bias, np.bincount(du, theta[fu], len(u)) + bias
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # derivatives of the losses by the outputs
-        up_p, down_p, down_u = -sigmoid(-zp) / len(p), sigmoid(zp) / len(p), sigmoid(zu) / len(u)
-        gp, gu = (prior * (up_p - down_p), down_u) if negative >= 0 else (prior * down_p, -down_u)
+        _, gp, gu = risk(zp, zu, prior)
         velocity = momentum * velocity + np.bincount(fp, gp[dp], BUCKETS) + np.bincount(fu, gu[du], BUCKETS)
         pull = momentum * pull + gp.sum() + gu.sum()
-        theta = np.maximum(0, theta - lr * (velocity + sparsity / (1 - momentum)))
+        theta = theta - lr * velocity
+        theta = np.sign(theta) * np.maximum(0, np.abs(theta) - lr * sparsity / (1 - momentum))
         bias -= 0.1 * lr * pull
     return Model(theta, -threshold(np.array([theta[r].sum() for r in positive]), np.array([theta[r].sum() for r in unlabelled]), prior))
 
@@ -111,23 +126,22 @@ def bucket_lists(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
     import pyarrow as pa
 
     def extract(batches):
-        words = WordNumbers(word_features)
         for batch in bounded_batches(batches, 64):
-            out = []
-            for text in batch.column(1).to_pylist():
-                which = np.unique(words.numbers(words_of(text)))
-                out.append(np.array([f for i in which.tolist() for f in words.rows[i]], dtype=np.int32).tobytes())
+            out = [word_features(sorted(words))[0].astype(np.int32).tobytes() if (words := document_words(t)) else b"" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "at"])
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.select("id")), "id", "left_semi")
-    got = base.mapInArrow(extract, f"id {docs.schema[id_col].dataType.simpleString()}, at binary").toArrow().sort_by("id")
+    got = base.mapInArrow(extract, f"id {docs.schema[id_col].dataType.simpleString()}, at binary").toArrow().sort_by([("id", "ascending"), ("at", "ascending")])
     return [np.frombuffer(a.as_py(), np.int32) for a in got["at"]]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, most_positive: int = 3000, most_unlabelled: int = 6000, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most ``most_positive`` confirmed documents outside the held-out fold and at most ``most_unlabelled`` of all texts.
 
-    ``prior`` is the share of toxic documents; by default, that among the labels outside the held-out fold.
+    ``prior`` is the share of toxic documents; by default, that among the labels outside the held-out fold. Null ids and
+    labels are left out; of several labels of one id the greatest counts; rows of one id are a document each; null and
+    empty texts have no features. Without positives, as with empty tables, every score is the prior. Other columns are
+    not read.
     """
     known = training_labels(labels, label, folds, held_out, id_col)
     if prior is None:
@@ -149,13 +163,18 @@ def score_toxicity(docs: DataFrame, model: Model, folds: int = 5, held_out: int
 
     def score(batches):
         m = known.value
-        words = WordNumbers(lambda w: float(m.features[word_features(w)].sum()))
+
+        def values(words: list[str]) -> list[float]:
+            bucket, word = word_features(words)
+            return np.bincount(word, m.features[bucket], len(words)).tolist()
+
+        words = WordValues(values)
         for batch in bounded_batches(batches):
-            out = []
-            for text in batch.column(1).to_pylist():
-                which = np.unique(words.numbers(words_of(text)))
-                z = m.bias + sum(words.rows[i] for i in which.tolist())
-                out.append(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
+            parts = [document_words(t) for t in batch.column(1).to_pylist()]
+            words.learn(chain.from_iterable(parts))
+            # exact sums, whatever the order of a set
+            z = [m.bias + fsum(map(words.__getitem__, p)) for p in parts]
+            out = [1 / (1 + exp(-min(max(x, -500.0), 500.0))) for x in z]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], names=[id_col, "held_out", "score", "predicted"])
 
     held = F.coalesce(crc_fold(F.col(id_col), folds) == held_out, F.lit(False))

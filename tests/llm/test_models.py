@@ -352,3 +352,109 @@ def test_pipeline_near_threshold(spark):
         pairs += [(2 * k, " ".join(words[:104])), (2 * k + 1, " ".join(words[100 - same : 204 - same]))]
     kept = corpus_pipeline.near(spark, frame(spark, pairs), "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 4, 6, 8, 10]
+
+
+PASSAGE = [f"bench{k}" for k in range(40)]
+
+
+@pytest.fixture(scope="module")
+def odd_corpus(spark, tmp_path_factory):
+    """Tables with nulls, empty, very long and repeated texts, ties, planted passages, near and exact copies, and clashing columns."""
+    rng = random.Random(21)
+    docs, labels = corpus()
+    docs = [(i, t) for i, t in docs]
+    plain = lambda n: " ".join(rng.choice(["river", "stone", "walks", "slowly", "under", "green"]) + str(rng.randrange(1000)) for _ in range(n))
+    long = plain(30_000)
+    planted = {2000: plain(10) + " " + " ".join(PASSAGE[:13]), 2001: plain(3000) + " " + " ".join(PASSAGE[5:18]).upper() + " " + plain(3000), 2002: plain(50) + "\nshort, item. " + plain(5)}
+    near = plain(200)
+    extra = [(3000, near), (3001, near + " more"), (3002, near.replace(" ", "  \n")), (3003, long), (3004, long + " x"), (3005, plain(60) + " " + " ".join(PASSAGE[:12]) + " no"), (None, plain(30)), (None, None), (3006, None), (3007, ""), (3008, " \n"), (3009, plain(40)), (3009, plain(40))]
+    rows = docs + list(planted.items()) + extra
+    folder = str(tmp_path_factory.mktemp("odd"))
+    columns = "doc_id long, text string, lang string, source string, n_chars long, n_words int, _text string, carried int, kept boolean, id long, label int, component string"
+    frame = spark.createDataFrame([(i, t, None, "s", None, k, "x", None, None, 5, 1, "c") for k, (i, t) in enumerate(rows)], columns)
+    frame.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([*labels, *[(i, 1, 0) for i in range(2000, 3010)], (None, 0, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(PASSAGE)), (2, "Short item"), (3, None), (4, "?!"), (None, plain(20)), (1, "river999999")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, rows, planted
+
+
+def test_pipeline_of_odd_rows(spark, odd_corpus):
+    import corpus_pipeline
+
+    folder, rows, planted = odd_corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, whole = docs.columns, {tuple(r) for r in docs.collect()}
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, folder), "test")
+        seen[name] = docs.collect()
+        assert docs.columns == columns and {tuple(r) for r in seen[name]} <= whole, name
+    ids = {name: [r.doc_id for r in got] for name, got in seen.items()}
+    good = {i for i, _ in rows if i is not None and i >= 2000}
+    assert good - {3007, 3008, 3006} <= set(ids["quality"])
+    assert 3002 not in ids["exact dedup"] and {3000, 3001} <= set(ids["exact dedup"])
+    assert ids["exact dedup"].count(3009) == 2 and sum(r.text is None or not r.text.strip() for r in seen["exact dedup"]) <= 2
+    assert {3000, 3003, 3009} <= set(ids["near dedup"]) and not {3001, 3004} & set(ids["near dedup"])
+    # every planted passage goes, however long the document; twelve words of one are no window
+    assert set(planted) <= set(ids["near dedup"]) and not set(planted) & set(ids["decontamination"])
+    assert set(ids["near dedup"]) - set(planted) == set(ids["decontamination"]) and 3005 in ids["decontamination"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(ids["decontamination"])
+    assert sorted(map(str, packed)) == sorted(map(str, corpus_pipeline.run(spark, folder).collect()))
+
+
+def test_pipeline_of_empty_tables(spark, odd_corpus, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{odd_corpus[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    spark.read.parquet(f"{odd_corpus[0]}/documents.parquet").limit(20).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count() == 20
+
+
+def test_classifiers_by_finite_differences():
+    from tarn.llm import quality, toxicity
+
+    rng = np.random.default_rng(3)
+    table, out, bias = rng.normal(size=(30, 4)), rng.normal(size=(2, 4)), rng.normal(size=2)
+    at, share = np.array([1, 5, 29]), np.array([0.5, 0.3, 0.2])
+    for label in (0, 1):
+        loss, *got = quality.gradients(table, out, bias, at, share, label)
+        for what, by in zip((table, out, bias), got, strict=True):
+            for place in np.ndindex(what.shape):
+                what[place] += 1e-6
+                slope = (quality.gradients(table, out, bias, at, share, label)[0] - loss) / 1e-6
+                what[place] -= 1e-6
+                if what is table:
+                    want = by[list(at).index(place[0]), place[1]] if place[0] in at else 0.0
+                else:
+                    want = by[place]
+                assert abs(slope - want) < 1e-4
+    zp, zu = rng.normal(size=5), rng.normal(size=9)
+    for prior, low in ((0.2, 0.0), (0.9, 3.0)):
+        total, gp, gu = toxicity.risk(zp + low, zu - low, prior)
+        negative = np.logaddexp(0, zu - low).mean() - prior * np.logaddexp(0, zp + low).mean()
+        assert (negative < 0) == (low > 0)
+        assert math.isclose(total, prior * np.logaddexp(0, -zp - low).mean() + max(0, negative))
+        for z, by in ((zp, gp), (zu, gu)):
+            for k in range(len(z)):
+                z[k] += 1e-6
+                up = toxicity.risk(zp + low, zu - low, prior)[0] if not low else -(np.logaddexp(0, zu - low).mean() - prior * np.logaddexp(0, zp + low).mean())
+                z[k] -= 1e-6
+                assert abs((up - (total if not low else -negative)) / 1e-6 - by[k]) < 1e-4
+
+
+def test_subword_features():
+    """Buckets don't depend on the words around; grams are those of each word alone."""
+    from tarn.llm import quality, toxicity
+
+    words = ["a", "straße", "日本語テキスト", "x" * 500, "<>", "walk", "walks"]
+    for features in (quality.word_features, toxicity.word_features):
+        bucket, word = features(words)
+        for k, w in enumerate(words):
+            assert sorted(bucket[word == k]) == sorted(features([w])[0])
+    assert [len(quality.word_features([w])[0]) for w in words] == [1 + (len(w) + 2 - 3 + 1) + max(0, len(w) + 2 - 4 + 1) for w in words]
+    assert [len(toxicity.word_features([w])[0]) for w in words] == [1 + sum(len(w) > n for n in toxicity.STARTS) for w in words]
+    assert quality.repeats(["a", "a", "b", "a", "a", "a"]) == 3
