@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from ._common import bounded_batches, materialise, partitions
 
 
+#: Documents in a sequence, at most: the first of these with which there are no more sequences than with any other.
+DOCUMENTS = (16, 24, 32, 48, 64, None)
+
+
 @dataclass(frozen=True)
 class Capacity:
     """What a sequence holds. The defaults for documents and attention are those that tokens already imply."""
@@ -35,12 +39,24 @@ class Capacity:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], dtype=np.int64)
 
 
-def best_fit(histogram: dict[int, int], capacity: Capacity, weights=(1.0, 0.0, 0.0), score: str = "norm") -> list[tuple[int, tuple[int, ...]]]:
-    """[(number of bins, lengths in each)] for {length: number of items}.
+def ranks(left: np.ndarray, item: np.ndarray, cap: np.ndarray, weights: np.ndarray, score: str) -> np.ndarray:
+    """What bins of these residuals are chosen by, the least first, for an item that fits."""
+    if score == "norm":
+        after = (left - item) / cap
+        return (weights * after * after).sum(axis=1)
+    return -(weights * (item / cap) * (left / cap)).sum(axis=1)
+
 
-    The number of classes of bins is at most a small multiple of the number of lengths: a step either uses up the
-    items of a length or a class of bins, and only the former can add classes. Raises ValueError for a length that
-    no empty bin can hold.
+def best_fit(histogram: dict[int, int], capacity: Capacity, weights=(1.0, 0.5, 0.5), score: str = "norm") -> list[tuple[int, tuple[int, ...]]]:
+    """[(number of bins, lengths in each)] for {length: number of items}: the bins of item-by-item best-fit.
+
+    Items go in by falling length, each to the open bin that ranks first, of several the one with the least residuals
+    (tokens, then documents, then attention). Equal bins are one class. Where a bin that took an item ranks before the
+    others of its class for the next one too (as with "norm", where its residual has shrunk), it takes items until it is
+    full, and then the next bin of the class does; else each bin of the class takes one. Both are what happens item by
+    item, as nothing else changes meanwhile. The number of classes stays a small multiple of the number of lengths: a
+    step uses up the items of a length or a class of bins, and adds two classes at most. Raises ValueError for a length
+    that no empty bin can hold.
     """
     cap, w = capacity.vector(), np.asarray(weights, dtype=float)
     left = np.empty((0, 3), dtype=np.int64)
@@ -58,26 +74,40 @@ def best_fit(histogram: dict[int, int], capacity: Capacity, weights=(1.0, 0.0, 0
             raise ValueError(f"an item of {length} tokens exceeds the capacity")
         while todo > 0:
             fits = np.flatnonzero((left >= item).all(axis=1) & (counts > 0))
-            if len(fits):
-                after = (left[fits] - item) / cap
-                rank = (w * after * after).sum(axis=1) if score == "norm" else -(w * (item / cap) * (left[fits] / cap)).sum(axis=1)
-                at = int(fits[np.argmin(rank)])
-                n = min(todo, int(counts[at]))
-                if n == counts[at]:
-                    left[at] -= item
-                    contents[at] += (length,)
-                else:
-                    counts[at] -= n
-                    add(left[at] - item, n, contents[at] + (length,))
-                todo -= n
-            else:
+            if not len(fits):
                 each = int((cap // item).min())
                 if full := todo // each:
                     add(cap - each * item, full, (length,) * each)
                 if rest := todo % each:
                     add(cap - rest * item, 1, (length,) * rest)
+                break
+            rank = ranks(left[fits], item, cap, w, score)
+            best = fits[rank == rank.min()]
+            at = int(best[np.lexsort(left[best].T[::-1])[0]])
+            residual, many, content = left[at].copy(), int(counts[at]), contents[at]
+            after = residual - item
+            each = 1
+            if (after >= item).all() and ranks(after[None], item, cap, w, score)[0] <= rank.min():
+                each = int((residual // item).min())
+            full = min(many, todo // each)
+            counts[at] -= full
+            todo -= full * each
+            if full:
+                add(residual - each * item, full, content + (length,) * each)
+            if todo and full < many and todo < each:
+                counts[at] -= 1
+                add(residual - todo * item, 1, content + (length,) * todo)
                 todo = 0
-    return list(zip(counts.tolist(), contents, strict=True))
+    return [(int(n), c) for n, c in zip(counts, contents, strict=True) if n]
+
+
+def fewest(histogram: dict[int, int], capacities: list[Capacity], weights=(1.0, 0.5, 0.5), score: str = "norm") -> list[tuple[int, tuple[int, ...]]]:
+    """The packing with the fewest bins of those under each of the capacities, the first of several; capacities that can't hold a length are passed over, but for the last."""
+    found = []
+    for c in capacities:
+        if c is capacities[-1] or all((np.array([n, 1, n * n]) <= c.vector()).all() for n in histogram):
+            found.append(best_fit(histogram, c, weights, score))
+    return min(found, key=lambda bins: sum(n for n, _ in bins))
 
 
 def places(bins: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, ...]:
@@ -129,8 +159,8 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None, most:
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
 
-def pack(pieces: DataFrame, capacity: Capacity, weights=(1.0, 0.0, 0.0), score: str = "norm") -> DataFrame:
-    """pieces (length, _row and any others) with sequence_id and offset instead of _row.
+def pack(pieces: DataFrame, capacities: list[Capacity], weights=(1.0, 0.5, 0.5), score: str = "norm") -> DataFrame:
+    """pieces (length, _row and any others) with sequence_id and offset instead of _row, packed as ``fewest`` says.
 
     ``pieces`` must give the same rows each time it is read, as a written table does. Empty tables give empty results;
     equal lengths are told apart by _row, so ties and repeated rows each get a place of their own.
@@ -142,7 +172,7 @@ def pack(pieces: DataFrame, capacity: Capacity, weights=(1.0, 0.0, 0.0), score:
     counts = dealt.groupBy("length", "_chunk").count()
     # at most `tokens` rows
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    length, rank, first, offset = places(best_fit(histogram, capacity, weights, score))
+    length, rank, first, offset = places(fewest(histogram, capacities, weights, score))
     span = int(rank.max(initial=0)) + max(histogram.values(), default=0) + 1
     keys = length * span + rank
 
@@ -164,13 +194,17 @@ def pack(pieces: DataFrame, capacity: Capacity, weights=(1.0, 0.0, 0.0), score:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacity: Capacity | None = None, end_id: int = 2, weights=(1.0, 0.0, 0.0), score: str = "norm", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacity: Capacity | list[Capacity] | None = None, end_id: int = 2, weights=(1.0, 0.5, 0.5), score: str = "norm", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise documents, cut the long ones, and pack the pieces: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null text counts as empty (the end id alone); null and repeated ids stay as they are, each row a document of its
-    own; an empty table packs into nothing; other columns of docs are not read. Tokenised once: the pieces' numbers
-    are written to the shared folder, and only they are shuffled.
+    Of several capacities, which must agree in tokens, the one with the fewest sequences is taken, by default of those
+    with ``DOCUMENTS``: the tightest bound of documents that costs no sequence. Null text counts as empty (the end id alone); null
+    and repeated ids stay as they are, each row a document of its own; an empty table packs into nothing; other columns
+    of docs are not read. Tokenised once: the pieces' numbers are written to the shared folder, and only they are
+    shuffled.
     """
-    capacity = capacity or Capacity()
-    pieces = token_pieces(docs, json_path, ranks_path, capacity.tokens, end_id, id_col, text_col)
-    return pack(materialise(pieces, "pieces"), capacity, weights, score)
+    capacities = capacity if isinstance(capacity, list) else [capacity] if capacity else [Capacity(documents=n) for n in DOCUMENTS]
+    if len({c.tokens for c in capacities}) != 1:
+        raise ValueError("capacities differ in tokens")
+    pieces = token_pieces(docs, json_path, ranks_path, capacities[0].tokens, end_id, id_col, text_col)
+    return pack(materialise(pieces, "pieces"), capacities, weights, score)

@@ -18,7 +18,7 @@ from .url_rules import judge_urls
 
 
 def op1_vector_best_fit(spark, sf_dir):
-    """Every piece's place in sequences of at most 1024 tokens; capacities for documents and attention are those that 1024 tokens imply."""
+    """Every piece's place in sequences of at most 1024 tokens, and of the fewest documents that cost no sequence; tokens, documents and attention choose the bin."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

@@ -23,7 +23,7 @@ def docs(spark, texts=TEXTS):
 
 
 def test_ids():
-    t = ByteTokens(JSON, RANKS, most=5)
+    t = ByteTokens(JSON, RANKS, budget=1000)
     for x in TEXTS:
         assert t.ids(x or "") == array("I", t.whole.encode(x or "", add_special_tokens=False).ids).tobytes(), x
     assert len(t) <= 5
@@ -99,3 +99,49 @@ def test_vector_best_fit(score):
     assert dict(used) == histogram and len(bins) <= 4 * len(histogram)
     with pytest.raises(ValueError, match="exceeds"):
         best_fit({1025: 1}, Capacity(1024))
+
+
+def one_by_one(histogram, capacity, weights, score):
+    """Best-fit, item by item: the contents of all bins."""
+    import numpy as np
+
+    from tarn.llm.packing import ranks
+
+    cap, w = capacity.vector(), np.asarray(weights, dtype=float)
+    left, contents = [], []
+    for length in sorted(histogram, reverse=True):
+        item = np.array([length, 1, length * length])
+        for _ in range(histogram[length]):
+            fits = [k for k, r in enumerate(left) if (r >= item).all()]
+            if fits:
+                by = ranks(np.array([left[k] for k in fits]), item, cap, w, score)
+                k = min(zip(by.tolist(), [tuple(left[k].tolist()) for k in fits], fits, strict=True))[2]
+                left[k], contents[k] = left[k] - item, (*contents[k], length)
+            else:
+                left.append(cap - item)
+                contents.append((length,))
+    return sorted(tuple(r.tolist()) for r in left), contents
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("weights", [(1.0, 0.5, 0.5), (1.0, 0.0, 0.0), (0.2, 1.0, 0.3)])
+def test_best_fit_is_item_by_item(score, weights):
+    """The same residuals as item by item, under all three capacities, each of which binds somewhere."""
+    from tarn.llm.packing import fewest
+
+    rng = random.Random(8)
+    bound = [0, 0, 0]
+    for trial in range(40):
+        capacity = Capacity(rng.choice([100, 1024]), documents=rng.choice([3, 6, None]), attention=rng.choice([4000, None]) if trial % 2 else None)
+        longest = int(min(capacity.tokens, capacity.vector()[2] ** 0.5))
+        histogram = {rng.randrange(1, longest + 1): rng.randrange(1, 30) for _ in range(rng.randrange(1, 25))}
+        bins = best_fit(histogram, capacity, weights, score)
+        left, contents = one_by_one(histogram, capacity, weights, score)
+        cap = capacity.vector().tolist()
+        got = sorted((cap[0] - sum(c), cap[1] - len(c), cap[2] - sum(x * x for x in c)) for n, c in bins for _ in range(n))
+        assert got == left and all(min(r) >= 0 for r in got)
+        for k in range(3):
+            bound[k] += any(r[k] < min(histogram) ** (1, 0, 2)[k] for r in left)
+        assert sum(n for n, _ in fewest(histogram, [capacity, Capacity(capacity.tokens)], weights, score)) <= min(len(left), sum(n for n, _ in best_fit(histogram, Capacity(capacity.tokens), weights, score)))
+    assert min(bound) > 3
+    assert best_fit({600: 10, 100: 10}, Capacity(), weights, "norm") == [(7, (600,)), (2, (600, 100, 100, 100, 100)), (1, (600, 100, 100))] or weights[0] < 1
