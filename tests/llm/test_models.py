@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.llm.decontaminate import WuManber, decontaminate, keep_clean
 from tarn.llm.elias_fano import EliasFano, Trie, mapped
@@ -279,23 +280,31 @@ def brute_url(url):
 URLS = [None, "", "no scheme", "http://Example.COM/en/x?y#z", "http://example.com/EN/", "https://www.example.com/en/1", "http://a.www.example.com/en/", "http://notexample.com/en/", "http://example.com", "http://example.com?q=/en/", "ftp://x.net/es/a://b", "http://x.net/fr/", "http://net/fr/1", "http://x.org/fr/1", "http:///en/", "http://a.com/\nb", "://com/", "http://x.net/de/9"]
 
 
-def test_mining_is_bounded(spark):
+@pytest.mark.parametrize("longest", [14, 0])
+def test_mining_is_bounded(spark, longest, monkeypatch):
     """A frequent URL of many tokens doesn't make all of their combinations."""
+    from tarn.llm import url_rules
+
+    monkeypatch.setattr(url_rules, "LONGEST", longest)
     urls = ["http://hub.net/es/" + "/".join(f"part{chr(97 + k)}" for k in range(25))] * 60 + [f"http://x{i}.example.com/q" for i in range(60)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r.verdict for r in judge_urls(pages).collect()}
     assert {got[i] for i in range(60)} == {"block"} and {got[i] for i in range(60, 120)} == {"allow"}
 
 
-def test_mining_is_whole(spark):
+@pytest.mark.parametrize("longest", [14, 0])
+def test_mining_is_whole(spark, longest, monkeypatch):
     """Tokens count in URLs of many frequent tokens too, and so do those beyond the 200 most frequent."""
+    from tarn.llm import url_rules
+
+    monkeypatch.setattr(url_rules, "LONGEST", longest)
     rare = [f"p:r{k:02}" for k in range(14)]
     rows = [(["p:t", *rare], "allow")] * 33 + [(["p:t"], "block")] * 2 + [(["p:o"], "block")] * 65
     common = [f"q:c{k:03}" for k in range(200)]
     rows += [(common, label) for label in ("allow", "block") for _ in range(20)] + [(["p:late", "p:z"], "block")] * 10
     rows += [(["p:x", "p:y"], "block")] * 10 + [(["p:x"], "allow")] * 10 + [(["p:y"], "allow")] * 10
     rules = mine(spark.createDataFrame(rows, "tokens array<string>, label string"), min_support=0.01)
-    got = {(items, verdict): confidence for items, verdict, confidence, _ in rules.rules}
+    got = {(items, verdict): confidence for items, verdict, confidence, _ in rules.by_token()}
     assert got[("p:t",), "allow"] == 33 / 35 and (("p:t",), "block") not in got
     assert got[("p:late",), "block"] == 1 and got[("p:x", "p:y"), "block"] == 1
     # brute force over all combinations of the tokens that don't stand in the rows of 200
@@ -311,6 +320,52 @@ def test_mining_is_whole(spark):
     assert got == want
 
 
+def brute_rules(rows, min_support, min_confidence):
+    n, want = len(rows), {}
+    shares = Counter(label for _, label in rows)
+    tokens = sorted({t for r, _ in rows for t in r})
+    for size in range(1, len(tokens) + 1):
+        for items in combinations(tokens, size):
+            by = Counter(label for r, label in rows if set(items) <= set(r))
+            for label, m in by.items():
+                c = m / sum(by.values())
+                if m >= min_support * n and c >= min_confidence and c > shares[label] / n and not any(want.get((k, label), 0) >= c for r in range(1, size) for k in combinations(items, r)):
+                    want[items, label] = c
+    return want
+
+
+def test_mining_is_exact(spark, monkeypatch):
+    """The rules of random URLs, and the verdicts they give, are those of brute force, by FP-growth and level by level; also with a URL of 25 tokens."""
+    from tarn.llm import url_rules
+
+    rng = random.Random(31)
+    for trial in range(2):
+        rows = []
+        for _ in range(120):
+            r = [t for t in "abcdefg" if rng.random() < 0.5]
+            # labels that only combinations of four tell
+            rows.append((r + (["twin"] if "a" in r else []), "block" if set("abcd"[: 3 + trial]) <= set(r) or rng.random() < 0.2 else "allow"))
+        want = brute_rules(rows, 0.03, 0.7)
+        hub = ([f"x{k:02}" for k in range(25)], "block")
+        want_hub = {k: v for k, v in brute_rules([*rows, *[(["x00"], "block")] * 10], 0.03, 0.7).items() if "x00" not in k[0]}
+        assert max(len(k[0]) for k in want) >= 3
+        for longest in (14, 0):
+            monkeypatch.setattr(url_rules, "LONGEST", longest)
+            rules = mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.03, 0.7)
+            got = {(items, verdict): c for items, verdict, c, _ in rules.by_token()}
+            assert got == want
+            best = sorted(((-c, -s, items, v) for items, v, c, s in rules.rules))
+            asked = spark.createDataFrame([(k, [t for t in [*"abcdefg", "twin"] if rng.random() < 0.4]) for k in range(100)], "k int, tokens array<string>")
+            for r in asked.select("tokens", url_rules.judge_mined(F.col("tokens"), rules).alias("v")).collect():
+                have = {rules.items.get(t, t) for t in r.tokens}
+                assert r.v == next((v for *_, items, v in best if set(items) <= have), rules.default)
+            whole = mine(spark.createDataFrame([*rows, *[hub] * 10], "tokens array<string>, label string"), 0.03, 0.7)
+            got = {(items, verdict): c for items, verdict, c, _ in whole.by_token()}
+            assert {k: v for k, v in got.items() if not k[0][0].startswith("x")} == want_hub
+            assert {k for k in got if k[0][0].startswith("x")} == {((t,), "block") for t in hub[0]}
+    assert mine(spark.createDataFrame([(None, "allow"), (["a", None], "block"), (["a"], None), ([], "allow")], "tokens array<string>, label string")).default == "allow"
+
+
 def test_urls(spark):
     urls = URLS * 3 + [f"http://h{i % 7}.example.{d}/{lang}/{i}" for i in range(300) for d, lang in (("net", "es"), ("net", "en"), ("org", "es"), ("com", "en"))]
     pages = spark.createDataFrame([(i if i != 4 else None, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
