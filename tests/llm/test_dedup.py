@@ -234,6 +234,53 @@ def test_lines_are_reversible(spark):
     assert none.counts.count() == 0 and none.contains(keys).count() == 0
 
 
+def test_lines_in_batches(spark, monkeypatch):
+    """However many batches: the result of one; keys that the filters deny are never looked up, and shards grow with the keys."""
+    from pyspark.sql import functions as F
+
+    from tarn.llm import lines
+
+    rng = random.Random(12)
+    pool = [f"a line that is shared {k}" for k in range(60)]
+    pairs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.3 else f"own line {i} {k}" for k in range(rng.randrange(0, 12)))) for i in range(200)]
+    monkeypatch.setattr(lines, "SHARD_KEYS", 64)
+    want = brute_lines(pairs)
+    assert sorted(map(tuple, dedup_lines(frame(spark, pairs), batches=1).collect()), key=repr) == want
+    monkeypatch.setattr(lines, "GENERATIONS", 3)
+    docs = frame(spark, pairs)
+    index = LineIndex.create(spark, 64)
+    denied = 0
+    for k in range(4):
+        part = docs.where(F.col("doc_id") % 4 == k)
+        if k == 1:
+            keys = lines.line_keys(part).groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("min_doc"))
+            before = {bytes(r.key) for r in index.counts.collect()}
+            probed = index._probed(keys).collect()
+            held = {bytes(r.key) for r in probed} & before
+            assert all(r.maybe for r in probed if bytes(r.key) in held) and len(held) > 5
+            denied = sum(not r.maybe for r in probed)
+            assert denied >= len(probed) - len(held) - 2
+        index = index.insert(part)
+        if k == 1:
+            # what was denied has one row, and no other key is flagged
+            assert {bytes(r.key) for r in index.rows.where(F.col("flag") == lines.AGAIN).collect()} == held
+    assert denied > 100 and index.shards > 4 and index.since < 3
+    assert sorted(map(tuple, index.apply(docs).collect()), key=repr) == want
+    assert index.filters.agg(F.sum("n")).first()[0] == index.counts.count()
+    # deleting and inserting again
+    some = docs.where("doc_id % 5 = 0")
+    less = index.delete(some.select("doc_id"))
+    rest = [p for p in pairs if p[0] % 5]
+    assert sorted(map(tuple, less.apply(frame(spark, rest)).collect()), key=repr) == brute_lines(rest)
+    assert less.filters.agg(F.sum("n")).first()[0] == less.counts.count()
+    again = less.insert(some)
+    assert sorted(map(tuple, again.apply(docs).collect()), key=repr) == want
+    # a filter that denies what it should not would show
+    blind = spark.createDataFrame([(s, bytearray(lines.CuckooFilter(16).to_bytes()), 0) for s in range(index.shards)], "shard int, filter binary, n long")
+    wrong = lines.replace(LineIndex.create(spark, 64).insert(docs.where("doc_id < 100")), filters=blind, shards=index.shards).insert(docs.where("doc_id >= 100"))
+    assert sorted(map(tuple, wrong.apply(docs).collect()), key=repr) != want
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
