@@ -34,9 +34,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    Shuffle partitions are meant for texts; ``small`` says that df has a few numbers for each, and writes fewer files.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(1, partitions(spark) // 8))
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

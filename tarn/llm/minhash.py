@@ -34,7 +34,7 @@ MOST_ROWS, MISSED = 8, 1e-6
 #: Standard deviations of the estimate below the threshold at which a pair is still confirmed.
 MARGIN = 4.75
 #: A block holds about so many members and shingles.
-BLOCK_ROWS, BLOCK_SHINGLES = 768, 1 << 21
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
 #: Members of a large cluster, about, that are in each of its blocks.
 HUBS = 16
 
@@ -161,16 +161,16 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     Alternating large and small stars, each round written to the shared folder: a node with very many neighbours is
     one row a task in the aggregates, and one row on the other side of a join that Spark splits.
     """
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name, small=True)
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join reads it as a plain side and Spark can split a hot node's rows on the other
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")), name)
-        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), name)
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")), name, small=True)
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), name, small=True)
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), name, small=True)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name, small=True)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
