@@ -1,8 +1,8 @@
-"""Elias-Fano sequences and a two-level n-gram trie of them, in memory-mapped files."""
+"""Elias-Fano sequences, and an n-gram trie of them in memory-mapped files."""
 
 from __future__ import annotations
 
-import os
+import tempfile
 
 import numpy as np
 
@@ -95,88 +95,129 @@ class EliasFano:
         out[inside] = lo
         return out
 
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each x, -1 where it isn't there."""
+        at = self.successor(x)
+        some = np.flatnonzero(at < self.n)
+        same = self.get(at[some]) == x[some]
+        out = np.full(len(x), -1)
+        out[some[same]] = at[some[same]]
+        return out
+
+
+#: Codes of probabilities: 0 is none; 1 to 255 stand for 1 down to 10**-DECADES, closest together near 1.
+DECADES = 9
+BOOK = np.concatenate([[0.0], 10.0 ** (-DECADES * (np.arange(255) / 254) ** 2)])
+
+
+def quantised(p: np.ndarray) -> np.ndarray:
+    """Codes of probabilities; those above 0 never get the code of none."""
+    with np.errstate(divide="ignore"):
+        place = 254 * np.sqrt(np.clip(-np.log10(p) / DECADES, 0, 1))
+    return np.where(p > 0, 1 + np.rint(place), 0).astype(np.uint8)
+
 
-class Trie:
-    """word -> the contexts before it -> a quantised number.
+class NgramTrie:
+    """Roots -> keys -> keys, a level for each order, in Elias-Fano sequences.
 
-    Level one holds the words' numbers and, monotone too, pointers to where their contexts begin; level two holds the
-    contexts of each word, each list raised by the sum of the spans before it, so that the whole level is one monotone
-    sequence, searched relative to its word; beside it stand codes of 8 bits into a codebook.
+    A level holds the keys of all nodes, each raised by its parent's number times ``SPAN``, so that it is one monotone
+    sequence, searched relative to the parent: the successor of (parent, key) is the node, if there is one. Pointers
+    say where each parent's children begin, monotone too. Roots have exact counts, as differences of their running
+    sum, and all nodes codes of smoothed probabilities: ``alpha`` of a node after its parent, ``gamma`` of what a node
+    leaves to the shorter context.
     """
 
-    SPAN = 1 << 33
+    SPAN = U64(1 << 33)
 
-    def __init__(self, words: EliasFano, pointers: EliasFano, contexts: EliasFano, codes: np.ndarray, book: np.ndarray):
-        self.words, self.pointers, self.contexts, self.codes, self.book = words, pointers, contexts, codes, book
+    def __init__(self, levels: list[EliasFano], pointers: list[EliasFano], counts: EliasFano, alpha: list[np.ndarray], gamma: list[np.ndarray]):
+        self.levels, self.pointers, self.counts, self.alpha, self.gamma = levels, pointers, counts, alpha, gamma
 
     @classmethod
-    def build(cls, words: np.ndarray, contexts: np.ndarray, values: np.ndarray) -> Trie:
-        """From rows sorted by (word, context), each once; contexts below 2**32, words below 2**40."""
-        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.empty(0, np.int64)
-        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
-        # half of the codes where most values are, half evenly over all: no value is far from its code
-        book = np.unique(np.concatenate([np.quantile(values, (np.arange(128) + 0.5) / 128), np.linspace(values.min(), values.max(), 128)])) if len(values) else np.zeros(1)
-        codes = np.searchsorted((book[1:] + book[:-1]) / 2, values).astype(np.uint8)
-        return cls(EliasFano.of(words[first]), EliasFano.of(np.append(first, len(words))), EliasFano.of(number.astype(U64) * U64(cls.SPAN) + contexts.astype(U64)), codes, book)
-
-    def save(self, path: str) -> None:
-        """One file: a header of numbers, then the arrays, each at a multiple of 8 bytes."""
-        arrays, head = [], []
-        for s in (self.words, self.pointers, self.contexts):
+    def build(cls, roots: np.ndarray, keys: list[np.ndarray], n: np.ndarray, discount: float) -> NgramTrie:
+        """From rows sorted by (root, *keys), each once, with counts above 0; keys below 2**32, where 0 means that the n-gram is shorter.
+
+        Interpolated absolute discounting: alpha is (count - discount) / (count of the context), gamma the discount times
+        the distinct successors over the same.
+        """
+        levels, pointers, alpha, gamma, counts = [], [], [], [], EliasFano.of(np.zeros(1))
+        columns, parent, parents = [roots, *keys], np.zeros(len(roots), np.int64), 0
+        for depth in range(len(columns)):
+            if depth:
+                # rows whose n-gram ends here go no further
+                keep = columns[depth] != 0
+                columns, parent, n = [c[keep] for c in columns], parent[keep], n[keep]
+            raised = columns[depth].astype(U64) + parent.astype(U64) * cls.SPAN if depth else roots.astype(U64)
+            first = np.flatnonzero(np.concatenate([[True], raised[1:] != raised[:-1]])) if len(raised) else np.empty(0, np.int64)
+            total = np.add.reduceat(n, first).astype(np.int64) if len(first) else np.empty(0, np.int64)
+            levels.append(EliasFano.of(raised[first]))
+            if depth:
+                of = parent[first]
+                inside, distinct = np.bincount(of, total, parents), np.bincount(of, minlength=parents)
+                alpha.append(quantised((total - discount) / inside[of]))
+                gamma.append(quantised(discount * distinct / np.maximum(inside, 1)))
+                pointers.append(EliasFano.of(np.searchsorted(of, np.arange(parents + 1))))
+            else:
+                counts = EliasFano.of(np.concatenate([[0], np.cumsum(total)]))
+            parent, parents = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(raised)))), len(first)
+        return cls(levels, pointers, counts, alpha, gamma)
+
+    def find(self, roots: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """(count of each root, codes alpha of each order from the second, codes gamma of each order but the last), 0 where there is none."""
+        node = self.levels[0].find(roots.astype(U64))
+        count = np.zeros(len(roots), np.int64)
+        some = node >= 0
+        count[some] = self.counts.get(node[some] + 1).astype(np.int64) - self.counts.get(node[some]).astype(np.int64)
+        alphas, gammas = [], []
+        for level, alpha, gamma, key in zip(self.levels[1:], self.alpha, self.gamma, keys, strict=True):
+            codes = np.zeros((2, len(roots)), np.uint8)
+            some = np.flatnonzero(node >= 0)
+            codes[1, some] = gamma[node[some]]
+            some = some[key[some] != 0]
+            child = level.find(node[some].astype(U64) * self.SPAN + key[some].astype(U64))
+            node = np.full(len(roots), -1)
+            node[some] = child
+            codes[0, some[child >= 0]] = alpha[child[child >= 0]]
+            alphas.append(codes[0])
+            gammas.append(codes[1])
+        return count, alphas, gammas
+
+    def to_bytes(self) -> bytes:
+        """A header of numbers, then the arrays, each at a multiple of 8 bytes."""
+        head, arrays = [len(self.levels)], []
+        for s in (*self.levels, *self.pointers, self.counts):
             head += [s.n, s.bits, s.top, len(s.low), len(s.high), len(s.ranks)]
             arrays += [s.low, s.high, s.ranks]
-        head += [len(self.book), len(self.codes)]
-        with open(path, "wb") as f:
-            f.write(np.array(head, dtype=np.int64).tobytes())
-            for a in arrays:
-                f.write(a.tobytes())
-            f.write(self.book.astype(np.float64).tobytes())
-            f.write(self.codes.tobytes())
-            f.write(b"\0" * 8)
+        for a in (*self.alpha, *self.gamma):
+            head.append(len(a))
+            arrays.append(np.concatenate([a, np.zeros(-len(a) % 8, np.uint8)]))
+        return np.array([len(head), *head], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
 
     @classmethod
-    def load(cls, path: str) -> Trie:
-        """Map the file: its pages are read as they are needed."""
-        data = np.memmap(path, dtype=np.uint8, mode="r")
-        head = data[: 20 * 8].view(np.int64)
-        at, levels = 20 * 8, []
+    def load(cls, data: np.ndarray) -> NgramTrie:
+        """From bytes as an array, which may be mapped from a file: its pages are read as they are needed."""
+        size = int(data[:8].view(np.int64)[0])
+        head = data[8 : 8 * (size + 1)].view(np.int64).tolist()
+        at, k = 8 * (size + 1), head[0]
 
-        def part(n, kind, size=8):
+        def part(n, kind):
             nonlocal at
-            out = data[at : at + n * size].view(kind)
-            at += n * size
+            out = data[at : at + n * np.dtype(kind).itemsize].view(kind)
+            at += n * np.dtype(kind).itemsize
             return out
 
-        for k in range(3):
-            n, bits, top, low, high, ranks = (int(x) for x in head[6 * k : 6 * k + 6])
-            levels.append(EliasFano(n, bits, top, part(low, U64), part(high, U64), part(ranks, np.int64)))
-        return cls(*levels, codes=(book := part(int(head[18]), np.float64)) is not None and part(int(head[19]), np.uint8, 1), book=book)
-
-    def find(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """The number of each (word, context), NaN where it isn't there."""
-        out = np.full(len(words), np.nan)
-        if not self.words.n:
-            return out
-        at = self.words.successor(words)
-        some = np.flatnonzero(at < self.words.n)
-        some = some[self.words.get(at[some]) == words[some].astype(U64)]
-        node = at[some]
-        key = node.astype(U64) * U64(self.SPAN) + contexts[some].astype(U64)
-        place = self.contexts.successor(key)
-        ok = place < self.pointers.get(node + 1).astype(np.int64)
-        ok[ok] = self.contexts.get(place[ok]) == key[ok]
-        out[some[ok]] = self.book[self.codes[place[ok]]]
-        return out
-
-    @property
-    def nbytes(self) -> int:
-        return sum(a.nbytes for s in (self.words, self.pointers, self.contexts) for a in (s.low, s.high, s.ranks)) + self.codes.nbytes
-
-
-def mapped(trie: Trie, folder: str, name: str) -> Trie:
-    """The trie as a mapped file in folder; the file is unlinked at once and lives as long as the mapping."""
-    path = os.path.join(folder, name)
-    trie.save(path)
-    out = Trie.load(path)
-    os.unlink(path)
-    return out
+        sequences = []
+        for j in range(2 * k):
+            n, bits, top, low, high, ranks = head[1 + 6 * j : 7 + 6 * j]
+            sequences.append(EliasFano(n, bits, top, part(low, U64), part(high, U64), part(ranks, np.int64)))
+        codes = []
+        for n in head[1 + 12 * k :]:
+            codes.append(part(n + -n % 8, np.uint8)[:n])
+        return cls(sequences[:k], sequences[k : 2 * k - 1], sequences[2 * k - 1], codes[: k - 1], codes[k - 1 :])
+
+
+def mapped(data: bytes, folder: str) -> NgramTrie:
+    """The trie of these bytes in a mapped file; the file is unlinked at once and lives as long as the mapping."""
+    with tempfile.NamedTemporaryFile(dir=folder) as f:
+        f.write(data)
+        f.flush()
+        return NgramTrie.load(np.memmap(f.name, dtype=np.uint8, mode="r"))

@@ -1,304 +1,239 @@
-"""LM scoring: a bigram model over all training tokens in Elias-Fano tries, one for each shard of the bigrams.
+"""LM scoring: a trigram model over all training tokens in Elias-Fano tries, one for each bucket of the trigrams.
 
-With c the counts of training tokens and P1 the contract's smoothed unigram, the model is
+With c the counts of training n-grams and P1 the contract's smoothed unigram, the model interpolates by absolute discounting:
 
-    P(w | v) = (c(v, w) + m(v) P1(w)) / (c(v) + m(v))
+    Pk(w | h) = alpha(hw) + gamma(h) P(k-1)(w | h')    alpha(hw) = max(0, c(hw) - D) / c(h .)    gamma(h) = D d(h) / c(h .)
 
-where m(v), the weight of the unigram after v, is a function of c(v) alone, so that the logarithm falls apart into
-log P1(w), a term of the context, log m(v) / (c(v) + m(v)), and a gain, log 1 + c(v, w) / (m(v) P1(w)), that is zero
-for bigrams never seen. The first two come from word counts. The gains are the tries' quantised numbers.
+c(h .) counts the n-grams that go on after h, d(h) the distinct words that do; h' is h without its first word. Where h was
+never seen, alpha is 0 and gamma 1. A text begins with a mark, which is context and no token, and ends with one, which is
+both. alpha and gamma are the tries' quantised numbers.
 
-Words are 64-bit hashes. The most frequent ones, of a bounded number, are broadcast with their counts. Every document's
-distinct bigrams go once, as compressed blocks, to the shard of their bigram (frequent words, which are thereby spread)
-or of their word (all others, whose counts the shard can then add up itself). The shard counts, builds its trie in a
-mapped file, looks its bigrams up, and returns its sums by document as one row for each block they came from, so that
-what goes back are blocks too, and not a row for each document and shard.
+Every token but the end begins an n-gram of up to three. A block of documents sends each of its distinct n-grams once, with
+how often training documents of the block have it, to the bucket of the n-gram's first word; all orders that begin so, and
+all counts that their alpha and gamma need, are there. A bucket adds up, writes its trie to a file, and answers every block
+from the mapped file, by successor search relative to the word and then to the pair: its word's exact count, and codes of
+alpha and gamma. The block, which kept where its n-grams stand, puts the orders together, token by token.
 
-A bigram with a large share of all tokens would bring its shard a record for each document. Such hot bigrams, whose
-number the share bounds, are added up by block: their shard gets one record a block and returns the gain, and what each
-document has of them goes past the shards, with the block. Nothing is pruned, capped or sampled.
+A first word that is hot, with more than a share of all tokens, would make a hot bucket: its n-grams go by first and second
+word, and if these are a hot pair too, by all three. What such buckets can't know, the counts of hot words and pairs and
+the distinct words after them, is added up over blocks and buckets, and alpha and gamma of hot contexts come from these,
+exactly. As a block sends an n-gram once, an n-gram that all documents have is one row a block. Nothing is pruned, capped
+or sampled.
 
-The count of a context that isn't broadcast is known in its own word's shard only, and m(v) with it. The shard of such a
-bigram returns c(v, w) / P1(w) with each document's record, the word's shard the class of c(v) to each block that has
-the word, and the block, which gets both, makes the gain of them. These gains aren't quantised.
+``fit`` keeps the tries in a table; ``LanguageModel.score`` sends it the n-grams of any documents. ``lm_scores`` learns and
+scores the same documents in one pass over the n-grams: the bucket that has written a trie answers at once.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, crc_fold, materialise, partitions
-from .elias_fano import Trie, mapped
+from .elias_fano import BOOK, NgramTrie, mapped
 from .minhash import WordHashes, scramble
-from .token_counts import _frequency
 
-END, BEGIN = 0x9AE16A3B2F90404F, 0xC949C7DEFE8A21B5
-#: m(v): for words that training doesn't have, where it has no effect, and factor and power of c(v) for all others.
-RARE_WEIGHT, WEIGHT, POWER = 6.0, 3.0, 0.9
-#: Tokens that a task turns into blocks at a time.
-BLOCK_TOKENS = 1 << 20
+U64 = np.uint64
+END, BEGIN = U64(0x9AE16A3B2F90404F), U64(0xC949C7DEFE8A21B5)
+STEP = U64(0x9E3779B97F4A7C15)
+DISCOUNT = 0.75
+#: Tokens that a task turns into a block at a time, and n-grams that a bucket has, about.
+BLOCK_TOKENS, BUCKET_NGRAMS = 1 << 20, 1 << 20
+#: A word or pair is hot with more than one in so many of all tokens, and of a bucket's n-grams; fewer than twice as many are hot.
+HOT_SHARE, HOT_IN_BUCKET = 1 << 16, 8
 #: Bytes of words whose hashes a worker keeps.
 WORDS = 16 << 20
-#: A bigram is hot with more than one in so many of all tokens, and in twice as many shards.
-HOT_SHARE = 4096
-#: Rows of a block that no single document's are: what its documents have of hot bigrams, a shard's records of these, their gains.
-OWN_HOT, TO_SHARD_HOT, GAINS_HOT = -1, -2, -3
-#: The same for contexts that aren't broadcast: a shard's records, cold and hot, what it found of either, and classes of its words.
-TO_SHARD_RARE, TO_SHARD_RARE_HOT, FOUND_RARE, FOUND_RARE_HOT, CLASSES = -4, -5, -6, -7, -8
-U64 = np.uint64
-
-
-def context_class(count: np.ndarray) -> np.ndarray:
-    """0 for a count of 0, else 1 and up, by quarter octaves."""
-    return np.where(count > 0, 1 + np.floor(4 * np.log2(np.maximum(count, 1))), 0).astype(np.uint8)
-
-
-def context_weight(kind: np.ndarray) -> np.ndarray:
-    """m(v) of a class."""
-    return np.where(kind == 0, RARE_WEIGHT, WEIGHT * 2.0 ** (POWER * (kind.astype(float) - 1) / 4))
-
-
-def context_term(count: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    m = context_weight(kind)
-    return np.log10(m / (count + m))
+#: Bits of keys after the first word: of the second word's hash, and of the third's.
+SECOND, THIRD = 32, 24
+#: Rows between the stages: (bucket, block, kind, id, n, data).
+TRIE, SENT, ANSWER, OWN, NUMBER = 0, 1, 2, 3, 4
+ROWS = "bucket long, block long, kind byte, id long, n long, data binary"
+#: What a NUMBER is: distinct words; of hot word i: how often, distinct followers; of hot pair i: how often, how often with a third, distinct thirds.
+DISTINCT, WORD, WORD_THEN, PAIR, PAIR_ON, PAIR_THEN = range(6)
+#: Numbers that the survey counts: training tokens, training texts, all tokens.
+TOKENS, TEXTS, ALL = range(3)
 
 
 def tokens_of(text: str | None, words: WordHashes) -> np.ndarray:
-    """Hashes of a text's words, A-Z lower-cased, and of the end."""
+    """The mark of the beginning, and hashes of a text's words, A-Z lower-cased: what n-grams begin with."""
     parts = (text or "").encode().lower().split()
-    return np.append(np.fromiter(map(words.__getitem__, parts), dtype=U64, count=len(parts)), U64(END))
+    out = np.empty(len(parts) + 1, U64)
+    out[0] = BEGIN
+    out[1:] = np.fromiter(map(words.__getitem__, parts), dtype=U64, count=len(parts))
+    return out
 
 
-def bigrams(tokens: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(w, v, pair) of texts one after another: each token, the one before it (BEGIN for the first) and a hash of both."""
-    w = np.concatenate(tokens)
-    v = np.concatenate([[U64(BEGIN)], w[:-1]])
-    v[np.cumsum([len(t) for t in tokens])[:-1]] = U64(BEGIN)
-    return w, v, scramble(w * U64(0x9E3779B97F4A7C15) ^ v)
+def chained(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return scramble(h * STEP ^ w)
 
 
-def encode(w: np.ndarray, v: np.ndarray, kind: np.ndarray, row: np.ndarray, n: np.ndarray, whole: bool = False) -> bytes:
-    """Records sorted by w, as compressed columns: differences of w by bytes, the upper halves of v (the lower ones last, if whole), and the others as they are."""
+def ngrams(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, third, whether there is a third) of texts one after another; a text's last n-gram is (word, END)."""
+    one = np.concatenate(tokens)
+    last = np.cumsum([len(t) for t in tokens]) - 1
+    two = np.append(one[1:], END)
+    two[last] = END
+    three = np.append(two[1:], END)
+    there = np.ones(len(one), bool)
+    there[last] = False
+    return one, two, three, there
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns as planes of bytes, compressed."""
     import zstandard
 
-    steps = np.diff(w, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(b"".join((np.ascontiguousarray(steps).tobytes(), (v >> U64(32)).astype(np.uint32).tobytes(), kind.tobytes(), row.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), v.astype(np.uint32).tobytes() if whole else b"")))
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(columns[0])], np.int64).tobytes() + b"".join(planes))
 
 
-def decode(data: bytes, whole: bool = False) -> tuple[np.ndarray, ...]:
-    """(w, upper half of v, lower half, class, row, n)."""
+def unpacked(data: bytes, *types) -> list[np.ndarray]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n = len(raw) // (25 if whole else 21)
-    steps = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T
-    at = 8 * n
-    w = np.cumsum(np.ascontiguousarray(steps).view(U64).ravel(), dtype=U64)
-    v = np.frombuffer(raw, np.uint32, n, at)
-    kind = np.frombuffer(raw, np.uint8, n, at + 4 * n)
-    row = np.frombuffer(raw, np.uint32, n, at + 5 * n)
-    low = np.frombuffer(raw, np.uint32, n, at + 13 * n) if whole else np.zeros(n, np.uint32)
-    return w, v, low, kind, row, np.frombuffer(raw, np.uint32, n, at + 9 * n)
-
-
-class Unigrams:
-    """Counts of the broadcast words, the numbers of training tokens (N), of distinct ones (V) and of texts, and the hot bigrams."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, starts: int, hot: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.total, self.distinct, self.starts = total, distinct, starts
-        self.hot = np.sort(hot)
-
-    def hot_number(self, pair: np.ndarray) -> np.ndarray:
-        """Numbers of hot bigrams, -1 for all others."""
-        if not len(self.hot):
-            return np.full(len(pair), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hot, pair), len(self.hot) - 1)
-        return np.where(self.hot[at] == pair, at, -1)
-
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """Counts of words, -1 for those that aren't broadcast."""
-        if not len(self.hashes):
-            return np.full(len(h), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.counts[at], -1)
-
-    def log_p(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
-
-
-def _shard(records: list[tuple], blocks: np.ndarray, uni: Unigrams, folder: str) -> tuple[tuple[np.ndarray, ...], ...]:
-    """Of one shard's records (w, halves of v, class, row, n, training), class 0 where the context isn't broadcast:
-
-    (row, n_known, base, score): sums by document; (row, gain or share, context or 0) of those with rows below 0;
-    (row, context, n, share) of contexts that aren't broadcast, share being c(v, w) / P1(w), where that isn't 0; and
-    (block, word, class) of words that aren't broadcast, for each of the sorted blocks that has them.
-    """
-    w, v, low, kind, row, n, training = (np.concatenate(x) for x in zip(*records, strict=True))
-    word, number = np.unique(w, return_inverse=True)
-    order = np.argsort((number.astype(U64) << U64(32)) | v)
-    number, v, low, kind, row, n, training = (x[order] for x in (number, v, low, kind, row, n, training))
-    seen = np.where(training, n, 0)
-    first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (v[1:] != v[:-1])]))
-    together = np.add.reduceat(seen, first)
-    count = uni.count(word)
-    rare = count < 0
-    count = np.where(rare, np.bincount(number, seen, len(word)), count)
-    log_p = uni.log_p(count)
-    closed = kind[first] > 0
-    learnt = (together > 0) & closed
-    at = first[learnt]
-    gain = np.log10(1 + together[learnt] / (context_weight(kind[at]) * 10.0 ** log_p[number[at]]))
-    trie = mapped(Trie.build(word[number[at]] >> U64(1), v[at], gain), folder, f"{np.random.default_rng().integers(1 << 62):x}")
-    found = np.where(closed, np.nan_to_num(trie.find(word[number[first]] >> U64(1), v[first])), 0.0)
-    share = np.where(closed, 0.0, together / 10.0 ** log_p[number[first]])
-    gain, share = (np.repeat(x, np.diff(np.append(first, len(v)))) for x in (found, share))
-    context = np.where(kind > 0, U64(0), v.astype(U64) << U64(32) | low)
-    own = np.where(rare, log_p, 0.0)
-    after = np.where(rare & (word != U64(END)), context_term(count, context_class(count)), 0.0)
-    hot = row < 0
-    gains = row[hot], gain[hot] + share[hot], context[hot]
-    row, n, number, gain, share, context = (x[~hot] for x in (row, n, number, gain, share, context))
-    at = np.flatnonzero(share > 0)
-    at = at[np.argsort(row[at], kind="stable")]
-    shares = row[at], context[at], n[at], share[at]
-    at = (rare & (count > 0) & (word != U64(END)))[number]
-    pair = np.unique((np.searchsorted(blocks, row[at], "right") - 1) * len(word) + number[at])
-    of, which = np.divmod(pair, len(word))
-    classes = blocks[of], word[which], context_class(count[which])
-    rows, place = np.unique(row, return_inverse=True)
-    base = np.bincount(place, n * own[number], len(rows))
-    score = base + np.bincount(place, n * (after[number] + gain), len(rows))
-    known = np.bincount(place, n * (rare & (count > 0))[number], len(rows)).astype(np.int64)
-    return (rows, known, base, score), gains, shares, classes
-
-
-def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Learns from all rows but the held-out fold (a null id isn't held out) and scores all whole texts; null and empty
-    texts are their end alone. Repeated rows count as often as they come and are scored each. With nothing to learn
-    from, every token has the same unigram probability. Empty tables give empty results; other columns of docs are not
-    read.
-    """
+    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+    for t in map(np.dtype, types):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n).T).view(t).ravel())
+        at += n * t.itemsize
+    return out
+
+
+def place_in(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each x is in a sorted table, -1 where it isn't."""
+    if not len(table):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return np.where(table[at] == x, at, -1)
+
+
+@dataclass
+class Routes:
+    """Where n-grams go: sorted hashes of hot words and pairs, the word of each pair, and the number of buckets."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    word_of: np.ndarray
+    buckets: int
+
+    def of(self, one: np.ndarray, two: np.ndarray, three: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(bucket, root in it, keys after the root, hot): hot is 0, or 1 + the hot word's number, or that of the hot pair beyond those."""
+        word = place_in(self.words, one)
+        hot = np.flatnonzero(word >= 0)
+        pair_hash = chained(one[hot], two[hot])
+        pair = np.full(len(one), -1)
+        pair[hot] = place_in(self.pairs, pair_hash)
+        route = one.copy()
+        route[hot] = pair_hash
+        both = pair >= 0
+        route[both] = chained(route[both], np.where(there[both], three[both], U64(0)))
+        second = np.where(word >= 0, 0, scramble(two.copy()) >> U64(64 - SECOND)).astype(U64)
+        # a key is 0 only where the root has it, or the n-gram is shorter
+        second[word < 0] = np.maximum(second[word < 0], U64(1))
+        second[word >= 0] = 1
+        third = np.where(there, np.maximum(scramble(three.copy()) >> U64(64 - THIRD), U64(1)), U64(0))
+        third[both & there] = 1
+        h = scramble(route)
+        mark = np.where(both, 1 + len(self.words) + pair, 1 + word).astype(np.uint32)
+        return (h % U64(self.buckets)).astype(np.int64), h >> U64(16), second << U64(THIRD) | third, mark
+
+
+def survey(texts: DataFrame) -> tuple[dict[int, int], np.ndarray, np.ndarray, np.ndarray]:
+    """(training tokens, training texts and all tokens; hot words, hot pairs, the word of each pair), counted over all texts."""
     import pyarrow as pa
-    from pyspark import TaskContext
-
-    spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
-    held = F.coalesce(crc_fold(F.col(id_col), folds) == held_out, F.lit(False))
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), held.alias("held"))
 
     def count(batches):
-        words, parts, train, size = WordHashes(WORDS), [], [], 0
+        words, parts, numbers = WordHashes(WORDS), [], np.zeros(3, np.int64)
 
         def out():
-            h, n = np.unique(np.concatenate([*train, np.empty(0, U64)]), return_counts=True)
-            # a bigram that has its share of all tokens has half of it at least in such blocks as have half of it themselves
-            pair = bigrams(parts)[2]
-            bucket = (pair >> U64(46)).astype(np.int64)
-            pair, m = np.unique(pair[(np.bincount(bucket, minlength=1 << 18) * 2 * hot_share > size)[bucket]], return_counts=True)
-            often = m * 2 * hot_share > size
-            columns = [(0, h, n), (1, pair[often], m[often]), (2, np.zeros(1, U64), np.array([size]))]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(x), k, np.int8) for k, x, _ in columns])), pa.array(np.concatenate([x for _, x, _ in columns]).view(np.int64)), pa.array(np.concatenate([x for *_, x in columns]), pa.int64())], names=["kind", "h", "n"])
+            one, two, *_ = ngrams(parts)
+            least = max(4, len(one) // (2 * HOT_SHARE))
+            rows = [(2, U64(k), U64(0), int(n)) for k, n in enumerate(numbers)]
+            pair = chained(one, two)
+            for kind, h in ((0, one), (1, pair)):
+                # counts of buckets first: most have too few for any word in them
+                bucket = (h >> U64(46)).astype(np.int64)
+                at = np.flatnonzero((np.bincount(bucket, minlength=1 << 18) > least)[bucket])
+                value, first, n = np.unique(h[at], return_index=True, return_counts=True)
+                rows += [(kind, v, w, int(m)) for v, w, m in zip(value[n > least], one[at][first][n > least], n[n > least], strict=True)]
+            kind, h, word, n = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), *(pa.array(np.array(x, U64).view(np.int64)) for x in (h, word)), pa.array(n, pa.int64())], names=["kind", "h", "word", "n"])
 
         for batch in bounded_batches(batches):
             for text, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 parts.append(tokens_of(text, words))
-                size += len(parts[-1])
-                if not held:
-                    train += [parts[-1], np.array([BEGIN], dtype=U64)]
-            if size > 2 * BLOCK_TOKENS:
+                numbers += (0 if held else len(parts[-1]), 0 if held else 1, len(parts[-1]))
+            if sum(map(len, parts)) > BLOCK_TOKENS:
                 yield out()
-                parts, train, size = [], [], 0
+                parts, numbers = [], np.zeros(3, np.int64)
         if parts:
             yield out()
 
-    shards = 2 * partitions(spark)
-    hot_share = max(HOT_SHARE, 2 * shards)
-    counted = materialise(texts.mapInArrow(count, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "unigrams")
-    counts = counted.where("kind = 0").select("h", "n")
-    everything = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    # at most 2 * hot_share of them
-    hot = counted.where((F.col("kind") == 1) & (F.col("n") * 2 * hot_share > everything)).select("h").toPandas()
-    begin = int(np.array([BEGIN], dtype=U64).view(np.int64)[0])
-    a_word = F.col("h") != begin
-    total, distinct, starts = counts.agg(F.coalesce(F.sum(F.when(a_word, F.col("n"))), F.lit(0)), F.count_if(a_word), F.coalesce(F.sum(F.when(~a_word, F.col("n"))), F.lit(0))).first()
-    top = counts.where(F.col("n") >= _frequency(counts, frequent)).toPandas()
-    known = spark.sparkContext.broadcast(Unigrams(top["h"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), total, distinct, starts, hot["h"].to_numpy(np.int64).view(U64)))
-    # a document's own row has its numbers; a row with data has a shard's records of one block, or its sums for one
-    sums = f"block long, data binary, row long, doc {id_type}, held boolean, n_tokens long, n_known long, base double, score double"
-
-    def deal(batches):
-        import zstandard
-
-        uni, words = known.value, WordHashes(WORDS)
-        task = TaskContext.get().partitionId() << 33
-        start, docs, size = 0, [], 0
+    found = materialise(texts.mapInArrow(count, "kind byte, h long, word long, n long").groupBy("kind", "h").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "survey", small=True)
+    numbers = {r["h"]: r["n"] for r in found.where("kind = 2").collect()}
+    numbers = {k: numbers.get(k, 0) for k in (TOKENS, TEXTS, ALL)}
+    least = max(numbers[ALL] // HOT_SHARE, BUCKET_NGRAMS // HOT_IN_BUCKET)
+    # blocks in which it has less than half of that share may not have counted a hot one; fewer than 2 * HOT_SHARE of each
+    hot = found.where((F.col("kind") < 2) & (2 * F.col("n") > least)).toPandas()
+    words = np.unique(np.append(hot["h"][hot["kind"] == 0].to_numpy(np.int64).view(U64), BEGIN))
+    pairs = hot[hot["kind"] == 1]
+    h, word = pairs["h"].to_numpy(np.int64).view(U64), place_in(words, pairs["word"].to_numpy(np.int64).view(U64))
+    # a hot pair's word is hot; where blocks said so of the pair alone, it isn't taken for hot
+    order = np.argsort(h[word >= 0])
+    return numbers, words, h[word >= 0][order], word[word >= 0][order]
+
+
+def deal(texts: DataFrame, routes, learn: bool, id_col: str) -> DataFrame:
+    """Rows SENT for each block and bucket, OWN for each block, and with ``learn`` NUMBERs of hot words and pairs."""
+    import pyarrow as pa
+    from pyspark import TaskContext
 
-        def out():
+    def rows(batches):
+        to, words = routes.value, WordHashes(WORDS)
+        task, start, docs, size = TaskContext.get().partitionId() << 33, 0, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
             ids, held, tokens = (list(x) for x in zip(*docs, strict=True))
             sizes = np.array([len(t) for t in tokens])
-            w, v, pair = bigrams(tokens)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            cw = uni.count(w)
-            cv = np.concatenate([[0], cw[:-1]])
-            begin = v == U64(BEGIN)
-            cv[begin] = uni.starts
-            kind = np.where(cv >= 0, context_class(cv), 0).astype(np.uint8)
-            own = np.where(cw >= 0, uni.log_p(np.maximum(cw, 0)), 0.0)
-            # the term of a context that isn't broadcast is added where that word is the second of a bigram
-            before = np.where(cv >= 0, context_term(np.maximum(cv, 0), kind), 0.0)
-            base = np.bincount(row, own, len(sizes))
-            score = base + np.bincount(row, before, len(sizes))
-            seen = np.bincount(row, cw > 0, len(sizes)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array((task + start + np.arange(len(sizes))) % shards, pa.int32()), pa.array([task + start] * len(sizes), pa.int64()), pa.nulls(len(sizes), pa.binary()), pa.array(np.arange(len(sizes))),
-                pa.array(ids, id_arrow), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(seen), pa.array(base), pa.array(score),
-            ], names=names)
-            train = ~np.array(held, dtype=bool)
-            blocks, of, what = [], [], []
-
-            def send(at, coded, n, kind_of_row, rare_kind):
-                rare = cv[at] < 0
-                for those, what_row in ((~rare, kind_of_row), (rare, rare_kind)):
-                    deal_out(at[those], coded[those], n[those], what_row)
-
-            def deal_out(at, coded, n, kind_of_row):
-                shard = ((np.where(cw[at] >= 0, pair[at], scramble(w[at])) >> U64(11)) % U64(shards)).astype(np.int32)
-                place = np.lexsort((w[at], shard))
-                order = at[place]
-                bounds = np.searchsorted(shard[place], np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(bounds)).tolist():
-                    o, p = order[bounds[s] : bounds[s + 1]], place[bounds[s] : bounds[s + 1]]
-                    blocks.append(encode(w[o], v[o], kind[o], coded[p], n[p], kind_of_row in (TO_SHARD_RARE, TO_SHARD_RARE_HOT)))
-                    of.append(s)
-                    what.append(kind_of_row)
-
-            number = np.where(cw >= 0, uni.hot_number(pair), -1)
-            hot = np.flatnonzero(number >= 0)
-            if len(hot):
-                held_by, n = np.unique(row[hot] * len(uni.hot) + number[hot], return_counts=True)
-                blocks.append(zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype(np.uint32).tobytes() for x in (held_by // len(uni.hot), held_by % len(uni.hot), n))))
-                of.append((task + start) % shards)
-                what.append(OWN_HOT)
-                which, first = np.unique(number[hot], return_index=True)
-                learnt = np.bincount(number[hot], train[row[hot]], len(uni.hot)).astype(np.int64)
-                send(hot[first], which, learnt[which], TO_SHARD_HOT, TO_SHARD_RARE_HOT)
-            cold = np.flatnonzero(number < 0)
-            _, at, n = np.unique(scramble(pair[cold] + row[cold].astype(U64) * U64(0xD6E8FEB86659FD93)), return_index=True, return_counts=True)
-            at = cold[at]
-            send(at, row[at] | (train[row[at]].astype(np.int64) << 31), n, None, TO_SHARD_RARE)
-            k = len(of)
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([task + start] * k, pa.int64()), pa.array(blocks, pa.binary()), pa.array(what, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
-
-        names, id_arrow = ["shard", "block", "data", "row", "doc", "held", "n_tokens", "n_known", "base", "score"], None
-        for batch in bounded_batches(batches, 64):
+            one, two, three, there = ngrams(tokens)
+            bucket, root, keys, hot = to.of(one, two, three, there)
+            train = np.repeat(~np.array(held, bool), sizes) if learn else np.zeros(len(one), bool)
+            order = np.lexsort((keys, root, bucket))
+            b, r, k = bucket[order], root[order], keys[order]
+            new = np.concatenate([[True], (b[1:] != b[:-1]) | (r[1:] != r[:-1]) | (k[1:] != k[:-1])])
+            record = np.empty(len(one), np.uint32)
+            record[order] = np.cumsum(new) - 1
+            first = order[new]
+            n = np.bincount(record, train, len(first)).astype(np.uint32)
+            bounds = np.flatnonzero(np.concatenate([[True], np.diff(bucket[first]) != 0, [True]]))
+            blocks = []
+            for i, j in zip(bounds, bounds[1:], strict=False):
+                at = first[i:j]
+                step = np.diff(root[at], prepend=U64(0))
+                blocks.append((int(bucket[at[0]]), SENT, None, None, packed(step, keys[at].astype(U64), n[i:j], hot[at])))
+            sink = pa.BufferOutputStream()
+            own = pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), pa.array(held, pa.bool_()), pa.array(sizes)], names=["id", "held", "size"])
+            with pa.ipc.new_stream(sink, own.schema) as stream:
+                stream.write_batch(own)
+            table = sink.getvalue().to_pybytes()
+            blocks.append(((task + start) % to.buckets, OWN, None, None, len(table).to_bytes(8, "little") + table + packed(record, hot)))
+            if learn:
+                w, p = len(to.words), len(to.pairs)
+                word = np.where(hot == 0, -1, np.where(hot <= w, hot.astype(np.int64) - 1, 0))
+                pair = hot.astype(np.int64) - 1 - w
+                word[pair >= 0] = to.word_of[pair[pair >= 0]]
+                for kind, of, size_, which in ((WORD, word, w, train), (PAIR, pair, p, train), (PAIR_ON, pair, p, train & there)):
+                    count = np.bincount(of[(of >= 0) & which], minlength=size_) if size_ else np.empty(0)
+                    blocks += [(task % to.buckets, NUMBER, kind << 32 | int(i), int(count[i]), None) for i in np.flatnonzero(count)]
+            bucket_, kind, number, n_, data = zip(*blocks, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_, pa.int64()), pa.array([task + start] * len(blocks), pa.int64()), pa.array(kind, pa.int8()), pa.array(number, pa.int64()), pa.array(n_, pa.int64()), pa.array(data, pa.binary())], names=names)
+
+        names, id_arrow = ["bucket", "block", "kind", "id", "n", "data"], None
+        for batch in bounded_batches(batches):
             id_arrow = batch.schema.field(0).type
             for doc, text, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 docs.append((doc, held, tokens_of(text, words)))
@@ -309,137 +244,248 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, frequent: int
         if docs:
             yield from out()
 
-    names = ["block", "data", "row", "doc", "held", "n_tokens", "n_known", "base", "score"]
+    return texts.mapInArrow(rows, ROWS)
 
-    def score(batches):
-        import pyarrow.compute as pc
 
-        uni, now, records, folder = known.value, None, [], tempfile.gettempdir()
-        id_arrow = None
+def added_up(records: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(root, keys, n, hot) of all records with training counts, each n-gram once, sorted."""
+    root, keys, n, hot = (np.concatenate([r[k][r[2] > 0] for r in records]) for k in range(4))
+    order = np.lexsort((keys, root))
+    root, keys, n, hot = root[order], keys[order], n[order], hot[order]
+    first = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (keys[1:] != keys[:-1])])) if len(root) else np.empty(0, np.int64)
+    return root[first], keys[first], np.add.reduceat(n.astype(np.int64), first) if len(first) else n.astype(np.int64), hot[first]
 
-        def out():
-            blocks = np.unique([r[0] for r in records if r[5][0] >= 0]).astype(np.int64)
-            (rows, seen, base, total), (marks, gain, context), shares, classes = _shard([r[1:] for r in records], blocks, uni, folder)
-            bounds = np.append(np.searchsorted(rows, blocks), len(rows))
-            parts = [b"".join(((rows[i:j] - at).astype(np.uint32).tobytes(), seen[i:j].astype(np.uint32).tobytes(), base[i:j].tobytes(), total[i:j].tobytes())) for at, i, j in zip(blocks, bounds, bounds[1:], strict=False)]
-            what, own = [None] * len(parts), blocks
-            at_row, of, often, share = shares
-            bounds = np.append(np.searchsorted(at_row, own), len(at_row))
-            more = [(at, FOUND_RARE, b"".join(((at_row[i:j] - at).astype(np.uint32).tobytes(), of[i:j].tobytes(), often[i:j].astype(np.uint32).tobytes(), share[i:j].tobytes()))) for at, i, j in zip(own, bounds, bounds[1:], strict=False) if i < j]
-            by, word, kind = classes
-            bounds = np.append(np.searchsorted(by, own), len(by))
-            more += [(at, CLASSES, word[i:j].tobytes() + kind[i:j].tobytes()) for at, i, j in zip(own, bounds, bounds[1:], strict=False) if i < j]
-            if len(marks):
-                # all blocks have the same gain for a bigram, and each gets it for those that it asked for
-                gains, contexts = np.zeros(len(uni.hot)), np.zeros(len(uni.hot), U64)
-                gains[-1 - marks], contexts[-1 - marks] = gain, context
-                for r in records:
-                    if r[5][0] < 0:
-                        which = -1 - r[5]
-                        rare = r[4][0] == 0
-                        more.append((r[0], FOUND_RARE_HOT if rare else GAINS_HOT, which.astype(np.uint32).tobytes() + (contexts[which].tobytes() if rare else b"") + gains[which].tobytes()))
-            blocks = np.append(blocks, [b for b, *_ in more]).astype(np.int64)
-            parts += [data for *_, data in more]
-            what += [kind for _, kind, _ in more]
-            k = len(blocks)
-            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(parts, pa.binary()), pa.array(what, pa.int64()), pa.nulls(k, id_arrow), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
-
-        for batch in bounded_batches(batches, 64):
-            id_arrow = batch.schema.field("doc").type
-            whole = batch.filter(pc.or_(pc.is_null(batch.column("data")), pc.equal(pc.fill_null(batch.column("row"), 0), OWN_HOT)))
-            if whole.num_rows:
-                yield pa.RecordBatch.from_arrays([whole.column(n) for n in names], names=names)
-            for shard, block, data, what in zip(*(batch.column(n).to_pylist() for n in ("shard", "block", "data", "row")), strict=True):
-                if data is None or what == OWN_HOT:
-                    continue
-                if shard != now and records:
-                    yield out()
-                    records = []
-                now = shard
-                w, v, low, kind, row, n = decode(data, what in (TO_SHARD_RARE, TO_SHARD_RARE_HOT))
-                if what in (TO_SHARD_HOT, TO_SHARD_RARE_HOT):
-                    records.append((block, w, v, low, kind, -1 - row.astype(np.int64), n.astype(np.int64), np.ones(len(row), dtype=bool)))
-                else:
-                    records.append((block, w, v, low, kind, block + (row & np.uint32(0x7FFFFFFF)).astype(np.int64), n.astype(np.int64), row >> np.uint32(31) > 0))
-        if records:
-            yield out()
 
-    def gather(batches):
-        """A block's documents with what all shards have for them; a block holds BLOCK_TOKENS tokens, about."""
-        import zstandard
+def split(keys: np.ndarray) -> list[np.ndarray]:
+    return [keys >> U64(THIRD), keys & U64((1 << THIRD) - 1)]
 
-        now, own, parts, hot = None, [], [], len(known.value.hot)
-        out_names = [id_col, "held_out", "n_tokens", "n_known", "base_score", "score"]
 
-        def out():
-            merged = pa.Table.from_batches(own).sort_by("row").combine_chunks()
-            n = merged.num_rows
-            seen, base, score = (merged[c].to_numpy().copy() for c in ("n_known", "base", "score"))
-            gains, held_by = np.zeros(hot), None
-            shares, shares_hot, classes = [], [], [(np.empty(0, U64), np.empty(0, np.uint8))]
-            for what, data in parts:
-                if what == GAINS_HOT:
-                    k = len(data) // 12
-                    gains[np.frombuffer(data, np.uint32, k)] = np.frombuffer(data, np.float64, k, 4 * k)
-                    continue
-                if what == FOUND_RARE:
-                    k = len(data) // 24
-                    shares.append((np.frombuffer(data, np.uint32, k), np.frombuffer(data, U64, k, 4 * k), np.frombuffer(data, np.uint32, k, 12 * k), np.frombuffer(data, np.float64, k, 16 * k)))
-                    continue
-                if what == FOUND_RARE_HOT:
-                    k = len(data) // 20
-                    shares_hot.append((np.frombuffer(data, np.uint32, k), np.frombuffer(data, U64, k, 4 * k), np.frombuffer(data, np.float64, k, 12 * k)))
-                    continue
-                if what == CLASSES:
-                    k = len(data) // 9
-                    classes.append((np.frombuffer(data, U64, k), np.frombuffer(data, np.uint8, k, 8 * k)))
-                    continue
-                if what == OWN_HOT:
-                    held_by = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32).reshape(3, -1)
-                    continue
-                k = len(data) // 24
-                at = np.frombuffer(data, np.uint32, k)  # each document once
-                seen[at] += np.frombuffer(data, np.uint32, k, 4 * k)
-                base[at] += np.frombuffer(data, np.float64, k, 8 * k)
-                score[at] += np.frombuffer(data, np.float64, k, 16 * k)
-            word, kind = (np.concatenate(x) for x in zip(*classes, strict=True))
-            order = np.argsort(word)
-            word, kind = word[order], kind[order]
-
-            def gain(context, share):
-                # a bigram that was learnt has a context that was, so that its class is here
-                return np.log10(1 + share / context_weight(kind[np.searchsorted(word, context)]))
-
-            for at, context, often, share in shares:
-                score += np.bincount(at, often * gain(context, share), n)
-            for which, context, share in shares_hot:
-                there = share > 0
-                gains[which[there]] = gain(context[there], share[there])
-            if held_by is not None:
-                at, which, often = held_by
-                score += np.bincount(at, often * gains[which], n)
-            cols = [merged["doc"].combine_chunks(), merged["held"].combine_chunks(), merged["n_tokens"].combine_chunks(), pa.array(seen), pa.array(base), pa.array(score)]
-            return [pa.RecordBatch.from_arrays([c.slice(i, 4096) for c in (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols)], names=out_names) for i in range(0, n, 4096)]
-
-        for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if j == i:
-                    continue
-                piece = batch.slice(i, j - i)
-                if (block := int(blocks[i])) != now and own:
-                    yield from out()
-                    own, parts = [], []
-                now = block
-                data = piece.column("data").to_pylist()
-                parts += [(what, d) for what, d in zip(piece.column("row").to_pylist(), data, strict=True) if d is not None]
-                if None in data:
-                    own.append(piece.filter(pa.array([d is None for d in data])).select(["row", "doc", "held", "n_tokens", "n_known", "base", "score"]))
-        if own:
+def answer(dealt: DataFrame, routes, learn: bool, keep: bool) -> DataFrame:
+    """ANSWERs for what was SENT, from the buckets' tries, which are learnt or come as rows TRIE; OWN rows and NUMBERs as they are.
+
+    With ``learn`` also NUMBERs of distinct words, and with ``keep`` rows TRIE.
+    """
+    import pyarrow as pa
+
+    names = ["bucket", "block", "kind", "id", "n", "data"]
+
+    def rows(batches):
+        to, now, held, trie, folder = routes.value, None, [], None, tempfile.gettempdir()
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else ([],) * 6
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
+
+        def read(data: bytes) -> tuple[np.ndarray, ...]:
+            step, keys, n, hot = unpacked(data, U64, U64, np.uint32, np.uint32)
+            return np.cumsum(step, dtype=U64), keys, n, hot
+
+        def answered(block: int, record: tuple[np.ndarray, ...]) -> tuple:
+            count, alphas, gammas = trie.find(record[0], split(record[1]))
+            return now, block, ANSWER, None, None, packed(count.astype(U64), *alphas, *gammas)
+
+        def learnt() -> Iterator[pa.RecordBatch]:
+            """The bucket's trie, its numbers and all its answers."""
+            nonlocal trie, held
+            root, keys, n, hot = added_up([r for _, r in held])
+            data = NgramTrie.build(root, split(keys), n, DISCOUNT).to_bytes()
+            trie = mapped(data, folder)
+            w, at = len(to.words), np.flatnonzero(np.diff(root, prepend=~root[:1]))
+            # a pair that a text ends with goes on nowhere
+            at = at[(hot[at] <= w) | (split(keys[at])[1] > 0)]
+            which, distinct = np.unique(hot[at], return_counts=True)
+            numbers = [(DISTINCT << 32, d) if h == 0 else (WORD_THEN << 32 | h - 1, d) if h <= w else (PAIR_THEN << 32 | h - 1 - w, d) for h, d in zip(which.tolist(), distinct.tolist(), strict=True)]
+            yield batch_of([(now, None, NUMBER, k, d, None) for k, d in numbers] + [(now, None, TRIE, None, None, data)] * keep)
+            for block, r in held:
+                yield batch_of([answered(block, r)])
+            held, trie = [], None
+
+        for batch in bounded_batches(batches, 64, 16 << 20):
+            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                bucket, block, kind, _, _, data = row
+                if bucket != now:
+                    if held:
+                        yield from learnt()
+                    now, trie = bucket, None
+                if kind == TRIE:
+                    trie = mapped(data, folder)
+                elif kind != SENT:
+                    yield batch_of([row])
+                elif learn:
+                    held.append((block, read(data)))
+                else:
+                    trie = trie or NgramTrie.build(*_nothing(), DISCOUNT)
+                    yield batch_of([answered(block, read(data))])
+        if held:
+            yield from learnt()
+
+    spark = dealt.sparkSession
+    dealt = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(rows, ROWS)
+
+
+def _nothing() -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    return np.empty(0, U64), [np.empty(0, U64)] * 2, np.empty(0, np.int64)
+
+
+@dataclass
+class Counts:
+    """Numbers of the whole corpus: training tokens and texts, distinct tokens, and those of hot words and pairs."""
+
+    tokens: int
+    texts: int
+    distinct: int
+    word: np.ndarray
+    word_then: np.ndarray
+    pair: np.ndarray
+    pair_on: np.ndarray
+    pair_then: np.ndarray
+
+    @classmethod
+    def of(cls, answers: DataFrame, numbers: dict[int, int], to: Routes) -> Counts:
+        # a few for each hot word and pair
+        found = {r["id"]: r["n"] for r in answers.where(F.col("kind") == NUMBER).groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        w, p = len(to.words), len(to.pairs)
+        columns = [np.array([found.get(kind << 32 | i, 0) for i in range(size)], np.int64) for kind, size in ((WORD, w), (WORD_THEN, w), (PAIR, p), (PAIR_ON, p), (PAIR_THEN, p))]
+        # a hot pair is one more word after its first
+        columns[1] += np.bincount(to.word_of[columns[2] > 0], minlength=w)
+        # the mark of the beginning is no token; the end is one, and begins no n-gram
+        hot = int((columns[0][to.words != BEGIN] > 0).sum())
+        return cls(numbers[TOKENS], numbers[TEXTS], found.get(DISTINCT << 32, 0) + hot + (numbers[TEXTS] > 0), *columns)
+
+
+def share(over: np.ndarray, under: np.ndarray, nothing: float) -> np.ndarray:
+    return np.where(under > 0, np.maximum(over, 0) / np.maximum(under, 1), nothing)
+
+
+def put_together(record: np.ndarray, hot: np.ndarray, sizes: np.ndarray, answers: list[np.ndarray], to: Routes, all_: Counts) -> tuple[np.ndarray, ...]:
+    """(n_known, base, score) of a block's documents, from where its n-grams stand and the answers about them."""
+    count, alpha2, alpha3, gamma1, gamma2 = (a[record] for a in answers)
+    count, hot = count.astype(np.int64), hot.astype(np.int64)
+    a2, a3 = BOOK[alpha2], BOOK[alpha3]
+    # what a trie doesn't have leaves all to the shorter context
+    g1, g2 = (np.where(g > 0, BOOK[g], 1.0) for g in (gamma1, gamma2))
+    w = len(to.words)
+    pair = np.flatnonzero(hot > w)
+    p = hot[pair] - 1 - w
+    word = np.flatnonzero(hot > 0)
+    of = np.where(hot[word] > w, 0, hot[word] - 1)
+    of[hot[word] > w] = to.word_of[p]
+    uni = count.copy()
+    uni[word] = all_.word[of]
+    together = count[word]
+    together[hot[word] > w] = all_.pair[p]
+    a2[word] = share(together - DISCOUNT, all_.word[of], 0.0)
+    g1[word] = share(DISCOUNT * all_.word_then[of], all_.word[of], 1.0)
+    a3[pair] = share(count[pair] - DISCOUNT, all_.pair_on[p], 0.0)
+    g2[pair] = share(DISCOUNT * all_.pair_then[p], all_.pair_on[p], 1.0)
+    # the token after the first of an n-gram; the last one's is the end
+    last = np.cumsum(sizes) - 1
+    seen = np.append(uni[1:], 0)
+    seen[last] = all_.texts
+    p1 = (seen + 0.1) / (all_.tokens + 0.1 * (all_.distinct + 1))
+    p2 = a2 + g1 * p1
+    p3 = np.append(1.0, a3[:-1]) + np.append(0.0, g2[:-1]) * p2
+    first = last - sizes + 1
+    p3[first] = p2[first]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return np.bincount(doc, seen > 0, len(sizes)).astype(np.int64), np.bincount(doc, np.log10(p1), len(sizes)), np.bincount(doc, np.log10(p3), len(sizes))
+
+
+def gathered(answers: DataFrame, routes, counts: Counts, id_col: str, id_type: str) -> DataFrame:
+    """The scores of each block's documents; a block holds BLOCK_TOKENS tokens, about."""
+    import pyarrow as pa
+
+    spark = answers.sparkSession
+    known = spark.sparkContext.broadcast(counts)
+
+    def rows(batches):
+        now, own, parts = None, None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            size = int.from_bytes(own[:8], "little")
+            docs = pa.ipc.open_stream(own[8 : 8 + size]).read_all().combine_chunks()
+            record, hot = unpacked(own[8 + size :], np.uint32, np.uint32)
+            columns = zip(*(unpacked(data, U64, *[np.uint8] * 4) for _, data in sorted(parts)), strict=True)
+            sizes = docs["size"].to_numpy()
+            seen, base, score = put_together(record, hot, sizes, [np.concatenate(c) for c in columns], routes.value, known.value)
+            out = pa.Table.from_arrays([docs["id"], docs["held"], pa.array(sizes), pa.array(seen), pa.array(base), pa.array(score)], names=[id_col, "held_out", "n_tokens", "n_known", "base_score", "score"])
+            return out.to_batches(4096)
+
+        for batch in bounded_batches(batches, 64, 16 << 20):
+            for bucket, block, kind, data in zip(*(batch.column(n).to_pylist() for n in ("bucket", "block", "kind", "data")), strict=True):
+                if block != now:
+                    if parts:
+                        yield from out()
+                    now, own, parts = block, None, []
+                if kind == OWN:
+                    own = data
+                else:
+                    parts.append((bucket, data))
+        if parts:
             yield from out()
 
-    dealt = texts.mapInArrow(deal, f"shard int, {sums}").repartition(shards, "shard").sortWithinPartitions("shard")
-    scored = dealt.mapInArrow(score, sums).repartition(partitions(spark), "block").sortWithinPartitions("block")
-    final = scored.mapInArrow(gather, f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return final.select(id_col, "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    rest = answers.where(F.col("kind").isin(ANSWER, OWN)).select("bucket", "block", "kind", "data")
+    rest = rest.repartition(partitions(spark), "block").sortWithinPartitions("block")
+    return rest.mapInArrow(rows, f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
+def _texts(docs: DataFrame, folds: int, held_out: int, id_col: str, text_col: str) -> DataFrame:
+    held = F.coalesce(crc_fold(F.col(id_col), folds) == held_out, F.lit(False))
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), held.alias("held"))
+
+
+def _scores(answers: DataFrame, routes, counts: Counts, docs: DataFrame, id_col: str) -> DataFrame:
+    final = gathered(answers, routes, counts, id_col, docs.schema[id_col].dataType.simpleString())
+    return final.select(id_col, "held_out", "n_tokens", "n_known", F.lit(int(counts.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@dataclass
+class LanguageModel:
+    """Tries by bucket in a written table, and the numbers that go with them."""
+
+    spark: SparkSession
+    tries: DataFrame
+    routes: Routes
+    counts: Counts
+    folds: int
+    held_out: int
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Scores of any documents, learnt from or not, as those of ``lm_scores``. A bucket's trie comes before its n-grams, and these are answered one block at a time."""
+        routes = self.spark.sparkContext.broadcast(self.routes)
+        sent = deal(_texts(docs, self.folds, self.held_out, id_col, text_col), routes, False, id_col)
+        return _scores(answer(self.tries.unionByName(sent), routes, False, False), routes, self.counts, docs, id_col)
+
+
+def _learnt(docs: DataFrame, folds: int, held_out: int, id_col: str, text_col: str, keep: bool, only_train: bool):
+    spark = docs.sparkSession
+    texts = _texts(docs, folds, held_out, id_col, text_col)
+    numbers, *hot = survey(texts)
+    # several buckets a task, so that tasks are alike
+    to = Routes(*hot, max(3 * partitions(spark), -(-numbers[ALL] // BUCKET_NGRAMS)))
+    routes = spark.sparkContext.broadcast(to)
+    sent = deal(texts.where("NOT held") if only_train else texts, routes, True, id_col)
+    answers = answer(sent, routes, True, keep)
+    if only_train:
+        answers = answers.where(F.col("kind").isin(TRIE, NUMBER))
+    answers = materialise(answers, "lm-tries" if only_train else "lm-answers")
+    return answers, routes, Counts.of(answers, numbers, to)
+
+
+def fit(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
+    """A model of all rows but the held-out fold; see ``lm_scores`` for what becomes of odd rows."""
+    answers, routes, counts = _learnt(docs, folds, held_out, id_col, text_col, True, True)
+    return LanguageModel(docs.sparkSession, answers.where(F.col("kind") == TRIE), routes.value, counts, folds, held_out)
+
+
+def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Learns from all rows but the held-out fold (a null id isn't held out) and scores all whole texts; null and empty
+    texts are their end alone. Repeated rows count as often as they come and are scored each. With nothing to learn
+    from, every token has the same unigram probability. Empty tables give empty results; other columns of docs are not
+    read.
+    """
+    answers, routes, counts = _learnt(docs, folds, held_out, id_col, text_col, False, False)
+    return _scores(answers, routes, counts, docs, id_col)

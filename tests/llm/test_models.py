@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.llm.decontaminate import WuManber, decontaminate, keep_clean
-from tarn.llm.elias_fano import EliasFano, Trie, mapped
+from tarn.llm.elias_fano import BOOK, EliasFano, NgramTrie, mapped
 from tarn.llm.lm import lm_scores
 from tarn.llm.quality import fit_quality, keep_quality, score_quality
 from tarn.llm.toxicity import fit_toxicity, score_toxicity, threshold
@@ -172,92 +172,148 @@ def test_elias_fano():
 
 def test_trie(tmp_path):
     rng = np.random.default_rng(2)
-    w, c = rng.integers(0, 300, 5000).astype(np.uint64) * np.uint64(97), rng.integers(0, 1 << 32, 5000).astype(np.uint64)
-    order = np.lexsort((c, w))
-    w, c, values = w[order], c[order], rng.random(5000) * 4
-    t = mapped(Trie.build(w, c, values), str(tmp_path), "t")
-    assert not list(tmp_path.iterdir()) and t.nbytes < 6 * 5000
-    assert np.abs(t.find(w, c) - values).max() < 0.05
-    assert np.isnan(t.find(w + np.uint64(1), c)).all() and np.isnan(t.find(w, (c + np.uint64(1)) % np.uint64(1 << 32))).mean() > 0.99
-    assert np.isnan(Trie.build(w[:0], c[:0], values[:0]).find(w[:3], c[:3])).all()
-
-
-@pytest.mark.parametrize(("frequent", "hot"), [(1 << 18, 4096), (1 << 18, 1), (8, 1), (0, 4096)])
-def test_language_model(spark, frequent, hot, monkeypatch):
-    """All bigrams of so small a corpus are hot at a share of 1 in 4096; few at one of 1 in twice the shards."""
-    from tarn.llm import lm
-
-    monkeypatch.setattr(lm, "HOT_SHARE", hot)
-    rng = random.Random(11)
-    docs = [(i, " ".join(rng.choice(["the", "a", "Cat", "dog\n", "sat", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40)))) for i in range(300)]
-    docs += [(1000, None), (1001, ""), (None, "the cat"), (1, docs[1][1]), (1002, "the cat " * 3000), (1003, "neverseen\x0bword")]
-    tokens = lambda t: [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(UPPER)) if x] + [None]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    count, pairs, starts = Counter(), Counter(), 0
+    rows = Counter(zip(rng.integers(0, 300, 20_000).tolist(), rng.integers(1, 40, 20_000).tolist(), rng.integers(0, 9, 20_000).tolist(), strict=True))
+    root, two, three = (np.array(x, np.uint64) for x in zip(*sorted(rows), strict=True))
+    root *= np.uint64(97)
+    n = np.array([rows[k] for k in sorted(rows)])
+    data = NgramTrie.build(root, [two, three], n, 0.75).to_bytes()
+    t = mapped(data, str(tmp_path))
+    assert not list(tmp_path.iterdir()) and len(data) < 9 * len(n)
+    count, (a2, a3), (g1, g2) = t.find(root, [two, three])
+    c1, c2, on = Counter(), Counter(), Counter()
+    for (r, x, y), m in rows.items():
+        c1[r] += m
+        c2[r, x] += m
+        on[r, x] += m * (y > 0)
+    d1, d2 = Counter(r for r, _ in c2), Counter((r, x) for r, x, y in rows if y)
+    for k, (r, x, y) in enumerate(sorted(rows)):
+        assert count[k] == c1[r]
+        want = [(c2[r, x] - 0.75) / c1[r], 0.75 * d1[r] / c1[r]]
+        got = [BOOK[a2[k]], BOOK[g1[k]]]
+        if y:
+            want += [(rows[r, x, y] - 0.75) / on[r, x], 0.75 * d2[r, x] / on[r, x]]
+            got += [BOOK[a3[k]], BOOK[g2[k]]]
+        else:
+            assert a3[k] == 0
+        assert np.abs(np.log10(want) - np.log10(got)).max() < 0.02
+    count, alphas, gammas = t.find(root + np.uint64(1), [two, three])
+    assert not count.any() and not any(x.any() for x in alphas + gammas)
+    count, (a2, a3), (g1, g2) = t.find(root, [two + np.uint64(50), three])
+    assert count.all() and g1.all() and not (a2.any() or a3.any() or g2.any())
+    empty = NgramTrie.load(np.frombuffer(NgramTrie.build(root[:0], [two[:0], three[:0]], n[:0], 0.75).to_bytes(), np.uint8))
+    assert not empty.find(root[:3], [two[:3], three[:3]])[0].any()
+
+
+def brute_model(docs, held):
+    """(n_tokens, n_known, base, scores of the orders 1 to 3) by text, from counts of all n-grams of training texts."""
+    tokens = lambda t: ["<s>", *[x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(UPPER)) if x], "</s>"]
+    counts, texts = [Counter(), Counter(), Counter()], 0
     for i, t in docs:
         if not held(i):
             k = tokens(t)
-            count.update(k)
-            pairs.update(zip(["<s>", *k], k, strict=False))
-            starts += 1
-    n, v = sum(count.values()), len(count)
-    p1 = lambda w: (count[w] + 0.1) / (n + 0.1 * (v + 1))
-    got = lm_scores(frame(spark, docs), frequent=frequent).collect()
-    assert len(got) == len(docs)
-    known = set(count) | {"<s>"} if frequent > 1000 else None
-    by_base = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
-    want = sorted((i if i is not None else -1, held(i), len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), n, round(sum(math.log10(p1(w)) for w in tokens(t)), 6)) for i, t in docs)
-    assert [b[:5] for b in by_base] == [w[:5] for w in want]
-    assert np.allclose([b[5] for b in by_base], [w[5] for w in want], atol=1e-5)
-    if known is not None:
-        # the model itself, with every training word broadcast; its gains are rounded to 256 numbers a shard
-        scores = {}
-        for i, t in docs:
-            total, before = 0.0, "<s>"
-            for w in tokens(t):
-                c = starts if before == "<s>" else count[before]
-                m = float(lm.context_weight(lm.context_class(np.array([c])))[0]) if c else lm.RARE_WEIGHT
-                total += math.log10((pairs[before, w] + m * p1(w)) / (c + m))
-                before = w
-            scores.setdefault(i, total)
-        for r in got:
-            assert abs(r.score - scores[r.doc_id]) < 0.02 * r.n_tokens + 1e-6
-        assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    assert lm_scores(frame(spark, [])).count() == 0
-    alone = lm_scores(frame(spark, [(i, "x y") for i in range(200) if held(i)][:3])).collect()
-    assert all(r.train_tokens == 0 and r.n_known == 0 and abs(r.base_score) < 1e-9 for r in alone)
+            texts += 1
+            counts[0].update(k[1:])
+            for size in (2, 3):
+                counts[size - 1].update(zip(*[k[j:] for j in range(size)], strict=False))
+    n, v = sum(counts[0].values()), len(counts[0])
+    on = [Counter(), Counter()]
+    then = [Counter(), Counter()]
+    for size in (2, 3):
+        for g, m in counts[size - 1].items():
+            on[size - 2][g[:-1]] += m
+            then[size - 2][g[:-1]] += 1
+
+    def p(order, h, w):
+        if order == 1:
+            return (counts[0][w] + 0.1) / (n + 0.1 * (v + 1))
+        c = on[order - 2][h]
+        if not c:
+            return p(order - 1, h[1:], w)
+        return max(0, counts[order - 1][(*h, w)] - 0.75) / c + 0.75 * then[order - 2][h] / c * p(order - 1, h[1:], w)
+
+    def scored(t):
+        k = tokens(t)
+        sums = [sum(math.log10(p(min(order, i + 1), tuple(k[i + 1 - min(order, i + 1) : i]) if order > 1 else (), k[i])) for i in range(1, len(k))) for order in (1, 2, 3)]
+        return len(k) - 1, sum(counts[0][w] > 0 for w in k[1:]), sums
+
+    return n, scored
+
+
+def lm_corpus():
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choice(["the", "a", "Cat", "dog\n", "sat", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40)))) for i in range(300)]
+    # clauses that come again, so that trigrams matter
+    docs += [(400 + i, " ".join(rng.choice(["the cat sat on", "a dog ran off", "w1 w2 w3 w4", "x"]) for _ in range(12))) for i in range(100)]
+    return docs + [(1000, None), (1001, ""), (None, "the cat"), (1, docs[1][1]), (1002, "the cat " * 3000), (1003, "neverseen\x0bword"), (1004, " ".join(f"only{k}" for k in range(50)))]
+
+
+def in_fold(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 10 == 0
 
 
-@pytest.mark.parametrize(("frequent", "hot"), [(8, 4096), (0, 1)])
-def test_language_model_of_rare_contexts(spark, frequent, hot, monkeypatch):
-    """The score is that of the model whichever words are broadcast."""
+@pytest.mark.parametrize(("share", "bucket", "block"), [(1 << 16, 1 << 20, 1 << 20), (1 << 16, 400, 500), (40, 8, 2000)])
+def test_language_model(spark, share, bucket, block, monkeypatch):
+    """The scores are those of brute force whether no word is hot, or many words and pairs are, in one block or in many."""
     from tarn.llm import lm
 
-    monkeypatch.setattr(lm, "HOT_SHARE", hot)
-    monkeypatch.setattr(lm, "BLOCK_TOKENS", 500)
-    rng = random.Random(13)
-    docs = [(i, " ".join(rng.choice(["the", "a", "cat", "sat", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40)))) for i in range(300)]
-    tokens = lambda t: [*t.split(), None]
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    docs += [(i, "only here held out " * 5) for i in range(1000, 1100) if held(i)]
-    count, pairs = Counter(), Counter()
-    for i, t in docs:
-        if not held(i):
-            k = ["<s>", *tokens(t)]
-            count.update(k)
-            pairs.update(zip(k, k[1:], strict=False))
-    n, v = sum(count.values()) - count["<s>"], len(count) - 1
-    p1 = lambda w: (count[w] + 0.1) / (n + 0.1 * (v + 1))
-    want = {}
-    for i, t in docs:
-        k, want[i] = ["<s>", *tokens(t)], 0.0
-        for a, b in zip(k, k[1:], strict=False):
-            m = float(lm.context_weight(lm.context_class(np.array([count[a]])))[0])
-            want[i] += math.log10((pairs[a, b] + m * p1(b)) / (count[a] + m))
-    got = lm_scores(frame(spark, docs), frequent=frequent).collect()
+    monkeypatch.setattr(lm, "HOT_SHARE", share)
+    monkeypatch.setattr(lm, "BUCKET_NGRAMS", bucket)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", block)
+    docs = lm_corpus()
+    held = spark.createDataFrame([(i, t, in_fold(i)) for i, t in docs], "id long, text string, held boolean")
+    numbers, words, pairs, word_of = lm.survey(held)
+    assert lm.BEGIN in words and (len(words) > 3 and len(pairs) > 2) == (bucket < 1000)
+    assert (words[word_of] != 0).all()
+    n, scored = brute_model(docs, in_fold)
+    assert numbers[lm.TOKENS] == n
+    got = lm_scores(frame(spark, docs)).collect()
     assert len(got) == len(docs)
+    texts = {}
+    for i, t in docs:
+        texts.setdefault(i, t)
     for r in got:
-        assert abs(r.score - want[r.doc_id]) < 0.02 * r.n_tokens + 1e-6
+        size, known, sums = scored(texts[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (in_fold(r.doc_id), size, known, n)
+        assert abs(r.base_score - sums[0]) < 1e-6 * size
+        assert abs(r.score - sums[2]) < 0.02 * size
+    # higher orders tell more, and the score is nearer to that of the third than to those of the others
+    assert sum(r.score for r in got) > sum(scored(texts[r.doc_id])[2][1] for r in got) > sum(r.base_score for r in got)
+    assert lm_scores(frame(spark, [])).count() == 0
+    alone = lm_scores(frame(spark, [(i, "x y") for i in range(200) if in_fold(i)][:3])).collect()
+    assert len(alone) == 3 and all(r.train_tokens == 0 and r.n_known == 0 and abs(r.base_score) < 1e-9 and abs(r.score) < 1e-9 for r in alone)
+
+
+@pytest.mark.parametrize(("share", "bucket"), [(1 << 16, 1 << 20), (1 << 16, 400)])
+def test_language_model_is_kept(spark, share, bucket, monkeypatch):
+    """Tries that were written once score any documents, as the pass that learns does, and others as brute force does."""
+    from tarn.llm import lm
+
+    monkeypatch.setattr(lm, "HOT_SHARE", share)
+    monkeypatch.setattr(lm, "BUCKET_NGRAMS", bucket)
+    docs = lm_corpus()
+    model = lm.fit(frame(spark, docs))
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.score)
+    one, two = (sorted(x.collect(), key=key) for x in (lm_scores(frame(spark, docs)), model.score(frame(spark, docs))))
+    assert [tuple(r)[:5] for r in one] == [tuple(r)[:5] for r in two]
+    assert np.allclose([[r.base_score, r.score] for r in one], [[r.base_score, r.score] for r in two])
+    others = [(5000 + k, t) for k, t in enumerate(["the cat sat on a dog", "on sat cat the", "nothing known here", None, "w1 w2 w3 w4 w1 w2"])]
+    _, scored = brute_model(docs, in_fold)
+    for r in model.score(frame(spark, others)).collect():
+        size, known, sums = scored(dict(others)[r.doc_id])
+        assert (r.n_tokens, r.n_known) == (size, known) and abs(r.base_score - sums[0]) < 1e-6 * size and abs(r.score - sums[2]) < 0.02 * size
+
+
+def test_language_model_knows_repeats(spark):
+    """Documents that the corpus has twice score above those that it has once."""
+    rng = random.Random(5)
+    syllables = ["er", "on", "th", "ing", "an", "re", "st", "the", "en", "es"]
+    text = lambda: " ".join(rng.choice(["the", "of", "in"]) if rng.random() < 0.4 else "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(150))
+    docs = [(i, text()) for i in range(1000)]
+    docs += [(2000 + i, docs[i][1]) for i in range(0, 60)]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_scores(frame(spark, docs)).collect() if not r.held_out}
+    twice = [got[i] for i in range(60) if i in got and 2000 + i in got]
+    once = [got[i] for i in range(60, 1000) if i in got]
+    assert np.mean(np.array(twice) > np.quantile(once, 0.99)) > 0.95
 
 
 # -- URL rules -------------------------------------------------------------------------------------------------------
