@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cached_property
 
 import numpy as np
 
@@ -79,30 +80,41 @@ class EliasFano:
         out[some] = word * 64 + self._select(~self.high[word], k - zeros[word]) - k
         return out
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value >= x, n where there is none."""
-        x = np.asarray(x, dtype=U64)
+    @cached_property
+    def _starts(self) -> np.ndarray:
+        """``_below`` of every high part and of one more, for many searches: made once, in memory only."""
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))
+        return np.searchsorted(ones - np.arange(len(ones)), np.arange(self.top + 2))
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first value >= x, whether it is x)."""
         high = (x >> U64(self.bits)).astype(np.int64)
-        out = np.full(len(x), self.n, dtype=np.int64)
+        out, same = np.full(len(x), self.n, dtype=np.int64), np.zeros(len(x), bool)
         inside = np.flatnonzero(high <= self.top)
-        lo, hi = self._below(high[inside]), self._below(high[inside] + 1)
+        high = high[inside]
+        lo, end = (self._starts[high], self._starts[high + 1]) if len(x) > 64 else (self._below(high), self._below(high + 1))
+        hi = end.copy()
         want = x[inside] & U64((1 << self.bits) - 1) if self.bits else np.zeros(len(inside), dtype=U64)
-        while (open_ := np.flatnonzero(lo < hi)).size:
+        open_ = np.flatnonzero(lo < hi)
+        while open_.size:
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._low(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+            open_ = open_[lo[open_] < hi[open_]]
         out[inside] = lo
-        return out
+        there = np.flatnonzero(lo < end)
+        same[inside[there]] = self._low(lo[there]) == want[there]
+        return out, same
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The place of the first value >= x, n where there is none."""
+        return self._search(np.asarray(x, dtype=U64))[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, -1 where it isn't there."""
-        at = self.successor(x)
-        some = np.flatnonzero(at < self.n)
-        same = self.get(at[some]) == x[some]
-        out = np.full(len(x), -1)
-        out[some[same]] = at[some[same]]
-        return out
+        """The place of each x (its first one), -1 where it isn't there."""
+        at, same = self._search(np.asarray(x, dtype=U64))
+        return np.where(same, at, -1)
 
 
 #: Codes of probabilities: 0 is none; 1 to 255 stand for 1 down to 10**-DECADES, closest together near 1.

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._common import bounded_batches, crc_fold, materialise, partitions
 from .elias_fano import BOOK, NgramTrie, mapped
-from .minhash import WordHashes, scramble
+from .words import scramble, word_hashes
 
 U64 = np.uint64
 END, BEGIN = U64(0x9AE16A3B2F90404F), U64(0xC949C7DEFE8A21B5)
@@ -46,8 +46,6 @@ DISCOUNT = 0.75
 BLOCK_TOKENS, BUCKET_NGRAMS = 1 << 20, 1 << 20
 #: A word or pair is hot with more than one in so many of all tokens, and of a bucket's n-grams; fewer than twice as many are hot.
 HOT_SHARE, HOT_IN_BUCKET = 1 << 16, 8
-#: Bytes of words whose hashes a worker keeps.
-WORDS = 16 << 20
 #: Bits of keys after the first word: of the second word's hash, and of the third's.
 SECOND, THIRD = 32, 24
 #: Rows between the stages: (bucket, block, kind, id, n, data).
@@ -59,13 +57,9 @@ DISTINCT, WORD, WORD_THEN, PAIR, PAIR_ON, PAIR_THEN = range(6)
 TOKENS, TEXTS, ALL = range(3)
 
 
-def tokens_of(text: str | None, words: WordHashes) -> np.ndarray:
-    """The mark of the beginning, and hashes of a text's words, A-Z lower-cased: what n-grams begin with."""
-    parts = (text or "").encode().lower().split()
-    out = np.empty(len(parts) + 1, U64)
-    out[0] = BEGIN
-    out[1:] = np.fromiter(map(words.__getitem__, parts), dtype=U64, count=len(parts))
-    return out
+def tokens_of(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the mark of the beginning, and hashes of its words, A-Z lower-cased: what n-grams begin with."""
+    return [np.concatenate([[BEGIN], h]) for h in word_hashes(texts)]
 
 
 def chained(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -137,9 +131,10 @@ class Routes:
         second[word >= 0] = 1
         third = np.where(there, np.maximum(scramble(three.copy()) >> U64(64 - THIRD), U64(1)), U64(0))
         third[both & there] = 1
-        h = scramble(route)
+        # buckets are ranges of roots
+        h = scramble(route) >> U64(16)
         mark = np.where(both, 1 + len(self.words) + pair, 1 + word).astype(np.uint32)
-        return (h % U64(self.buckets)).astype(np.int64), h >> U64(16), second << U64(THIRD) | third, mark
+        return (h >> U64(16)) * U64(self.buckets) >> U64(32), h, second << U64(THIRD) | third, mark
 
 
 def survey(texts: DataFrame) -> tuple[dict[int, int], np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +142,7 @@ def survey(texts: DataFrame) -> tuple[dict[int, int], np.ndarray, np.ndarray, np
     import pyarrow as pa
 
     def count(batches):
-        words, parts, numbers = WordHashes(WORDS), [], np.zeros(3, np.int64)
+        parts, numbers = [], np.zeros(3, np.int64)
 
         def out():
             one, two, *_ = ngrams(parts)
@@ -164,8 +159,8 @@ def survey(texts: DataFrame) -> tuple[dict[int, int], np.ndarray, np.ndarray, np
             return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), *(pa.array(np.array(x, U64).view(np.int64)) for x in (h, word)), pa.array(n, pa.int64())], names=["kind", "h", "word", "n"])
 
         for batch in bounded_batches(batches):
-            for text, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                parts.append(tokens_of(text, words))
+            for tokens, held in zip(tokens_of(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
+                parts.append(tokens)
                 numbers += (0 if held else len(parts[-1]), 0 if held else 1, len(parts[-1]))
             if sum(map(len, parts)) > BLOCK_TOKENS:
                 yield out()
@@ -193,7 +188,7 @@ def deal(texts: DataFrame, routes, learn: bool, id_col: str) -> DataFrame:
     from pyspark import TaskContext
 
     def rows(batches):
-        to, words = routes.value, WordHashes(WORDS)
+        to = routes.value
         task, start, docs, size = TaskContext.get().partitionId() << 33, 0, [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -202,9 +197,9 @@ def deal(texts: DataFrame, routes, learn: bool, id_col: str) -> DataFrame:
             one, two, three, there = ngrams(tokens)
             bucket, root, keys, hot = to.of(one, two, three, there)
             train = np.repeat(~np.array(held, bool), sizes) if learn else np.zeros(len(one), bool)
-            order = np.lexsort((keys, root, bucket))
-            b, r, k = bucket[order], root[order], keys[order]
-            new = np.concatenate([[True], (b[1:] != b[:-1]) | (r[1:] != r[:-1]) | (k[1:] != k[:-1])])
+            order = np.lexsort((keys, root))
+            r, k = root[order], keys[order]
+            new = np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])])
             record = np.empty(len(one), np.uint32)
             record[order] = np.cumsum(new) - 1
             first = order[new]
@@ -235,8 +230,9 @@ def deal(texts: DataFrame, routes, learn: bool, id_col: str) -> DataFrame:
         names, id_arrow = ["bucket", "block", "kind", "id", "n", "data"], None
         for batch in bounded_batches(batches):
             id_arrow = batch.schema.field(0).type
-            for doc, text, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                docs.append((doc, held, tokens_of(text, words)))
+            ids, texts_, held_ = (batch.column(i).to_pylist() for i in range(3))
+            for doc, tokens, held in zip(ids, tokens_of(texts_), held_, strict=True):
+                docs.append((doc, held, tokens))
                 size += len(docs[-1][2])
                 if size > BLOCK_TOKENS:
                     yield from out()

@@ -25,7 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import CACHE_BYTES, Cache, bounded_batches, materialise, partitions
+from ._common import bounded_batches, materialise, partitions
+from .words import scramble, word_hashes
 
 SHINGLE = 5
 HASHES, BITS = 352, 2
@@ -44,36 +45,16 @@ OFFSETS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 MIX = [np.uint64(int(x) | 1) for x in _rng.integers(1 << 62, 1 << 63, 8, dtype=np.uint64)]
 
 
-def scramble(x: np.ndarray) -> np.ndarray:
-    """Mix 64-bit words in place."""
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x7FB5D329728EA185)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x81DADEF4BC2DD44D)
-    x ^= x >> np.uint64(33)
-    return x
-
-
-class WordHashes(Cache):
-    """word -> its 64-bit hash."""
-
-    def __init__(self, budget: int = CACHE_BYTES):
-        import xxhash
-
-        super().__init__(xxhash.xxh3_64_intdigest, budget)
-
-
-def shingle_set(text: str | None, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles: ``size`` words, or all of them where there are fewer."""
-    parts = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(words.__getitem__, parts), dtype=np.uint64, count=len(parts))
-    k = min(size, len(h))
-    out = np.zeros(len(h) - k + 1, dtype=np.uint64)
-    for i in range(k):
-        out = scramble((out ^ h[i : i + len(out)]) * MIX[i % len(MIX)])
-    return np.unique(out + np.uint64(k))
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles: ``size`` words, or all of them where there are fewer."""
+    sets = []
+    for h in word_hashes(texts):
+        k = min(size, len(h))
+        out = np.zeros(len(h) - k + 1 if k else 0, dtype=np.uint64)
+        for i in range(k):
+            out = scramble((out ^ h[i : i + len(out)]) * MIX[i % len(MIX)])
+        sets.append(np.unique(out + np.uint64(k)))
+    return sets
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -138,9 +119,8 @@ def digests(docs: DataFrame, size: int, rows: int, bands: int, id_col: str, text
     import pyarrow as pa
 
     def digest(batches):
-        words = WordHashes()
         for batch in bounded_batches(batches, 128):
-            sets = [shingle_set(t, words, size) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1).to_pylist(), size)
             full = [i for i, s in enumerate(sets) if len(s)]
             prints, sigs, banded = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
@@ -309,7 +289,7 @@ def _links(work: DataFrame, threshold: tuple[int, int], size: int) -> DataFrame:
     work = work.repartition(partitions(work.sparkSession), *group).sortWithinPartitions(*group, "own", "node")
 
     def confirm(batches):
-        words, now, held, tell = WordHashes(CACHE_BYTES // 2), None, {}, False
+        now, held, tell = None, {}, False
 
         def done():
             members = list(held.values())
@@ -323,13 +303,14 @@ def _links(work: DataFrame, threshold: tuple[int, int], size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "mark"])
 
         for batch in bounded_batches(batches, 512):
-            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                key, own, node, mark, sig, text, label, telling = row[:3], *row[3:]
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            columns[7] = shingle_sets(columns[7], size)
+            for row in zip(*columns, strict=True):
+                key, own, node, mark, sig, found, label, telling = row[:3], *row[3:]
                 if key != now:
                     if held:
                         yield done()
                     now, held, tell = key, {}, telling
-                found = shingle_set(text, words, size)
                 # rows of one id with other texts have sets of their own
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == mark:
                     side = 0 if key[1] == key[2] else own

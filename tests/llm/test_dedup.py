@@ -295,3 +295,22 @@ def test_cuckoo_filter():
     small = CuckooFilter(16)
     small.insert(keys[:400])
     assert small.full and small.contains(keys[:400]).all()
+
+
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others don't, and a text's words are its own."""
+    from tarn.llm import words
+
+    rng = random.Random(2)
+    texts = ["", None, " \n\t", "a", "A b\x0bC\x0cd\re", "é É ß", "x" * 3000 + " y", "a" * 40 + " " + "a" * 41] + [" ".join(rng.choice(["the", "then", "he", "THE", "ab", "ba"]) + rng.choice(["", "s", "S", "1"]) for _ in range(rng.randrange(30))) + rng.choice(["", " ", "\n"]) for _ in range(200)]
+    split = [(t or "").encode().lower().split() for t in texts]
+    for piece in (1 << 20, 50):
+        monkeypatch.setattr(words, "PIECE", piece)
+        got = words.word_hashes(texts)
+        assert [len(h) for h in got] == [len(w) for w in split]
+        by_word = {}
+        for h, w in zip(got, split, strict=True):
+            for a, b in zip(h.tolist(), w, strict=True):
+                assert by_word.setdefault(b, a) == a
+        assert len(set(by_word.values())) == len(by_word)
+    assert words.word_hashes([]) == [] and [len(h) for h in words.word_hashes([None])] == [0]
