@@ -89,7 +89,7 @@ def update(table, assignments: dict, predicate=None, *, safe: bool = False, prop
         new = {c: F.when(F.col("__tarn_hit"), v).otherwise(F.col(f"`{c}`")).alias(c) for c, v in value.items()}
         after = marked.select(*[new.get(f.name, F.col(f"`{f.name}`")) for f in meta.schema], "__tarn_hit")
         for c, e in generated(meta.schema).items():
-            if c not in assignments and any(f"{x}" in e for x in assignments):
+            if c not in assignments and references(marked, e) & set(assignments):
                 after = after.withColumn(c, F.when(F.col("__tarn_hit"), F.expr(e).cast(types[c])).otherwise(F.col(f"`{c}`")))
         actions = write_files(table.spark, table.store, checked(after.drop("__tarn_hit"), meta), meta, properties=properties)
         if meta.flag("delta.enableChangeDataFeed"):
@@ -103,11 +103,19 @@ def update(table, assignments: dict, predicate=None, *, safe: bool = False, prop
     return metrics
 
 
+def references(rows: DataFrame, e: str) -> set[str]:
+    """The columns of rows that an expression reads."""
+    made = _seq(rows.select(F.expr(e).alias("e"))._jdf.queryExecution().analyzed().expressions())
+    return {a.name() for x in made for a in _seq(x.references().toSeq())}
+
+
 def _value(e, t: T.DataType, schema, rows: DataFrame, safe: bool) -> Column:
     c = F.expr(e) if isinstance(e, str) else e if isinstance(e, Column) else F.lit(e)
     return cast_to(c, rows.select(c.alias("v")).schema["v"].dataType, t, safe)
 
 
+#: Partition values of a source by which a merge chooses files one by one.
+MOST_VALUES = 1000
 MATCHED, INSERT, BY_SOURCE = "matched", "not_matched", "not_matched_by_source"
 UPDATE, DELETE, ADD, COPY, SKIP = "update", "delete", "insert", "copy", "skip"
 
@@ -181,6 +189,8 @@ def _strip(name: str, alias: str) -> str:
 def merge(m: Merge) -> dict:
     """One join of source and target, one pass of clauses, and a rewrite of the files with changed rows only.
 
+    What the join writes is the rows that change or are new; the other rows of touched files go from file to file.
+
     The source is written to the shared folder first, as it is read several times. Where no clause looks at target rows
     without a source row, files are pruned beforehand by what the source holds of the columns that the predicate
     equates, and a semi join on the predicate's columns alone then leaves the files that hold a match: only they are
@@ -260,10 +270,12 @@ def merge(m: Merge) -> dict:
             old = F.col(f"{tgt}.`{f.name}`")
             outs.append((old if c is None else c.otherwise(old)).alias(f.name))
         actions_of = F.create_map(*[x for i, k in enumerate(m.clauses) for x in (F.lit(i), F.lit(k.action))], F.lit(-1), F.lit(COPY), F.lit(-2), F.lit(SKIP))
-        result = acts.select(F.struct(*outs).alias("new"), F.struct(*[F.col(f"{tgt}.`{n}`").alias(n) for n in names]).alias("old"), F.col(f"{tgt}.{FILE}").alias(FILE), F.col(f"{tgt}.{ROW}").alias(ROW), "__tarn_op", F.coalesce(both, F.lit(False)).alias("__tarn_both"), actions_of[F.col("__tarn_op")].alias("act"))
-        # written once: the checks, the touched files, the rows and the changes all read it
+        cdf = meta.flag("delta.enableChangeDataFeed")
+        old = [F.struct(*[F.col(f"{tgt}.`{n}`").alias(n) for n in names]).alias("old")] if cdf else []
+        result = acts.select(F.struct(*outs).alias("new"), *old, F.col(f"{tgt}.{FILE}").alias(FILE), F.col(f"{tgt}.{ROW}").alias(ROW), "__tarn_op", F.coalesce(both, F.lit(False)).alias("__tarn_both"), actions_of[F.col("__tarn_op")].alias("act"))
+        # only rows that change or are new are written, once: the checks, the touched files, the rows and the feed read them
         kept = scratch(spark, "merge-rows")
-        flat = result.where("act <> 'skip'")
+        flat = result.where(~F.col("act").isin(SKIP, COPY))
         try:
             flat.write.parquet(kept)
         except Exception as e:
@@ -273,35 +285,37 @@ def merge(m: Merge) -> dict:
         rows = spark.read.schema(flat.schema).parquet(kept)
         plain_deletes = [i for i, k in enumerate(m.clauses) if k.kind == MATCHED and k.action == DELETE and not k.predicate]
         is_plain = F.col("__tarn_op").isin(plain_deletes) if plain_deletes else F.lit(False)
-        acting = F.col("act").isin(UPDATE, DELETE)
-        matched = rows.where("__tarn_both").groupBy(FILE, ROW).agg(F.count_if(acting & ~is_plain).alias("a"), F.count_if(is_plain).alias("d"), F.count(F.lit(1)).alias("n"))
-        worst = matched.agg(F.max(F.when((F.col("a") > 1) | (F.col("a") >= 1) & (F.col("d") >= 1), 1).otherwise(0)).alias("bad"), F.max("n").alias("n")).first()
+        matched = rows.where("__tarn_both").groupBy(FILE, ROW).agg(F.count_if(~is_plain).alias("a"), F.count_if(is_plain).alias("d"))
+        worst = matched.agg(F.max(F.when((F.col("a") > 1) | (F.col("a") >= 1) & (F.col("d") >= 1), 1).otherwise(0)).alias("bad"), F.max("d").alias("d")).first()
         if worst["bad"]:
             raise DuplicateMatch("several source rows match and change the same target row")
-        if (worst["n"] or 0) > 1:
-            # one row a target row: the one that acts, else any
-            from pyspark.sql import Window
-
-            best = Window.partitionBy(FILE, ROW).orderBy(F.when(acting, 0).otherwise(1), "__tarn_op")
-            once = rows.where(F.col(FILE).isNotNull()).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
-            rows = once.unionByName(rows.where(F.col(FILE).isNull()))
-        changed = {r[FILE] for r in rows.where(acting).select(FILE).distinct().collect()}
+        if (worst["d"] or 0) > 1:
+            # deletions of one row by several source rows are one
+            rows = rows.where(F.col(FILE).isNotNull()).dropDuplicates([FILE, ROW]).unionByName(rows.where(F.col(FILE).isNull()))
+        counts, changed = {}, set()
+        # a row a file and kind of action
+        for r in rows.groupBy("act", FILE).count().collect():
+            counts[r["act"]] = counts.get(r["act"], 0) + r["count"]
+            if r[FILE] is not None:
+                changed.add(r[FILE])
         touched = [a for a in adds if uri_of(table.store.absolute(relative(a))) in changed]
-        if len(touched) < len(adds):
-            files = spark.createDataFrame([(c,) for c in changed], f"{FILE} string")
-            rows = rows.where(F.col(FILE).isNull()).unionByName(rows.join(files, FILE, "left_semi").select(rows.columns))
-        counts = {r["act"]: r["count"] for r in rows.groupBy("act").count().collect()}
-        out = rows.where(F.col("act") != DELETE).select("new.*", "act")
+        sizes = [table.rows_of(a) for a in touched]
+        total = target_of(touched).count() if None in sizes else sum(sizes)
+        if total > counts.get(UPDATE, 0) + counts.get(DELETE, 0):
+            counts[COPY] = total - counts.get(UPDATE, 0) - counts.get(DELETE, 0)
+        new = rows.where(F.col("act") != DELETE).select("new.*")
         for name, e in gen.items():
-            given = any(name in {_strip(a, tgt) for a in k.assignments} for k in m.clauses)
-            if not given:
-                out = out.withColumn(name, F.when(F.col("act") == COPY, F.col(f"`{name}`")).otherwise(F.expr(e).cast(names[name])))
-        actions = write_files(spark, table.store, checked(out.drop("act"), new_meta), new_meta, properties=m.properties) if set(counts) - {DELETE} and (touched or counts.get(ADD)) else []
-        if meta.flag("delta.enableChangeDataFeed") and set(counts) & {ADD, DELETE, UPDATE}:
+            if not any(name in {_strip(a, tgt) for a in k.assignments} for k in m.clauses):
+                new = new.withColumn(name, F.expr(e).cast(names[name]))
+        if counts.get(COPY):
+            # the other rows of touched files come from the files themselves
+            rest = target_of(touched).join(rows.where(F.col(FILE).isNotNull()).select(FILE, ROW), [FILE, ROW], "left_anti").select(*[F.col(f"`{n}`") for n in names])
+            new = new.unionByName(rest)
+        actions = write_files(spark, table.store, checked(new, new_meta), new_meta, properties=m.properties) if set(counts) - {DELETE} else []
+        if cdf and set(counts) - {COPY}:
             one = lambda kind, col: F.struct(F.lit(kind).alias(CHANGE), F.col(col).alias("r"))
             kinds = F.when(F.col("act") == ADD, F.array(one("insert", "new"))).when(F.col("act") == DELETE, F.array(one("delete", "old"))).otherwise(F.array(one("update_preimage", "old"), one("update_postimage", "new")))
-            feed = rows.where(F.col("act") != COPY).select(F.explode(kinds).alias("x")).select("x.r.*", f"x.{CHANGE}")
-            actions += write_files(spark, table.store, feed, new_meta, cdc=True)
+            actions += write_files(spark, table.store, rows.select(F.explode(kinds).alias("x")).select("x.r.*", f"x.{CHANGE}"), new_meta, cdc=True)
     metrics |= {
         "num_target_rows_inserted": counts.get(ADD, 0), "num_target_rows_updated": counts.get(UPDATE, 0), "num_target_rows_deleted": counts.get(DELETE, 0), "num_target_rows_copied": counts.get(COPY, 0),
         "num_output_rows": sum(counts.values()) - counts.get(DELETE, 0), "num_target_files_scanned": len(scanned), "num_target_files_skipped_during_scan": len(snapshot.files) - len(scanned),
@@ -377,6 +391,11 @@ def early_filter(m: Merge, source: DataFrame, adds: list[dict], src: str, tgt: s
             c = F.col(f"`{a}`")
             between = Predicate(spark, schema, (c >= F.lit(lo).cast(types[a])) & (c <= F.lit(hi).cast(types[a])))
             out = prune(spark, table.snapshot, out, between)
+            if a in table.snapshot.metadata.partition_columns:
+                # a partition's values are few, or there are too many to name
+                values = [r[0] for r in source.select(F.col(f"`{ranges[i][1]}`").cast(types[a]).alias("v")).where("v IS NOT NULL").distinct().limit(MOST_VALUES + 1).collect()]
+                if len(values) <= MOST_VALUES:
+                    out = prune(spark, table.snapshot, out, Predicate(spark, schema, c.isin(values)))
     return out
 
 
