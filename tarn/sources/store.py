@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -13,6 +15,13 @@ from pyspark.sql import SparkSession
 LOG = "_delta_log"
 
 
+#: Schemes of stores whose create and rename two writers can both win.
+NOT_ATOMIC = ("s3", "s3a", "s3n", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cosn")
+#: A setting that says that there is one writer only, so that such a store will do.
+ONE_WRITER = "tarn.commits.oneWriter"
+THREADS = 16
+
+
 class CommitExists(Exception):
     """Another writer has this version."""
 
@@ -90,7 +99,14 @@ class Store:
             stream.close()
 
     def create(self, path: str, data: bytes) -> None:
-        """Write a file that must not exist, whole or not at all; raise CommitExists if it does."""
+        """Write a file that must not exist, whole or not at all; raise CommitExists if it does.
+
+        Local files are linked, and elsewhere renamed, which HDFS refuses where the target is there. Object stores don't,
+        so that they are refused, unless the session's setting ONE_WRITER is true.
+        """
+        scheme = self.root.split("://")[0] if "://" in self.root else ""
+        if scheme in NOT_ATOMIC and self.spark.conf.get(ONE_WRITER, "false") != "true":
+            raise OSError(f"commits to {scheme} aren't safe between writers; set {ONE_WRITER} to true if there is one only")
         if self.local:
             target = self.absolute(path)
             os.makedirs(os.path.dirname(target), exist_ok=True)
@@ -123,6 +139,18 @@ class Store:
                 return False
         return self.fs.delete(self._path(path), False)
 
+    def existing(self, paths: Iterable[str]) -> Iterable[str]:
+        """Those of the paths that are there, in order."""
+        paths = list(paths)
+        with ThreadPoolExecutor(THREADS) as pool:
+            return [p for p, there in zip(paths, pool.map(self.exists, paths), strict=True) if there]
+
+    def delete_all(self, paths: Iterable[str]) -> None:
+        """Delete files, several at a time."""
+        with ThreadPoolExecutor(THREADS) as pool:
+            for _ in pool.map(self.delete, paths):
+                pass
+
     def list(self, path: str = "", recursive: bool = False) -> list[FileInfo]:
         """Files under a folder; none if it isn't there."""
         top = self.absolute(path) if path else (self.local or self.root)
