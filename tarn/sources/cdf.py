@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .deletion_vectors import deleted_rows
+from .deletion_vectors import deleted_frame
 from .scan import FILE, ROW, scan
 from .snapshot import Metadata, Snapshot, TableError, relative
 from .store import uri_of
@@ -75,14 +75,19 @@ def load_cdf(table, starting_version=None, ending_version=None, starting_timesta
             rows = rows.withColumn(CHANGE, F.lit(kind))
         where = spark.createDataFrame([(uri_of(table.store.absolute(relative(a))), v, times[v]) for v, a in files], f"{FILE} string, {VERSION} long, __t long")
         frames.append(rows.join(where, FILE))
-    for v, old, new in pairs:
-        was = set(deleted_rows(table.store, old["deletionVector"]).tolist()) if old.get("deletionVector") else set()
-        now = set(deleted_rows(table.store, new["deletionVector"]).tolist()) if new.get("deletionVector") else set()
-        for kind, numbers in (("delete", now - was), ("insert", was - now)):
-            if numbers:
-                rows = scan(spark, table.store, Snapshot(version=0, metadata=meta), [new], identity=True, without_vectors=True)
-                picked = spark.createDataFrame([(int(n),) for n in numbers], f"{ROW} long")
-                frames.append(rows.join(picked, ROW, "left_semi").withColumn(CHANGE, F.lit(kind)).withColumn(VERSION, F.lit(v).cast("long")).withColumn("__t", F.lit(times[v]).cast("long")))
+    if pairs:
+        # rows that one vector of a file has and the other hasn't, for all pairs at once: (version and file, row)
+        uri = lambda a: uri_of(table.store.absolute(relative(a)))
+        sides = []
+        for side in (1, 2):
+            vectors = [(f"{p[0]} {uri(p[2])}", p[side]["deletionVector"]) for p in pairs if p[side].get("deletionVector")]
+            sides.append(deleted_frame(table.spark, table.store, vectors, "__k", ROW) if vectors else table.spark.createDataFrame([], f"__k string, {ROW} long"))
+        was, now = sides
+        picked = now.join(was, ["__k", ROW], "left_anti").withColumn(CHANGE, F.lit("delete")).unionByName(was.join(now, ["__k", ROW], "left_anti").withColumn(CHANGE, F.lit("insert")))
+        picked = picked.select(ROW, CHANGE, F.expr("substring(__k, instr(__k, ' ') + 1)").alias(FILE), F.substring_index("__k", " ", 1).cast("long").alias(VERSION))
+        rows = scan(table.spark, table.store, Snapshot(version=0, metadata=meta), list({p[2]["path"]: p[2] for p in pairs}.values()), identity=True, without_vectors=True)
+        when = table.spark.createDataFrame(sorted({(p[0], times[p[0]]) for p in pairs}), f"{VERSION} long, __t long")
+        frames.append(rows.join(picked, [FILE, ROW]).join(when, VERSION))
     return _shaped(table, frames, columns, predicate)
 
 

@@ -20,7 +20,7 @@ from .operators.checkpoint import cleanup_log, compact_logs, create_checkpoint
 from .operators.commit import CommitProperties, Hooks, PostCommit, Reads, commit, remove_of
 from .operators.writer import CHANGE, check_schema_allowed, checked, conform, predicate_of, protocol_for, session, write_files
 from .sources.cdf import load_cdf
-from .sources.deletion_vectors import deleted_rows
+from .sources.deletion_vectors import deleted_frame
 from .sources.scan import FILE, ROW, exact_partitions, prune, scan
 from .sources.snapshot import Log, Metadata, Protocol, Snapshot, TableError, TableNotFound, physical_name, relative, stats_of
 from .sources.store import LOG, Store, uri_of
@@ -193,16 +193,19 @@ class Table:
         return self.to_df().count() if None in counts else sum(counts)
 
     def deletion_vectors(self) -> DataFrame:
-        """(filepath, selection_vector), true where a row is kept."""
-        rows = []
-        for a in sorted(self.snapshot.adds, key=lambda x: x["path"]):
-            if dv := a.get("deletionVector"):
-                gone = deleted_rows(self.store, dv)
-                keep = [True] * max(stats_of(a).get("numRecords") or 0, int(gone.max(initial=-1)) + 1)
-                for i in gone:
-                    keep[int(i)] = False
-                rows.append((self.store.absolute(relative(a)), keep))
-        return self.spark.createDataFrame(rows, "filepath string, selection_vector array<boolean>")
+        """(filepath, selection_vector), true where a row is kept; executors decode the vectors, a file's list is one row."""
+        with_vector = [(self.store.absolute(relative(a)), a["deletionVector"], stats_of(a).get("numRecords")) for a in self.snapshot.adds if a.get("deletionVector")]
+        if not with_vector:
+            return self.spark.createDataFrame([], "filepath string, selection_vector array<boolean>")
+        gone = deleted_frame(self.spark, self.store, [(p, dv) for p, dv, _ in with_vector], "filepath", "__row")
+        # where the log doesn't say how many rows a file has, up to the last that is taken out
+        last = gone.groupBy("filepath").agg(F.max("__row").alias("__last"))
+        files = self.spark.createDataFrame([(p, n) for p, _, n in with_vector], "filepath string, __n long").join(last, "filepath", "left")
+        n = F.greatest(F.coalesce("__n", F.lit(0)), F.coalesce(F.col("__last") + 1, F.lit(0)))
+        every = files.select("filepath", F.explode_outer(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1))).alias("__row"))
+        marked = every.join(gone.withColumn("__gone", F.lit(True)), ["filepath", "__row"], "left")
+        lists = marked.groupBy("filepath").agg(F.sort_array(F.collect_list(F.when(F.col("__row").isNotNull(), F.struct("__row", F.col("__gone").isNull().alias("keep"))))).alias("l"))
+        return lists.select("filepath", F.col("l.keep").alias("selection_vector"))
 
     def get_add_actions(self, flatten: bool = False) -> DataFrame:
         """One row a file: path, size_bytes, modification_time, num_records, and nulls, least and greatest values and partition values by column."""
