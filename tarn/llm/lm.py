@@ -12,7 +12,7 @@ Every token but the end begins an n-gram of up to three. A block of documents se
 how often training documents of the block have it, to the bucket of the n-gram's first word; all orders that begin so, and
 all counts that their alpha and gamma need, are there. A bucket adds up, writes its trie to a file, and answers every block
 from the mapped file, by successor search relative to the word and then to the pair: its word's exact count, and codes of
-alpha and gamma. The block, which kept where its n-grams stand, puts the orders together, token by token.
+alpha and gamma. The block, which kept where its n-grams stand (by their place in the buckets' order), puts the orders together, token by token.
 
 A first word that is hot, with more than a share of all tokens, would make a hot bucket: its n-grams go by first and second
 word, and if these are a hot pair too, by all three. What such buckets can't know, the counts of hot words and pairs and
@@ -45,9 +45,10 @@ DISCOUNT = 0.75
 #: Tokens that a task turns into a block at a time, and n-grams that a bucket has, about.
 BLOCK_TOKENS, BUCKET_NGRAMS = 1 << 20, 1 << 20
 #: A word or pair is hot with more than one in so many of all tokens, and of a bucket's n-grams; fewer than twice as many are hot.
-HOT_SHARE, HOT_IN_BUCKET = 1 << 16, 8
-#: Bits of keys after the first word: of the second word's hash, and of the third's.
-SECOND, THIRD = 32, 24
+HOT_SHARE, HOT_IN_BUCKET = 1 << 16, 4
+#: Bits of keys after the first word: of the second word's hash, and of the third's. A word that isn't hot has at most
+#: some 2**17 followers, of which few share a key then; where hot means more, the second's bits are more.
+SECOND, THIRD = 24, 20
 #: Rows between the stages: (bucket, block, kind, id, n, data).
 TRIE, SENT, ANSWER, OWN, NUMBER = 0, 1, 2, 3, 4
 ROWS = "bucket long, block long, kind byte, id long, n long, data binary"
@@ -113,6 +114,7 @@ class Routes:
     pairs: np.ndarray
     word_of: np.ndarray
     buckets: int
+    second: int = SECOND
 
     def of(self, one: np.ndarray, two: np.ndarray, three: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
         """(bucket, root in it, keys after the root, hot): hot is 0, or 1 + the hot word's number, or that of the hot pair beyond those."""
@@ -125,7 +127,7 @@ class Routes:
         route[hot] = pair_hash
         both = pair >= 0
         route[both] = chained(route[both], np.where(there[both], three[both], U64(0)))
-        second = np.where(word >= 0, 0, scramble(two.copy()) >> U64(64 - SECOND)).astype(U64)
+        second = np.where(word >= 0, U64(0), scramble(two.copy()) >> U64(64 - self.second)).astype(U64)
         # a key is 0 only where the root has it, or the n-gram is shorter
         second[word < 0] = np.maximum(second[word < 0], U64(1))
         second[word >= 0] = 1
@@ -215,7 +217,7 @@ def deal(texts: DataFrame, routes, learn: bool, id_col: str) -> DataFrame:
             with pa.ipc.new_stream(sink, own.schema) as stream:
                 stream.write_batch(own)
             table = sink.getvalue().to_pybytes()
-            blocks.append(((task + start) % to.buckets, OWN, None, None, len(table).to_bytes(8, "little") + table + packed(record, hot)))
+            blocks.append(((task + start) % to.buckets, OWN, None, None, len(table).to_bytes(8, "little") + table + packed(record)))
             if learn:
                 w, p = len(to.words), len(to.pairs)
                 word = np.where(hot == 0, -1, np.where(hot <= w, hot.astype(np.int64) - 1, 0))
@@ -278,7 +280,7 @@ def answer(dealt: DataFrame, routes, learn: bool, keep: bool) -> DataFrame:
 
         def answered(block: int, record: tuple[np.ndarray, ...]) -> tuple:
             count, alphas, gammas = trie.find(record[0], split(record[1]))
-            return now, block, ANSWER, None, None, packed(count.astype(U64), *alphas, *gammas)
+            return now, block, ANSWER, None, None, packed(count.astype(U64), record[3], *alphas, *gammas)
 
         def learnt() -> Iterator[pa.RecordBatch]:
             """The bucket's trie, its numbers and all its answers."""
@@ -316,7 +318,9 @@ def answer(dealt: DataFrame, routes, learn: bool, keep: bool) -> DataFrame:
             yield from learnt()
 
     spark = dealt.sparkSession
-    dealt = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind")
+    # as many buckets to each task
+    n = partitions(spark)
+    dealt = dealt.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket", "kind")
     return dealt.mapInArrow(rows, ROWS)
 
 
@@ -354,9 +358,9 @@ def share(over: np.ndarray, under: np.ndarray, nothing: float) -> np.ndarray:
     return np.where(under > 0, np.maximum(over, 0) / np.maximum(under, 1), nothing)
 
 
-def put_together(record: np.ndarray, hot: np.ndarray, sizes: np.ndarray, answers: list[np.ndarray], to: Routes, all_: Counts) -> tuple[np.ndarray, ...]:
+def put_together(record: np.ndarray, sizes: np.ndarray, answers: list[np.ndarray], to: Routes, all_: Counts) -> tuple[np.ndarray, ...]:
     """(n_known, base, score) of a block's documents, from where its n-grams stand and the answers about them."""
-    count, alpha2, alpha3, gamma1, gamma2 = (a[record] for a in answers)
+    count, hot, alpha2, alpha3, gamma1, gamma2 = (a[record] for a in answers)
     count, hot = count.astype(np.int64), hot.astype(np.int64)
     a2, a3 = BOOK[alpha2], BOOK[alpha3]
     # what a trie doesn't have leaves all to the shorter context
@@ -401,10 +405,10 @@ def gathered(answers: DataFrame, routes, counts: Counts, id_col: str, id_type: s
         def out() -> Iterator[pa.RecordBatch]:
             size = int.from_bytes(own[:8], "little")
             docs = pa.ipc.open_stream(own[8 : 8 + size]).read_all().combine_chunks()
-            record, hot = unpacked(own[8 + size :], np.uint32, np.uint32)
-            columns = zip(*(unpacked(data, U64, *[np.uint8] * 4) for _, data in sorted(parts)), strict=True)
+            (record,) = unpacked(own[8 + size :], np.uint32)
+            columns = zip(*(unpacked(data, U64, np.uint32, *[np.uint8] * 4) for _, data in sorted(parts)), strict=True)
             sizes = docs["size"].to_numpy()
-            seen, base, score = put_together(record, hot, sizes, [np.concatenate(c) for c in columns], routes.value, known.value)
+            seen, base, score = put_together(record, sizes, [np.concatenate(c) for c in columns], routes.value, known.value)
             out = pa.Table.from_arrays([docs["id"], docs["held"], pa.array(sizes), pa.array(seen), pa.array(base), pa.array(score)], names=[id_col, "held_out", "n_tokens", "n_known", "base_score", "score"])
             return out.to_batches(4096)
 
@@ -459,7 +463,8 @@ def _learnt(docs: DataFrame, folds: int, held_out: int, id_col: str, text_col: s
     texts = _texts(docs, folds, held_out, id_col, text_col)
     numbers, *hot = survey(texts)
     # several buckets a task, so that tasks are alike
-    to = Routes(*hot, max(3 * partitions(spark), -(-numbers[ALL] // BUCKET_NGRAMS)))
+    more = max(0, (numbers[ALL] // HOT_SHARE // (BUCKET_NGRAMS // HOT_IN_BUCKET)).bit_length()) if BUCKET_NGRAMS >= HOT_IN_BUCKET else 0
+    to = Routes(*hot, max(3 * partitions(spark), -(-numbers[ALL] // BUCKET_NGRAMS)), min(32, SECOND + more))
     routes = spark.sparkContext.broadcast(to)
     sent = deal(texts.where("NOT held") if only_train else texts, routes, True, id_col)
     answers = answer(sent, routes, True, keep)

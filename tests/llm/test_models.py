@@ -251,7 +251,7 @@ def in_fold(i):
     return i is not None and zlib.crc32(str(i).encode()) % 10 == 0
 
 
-@pytest.mark.parametrize(("share", "bucket", "block"), [(1 << 16, 1 << 20, 1 << 20), (1 << 16, 400, 500), (40, 8, 2000)])
+@pytest.mark.parametrize(("share", "bucket", "block"), [(1 << 16, 1 << 20, 1 << 20), (1 << 16, 200, 500), (40, 4, 2000)])
 def test_language_model(spark, share, bucket, block, monkeypatch):
     """The scores are those of brute force whether no word is hot, or many words and pairs are, in one block or in many."""
     from tarn.llm import lm
@@ -283,7 +283,7 @@ def test_language_model(spark, share, bucket, block, monkeypatch):
     assert len(alone) == 3 and all(r.train_tokens == 0 and r.n_known == 0 and abs(r.base_score) < 1e-9 and abs(r.score) < 1e-9 for r in alone)
 
 
-@pytest.mark.parametrize(("share", "bucket"), [(1 << 16, 1 << 20), (1 << 16, 400)])
+@pytest.mark.parametrize(("share", "bucket"), [(1 << 16, 1 << 20), (1 << 16, 200)])
 def test_language_model_is_kept(spark, share, bucket, monkeypatch):
     """Tries that were written once score any documents, as the pass that learns does, and others as brute force does."""
     from tarn.llm import lm
