@@ -93,6 +93,11 @@ class CuckooFilter:
                     self.table[b, at[0]] = 0
                     break
 
+    @property
+    def room(self) -> int:
+        """Keys that find a place without long moves."""
+        return int(self.table.size * 0.85)
+
     @property
     def full(self) -> bool:
         """Time to build a larger one from the exact table."""

@@ -103,14 +103,18 @@ class LineIndex:
 
     def _with(self, keys: DataFrame, insert: bool, **new) -> LineIndex:
         """A new generation, with keys inserted into the filters or deleted from them."""
+        room = SHARD_KEYS
 
         def change(key, left, right):
-            f = CuckooFilter.from_bytes(right["filter"][0]) if len(right) else CuckooFilter(len(left))
+            # room for as many keys as shards have before there are more of them
+            f = CuckooFilter.from_bytes(right["filter"][0]) if len(right) else CuckooFilter(max(2 * room, len(left)))
             n = int(right["n"][0]) if len(right) else 0
+            fits = not insert or n + len(left) <= f.room
             if len(left):
-                (f.insert if insert else f.delete)(_low(left["key"]))
+                if fits:
+                    (f.insert if insert else f.delete)(_low(left["key"]))
                 n += len(left) if insert else -len(left)
-            return right.__class__({"shard": [key[0]], "filter": [f.to_bytes()], "n": [n], "full": [f.full]})
+            return right.__class__({"shard": [key[0]], "filter": [f.to_bytes()], "n": [n], "full": [f.full or not fits]})
 
         touched = self._of(keys).select("shard", "key")
         if self.filters.isEmpty():
@@ -125,7 +129,7 @@ class LineIndex:
         index = replace(self, gen=self.gen + 1, since=self.since + 1, **new)
 
         def build(key, pdf):
-            f = CuckooFilter(2 * len(pdf))
+            f = CuckooFilter(2 * max(room, len(pdf)))
             f.insert(_low(pdf["key"]))
             return pdf.__class__({"shard": [key[0]], "filter": [f.to_bytes()], "n": [len(pdf)]})
 
