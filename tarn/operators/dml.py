@@ -114,6 +114,8 @@ def _value(e, t: T.DataType, schema, rows: DataFrame, safe: bool) -> Column:
     return cast_to(c, rows.select(c.alias("v")).schema["v"].dataType, t, safe)
 
 
+#: Bytes of files that a merge reads whole without asking first which of them hold a match.
+READ_AT_ONCE = 128 << 20
 #: Partition values of a source by which a merge chooses files one by one.
 MOST_VALUES = 1000
 MATCHED, INSERT, BY_SOURCE = "matched", "not_matched", "not_matched_by_source"
@@ -193,8 +195,8 @@ def merge(m: Merge) -> dict:
 
     The source is written to the shared folder first, as it is read several times. Where no clause looks at target rows
     without a source row, files are pruned beforehand by what the source holds of the columns that the predicate
-    equates, and a semi join on the predicate's columns alone then leaves the files that hold a match: only they are
-    read whole. A target row that several source rows would change is an error, but for several unconditional deletes.
+    equates, and, if these are large, a semi join on the predicate's columns alone then leaves the files that hold a
+    match: only they are read whole. A target row that several source rows would change is an error, but for several unconditional deletes.
     """
     from ..sources.workspace import scratch
 
@@ -231,7 +233,7 @@ def merge(m: Merge) -> dict:
             return rows.withColumn("__tarn_t", F.lit(True)).alias(tgt)
 
         adds = scanned = snapshot.adds if by_source else early_filter(m, source, snapshot.adds, src, tgt)
-        if len(adds) > 1 and not by_source and not only_inserts:
+        if len(adds) > 1 and not by_source and not only_inserts and sum(a.get("size") or 0 for a in adds) > READ_AT_ONCE:
             # one row a file
             matched_files = {r[FILE] for r in target_of(adds).join(source.alias(src), F.expr(m.predicate), "left_semi").select(FILE).distinct().collect()}
             adds = [a for a in adds if uri_of(table.store.absolute(relative(a))) in matched_files]

@@ -21,6 +21,22 @@ CDC_FOLDER = "_change_data"
 CHANGE = "_change_type"
 
 
+@dataclass(frozen=True)
+class ColumnProperties:
+    """Settings of one column: dictionary and statistics on or off, and a bloom filter with its false positives and distinct values."""
+
+    dictionary: bool | None = None
+    statistics: bool | None = None
+    bloom_filter: bool | None = None
+    bloom_filter_fpp: float | None = None
+    bloom_filter_ndv: int | None = None
+
+    def options(self, column: str | None = None) -> dict:
+        at = f"#{column}" if column else ""
+        out = {"parquet.enable.dictionary": self.dictionary, "parquet.column.statistics.enabled": self.statistics, "parquet.bloom.filter.enabled": self.bloom_filter, "parquet.bloom.filter.fpp": self.bloom_filter_fpp, "parquet.bloom.filter.expected.ndv": self.bloom_filter_ndv}
+        return {k + at: str(v).lower() for k, v in out.items() if v is not None}
+
+
 @dataclass(frozen=True)
 class WriterProperties:
     compression: str | None = None
@@ -29,6 +45,10 @@ class WriterProperties:
     data_page_size_limit: int | None = None
     dictionary_page_size_limit: int | None = None
     bloom_filter_columns: tuple[str, ...] = ()
+    statistics_truncate_length: int | None = None
+    column_index_truncate_length: int | None = None
+    default_column: ColumnProperties | None = None
+    columns: dict[str, ColumnProperties] | None = None
 
     def options(self) -> dict:
         out: dict = {}
@@ -44,6 +64,14 @@ class WriterProperties:
             out["parquet.dictionary.page.size"] = self.dictionary_page_size_limit
         for c in self.bloom_filter_columns:
             out[f"parquet.bloom.filter.enabled#{c}"] = "true"
+        if self.statistics_truncate_length:
+            out["parquet.statistics.truncate.length"] = self.statistics_truncate_length
+        if self.column_index_truncate_length:
+            out["parquet.columnindex.truncate.length"] = self.column_index_truncate_length
+        if self.default_column:
+            out |= self.default_column.options()
+        for c, p in (self.columns or {}).items():
+            out |= p.options(c)
         return out
 
 

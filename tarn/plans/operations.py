@@ -436,6 +436,72 @@ def table_exists(spark, sf):
     return facts(spark, before=before, after=Table.exists(spark, path))
 
 
+@query("SELECT count(*) AS n, true AS more, 'STREAMING UPDATE' AS operation FROM events")
+def stream_commits(spark, sf):
+    """What the log says of a stream's batches, whose files have about the size that the table asks for."""
+    e = raw(spark, sf, "events")
+    path = scratch(spark, "table")
+    write = append_batches(spark, path, "label", configuration={"delta.targetFileSize": "20000"})
+    for k in (0, 1):
+        write(e.where(f"event_id % 2 = {k}").coalesce(1), k)
+    t = Table(spark, path)
+    return facts(spark, n=t.count(), more=len(t.file_uris()) > 4, operation=t.history(1)[0]["operation"])
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 500")
+def arrow_dataset(spark, sf):
+    """A dataset whose fragments are chosen by partition values and ranges."""
+    import pyarrow.dataset as ds
+
+    t = made(spark, orders(spark, sf).select("o_orderkey", "o_orderstatus").repartitionByRange(4, "o_orderkey"), partition_by="o_orderstatus")
+    d = t.to_pyarrow_dataset()
+    wanted = (ds.field("o_orderstatus") == "F") & (ds.field("o_orderkey") < 500)
+    assert 0 < len(list(d.get_fragments(wanted))) < len(list(d.get_fragments()))
+    return spark.createDataFrame(d.to_table(filter=wanted).cast(d.schema))
+
+
+@query("SELECT * FROM nation WHERE n_regionkey <> 2")
+def missing_files(spark, sf):
+    """Files that are gone are an error, or left out where the caller says so."""
+    t = made(spark, raw(spark, sf, "nation"), partition_by="n_regionkey")
+    for f in t.file_uris([("n_regionkey", "=", "2")]):
+        t.store.delete(f)
+    assert refused(Exception, lambda: t.to_df().count() and t.to_df().collect())
+    return t.to_df(missing_files="ignore")
+
+
+@query("SELECT count(*) AS n FROM customer")
+def sql_count(spark, sf):
+    """COUNT(*) from the log: no file is read."""
+    t = made(spark, raw(spark, sf, "customer"))
+    q = QueryBuilder(spark).register("tarn_counted", t)
+    for f in t.file_uris():
+        t.store.delete(f)
+    return q.execute("SELECT count(*) AS n FROM tarn_counted")
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS s FROM part WHERE p_type SIMILAR TO '(STAND.*|SMALL)'")
+def sql_dialect(spark, sf):
+    """SIMILAR TO and arrow_cast."""
+    q = QueryBuilder(spark).register("tarn_parts", made(spark, raw(spark, sf, "part")))
+    return q.execute("SELECT p_partkey, arrow_cast(p_size + (1 - 1), 'Float64') AS s FROM tarn_parts WHERE p_type SIMILAR TO '(STAND.*|SMALL)'")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority, true AS dictionary FROM orders")
+def column_properties(spark, sf):
+    """Settings of single columns: one without dictionary, the other with."""
+    import pyarrow.parquet as pq
+
+    from ..operators.writer import ColumnProperties
+
+    o = orders(spark, sf).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    columns = {"o_orderstatus": ColumnProperties(dictionary=False), "o_orderpriority": ColumnProperties(dictionary=True), "o_orderkey": ColumnProperties(bloom_filter=True, bloom_filter_fpp=0.01, bloom_filter_ndv=10_000)}
+    t = made(spark, o.coalesce(1), properties=WriterProperties(columns=columns, column_index_truncate_length=32))
+    group = pq.ParquetFile(t.file_uris()[0].removeprefix("file://").removeprefix("file:")).metadata.row_group(0)
+    by = {group.column(i).path_in_schema: set(group.column(i).encodings) for i in range(group.num_columns)}
+    return t.to_df().withColumn("dictionary", F.lit(any("DICTIONARY" in e for e in by["o_orderpriority"]) and not any("DICTIONARY" in e for e in by["o_orderstatus"])))
+
+
 # -- streams ---------------------------------------------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ def append_batches(spark: SparkSession, path: str, app_id: str, **how) -> Callab
             last = Table(spark, path).transaction_version(app_id)
             if last is not None and last >= number:
                 return
-        write_table(spark, path, batch, mode="append", commit_properties=CommitProperties(app_transactions=((app_id, number),)), **how)
+        write_table(spark, path, batch, mode="append", commit_properties=CommitProperties(app_transactions=((app_id, number),)), **{"operation": "STREAMING UPDATE", "parameters": {"outputMode": "Append", "queryId": app_id, "epochId": str(number)}, **how})
 
     return write
 

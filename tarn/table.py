@@ -31,7 +31,10 @@ __all__ = ["CommitProperties", "Hooks", "PostCommit", "QueryBuilder", "Table", "
 class Table:
     """A table at a version. Operations commit and move the handle to the version they made."""
 
-    def __init__(self, spark: SparkSession, path: str, version: int | str | datetime | None = None, load: bool = True):
+    def __init__(self, spark: SparkSession, path: str, version: int | str | datetime | None = None, load: bool = True, storage_options: dict[str, str] | None = None):
+        """``storage_options`` are settings of Hadoop's file systems; they hold for the whole session."""
+        for k, v in (storage_options or {}).items():
+            spark.sparkContext._jsc.hadoopConfiguration().set(k, str(v))
         self.spark, self.path = spark, path
         self.log = Log(spark, path)
         self.store: Store = self.log.store
@@ -128,8 +131,11 @@ class Table:
 
     # -- reads ---------------------------------------------------------------------------------------------------
 
-    def to_df(self, filters=None, columns=None, predicate: str | Column | None = None, file_column: str | None = None, row_column: str | None = None, paths=None) -> DataFrame:
-        """The rows; ``filters`` (tuples) and ``predicate`` (SQL) skip files and filter. ``paths`` reads those files only."""
+    def to_df(self, filters=None, columns=None, predicate: str | Column | None = None, file_column: str | None = None, row_column: str | None = None, paths=None, missing_files: str = "error") -> DataFrame:
+        """The rows; ``filters`` (tuples) and ``predicate`` (SQL) skip files and filter. ``paths`` reads those files only.
+
+        Files that aren't in the store any more are an error, or left out with ``missing_files="ignore"``.
+        """
         with session(self.spark):
             schema = self.snapshot.metadata.schema
             adds = self.snapshot.adds
@@ -147,6 +153,9 @@ class Table:
             if predicate is not None:
                 q = Predicate(self.spark, schema, predicate)
                 adds = prune(self.spark, self.snapshot, adds, q)
+            if missing_files == "ignore":
+                there = set(self.store.existing(relative(a) for a in adds))
+                adds = [a for a in adds if relative(a) in there]
             identity = bool(file_column or row_column)
             df = scan(self.spark, self.store, self.snapshot, adds, identity=identity)
             for x in (p, q):
@@ -162,6 +171,34 @@ class Table:
     def to_pandas(self, filters=None, columns=None) -> pd.DataFrame:
         return self.to_df(filters, columns).toPandas()
 
+    def to_pyarrow_dataset(self, filters=None):
+        """A pyarrow dataset of the table's files, each a fragment that knows its partition values and the ranges of its statistics."""
+        import pyarrow as pa
+        import pyarrow.dataset as ds
+        import pyarrow.fs
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        if any(a.get("deletionVector") for a in self.snapshot.adds) or self.snapshot.metadata.configuration.get("delta.columnMapping.mode", "none") != "none":
+            raise TableError("a dataset of plain files can't show deletion vectors or mapped columns")
+        if not self.store.local:
+            raise TableError("datasets are of local files")
+        meta, fields = self.snapshot.metadata, {f.name: f.dataType for f in self.schema()}
+        schema = pa.schema([pa.field(f.name, pa.timestamp("us", "UTC" if f.type.tz else None) if pa.types.is_timestamp(f.type) else f.type, f.nullable) for f in to_arrow_schema(meta.schema)])
+        form, fragments = ds.ParquetFileFormat(), []
+        for a in self._filtered(filters):
+            says, stats = ds.scalar(True), stats_of(a)
+            for c in meta.partition_columns:
+                v = from_partition((a.get("partitionValues") or {}).get(c), fields[c])
+                says &= ds.field(c).is_null() if v is None else ds.field(c) == pa.scalar(v, schema.field(c).type)
+            for c, t in fields.items():
+                lo, hi = ((stats.get(k) or {}).get(c) for k in ("minValues", "maxValues"))
+                # numbers and dates alone: strings may be cut
+                if isinstance(t, (T.IntegralType, T.DateType)) and lo is not None and hi is not None and not (stats.get("nullCount") or {}).get(c, 1):
+                    lo, hi = (pa.scalar(from_partition(str(x), t), schema.field(c).type) for x in (lo, hi))
+                    says &= (ds.field(c) >= lo) & (ds.field(c) <= hi)
+            fragments.append(form.make_fragment(self.store.absolute(relative(a)), pa.fs.LocalFileSystem(), says))
+        return ds.FileSystemDataset(fragments, schema, form, pa.fs.LocalFileSystem()) if fragments else ds.dataset(schema.empty_table())
+
     def load_cdf(self, *args, **how) -> DataFrame:
         return load_cdf(self, *args, **how)
 
@@ -294,10 +331,12 @@ def frame_of(spark: SparkSession, data) -> DataFrame:
     return spark.createDataFrame(data)
 
 
-def write_table(spark: SparkSession, table_or_path, data, *, mode: str = "error", partition_by=None, schema_mode: str | None = None, predicate: str | None = None, name=None, description=None, configuration=None, safe_cast: bool = False, target_rows: int | None = None, properties=None, commit_properties=None, post=None) -> Table | None:
+def write_table(spark: SparkSession, table_or_path, data, *, mode: str = "error", partition_by=None, schema_mode: str | None = None, predicate: str | None = None, name=None, description=None, configuration=None, safe_cast: bool = False, target_rows: int | None = None, target_file_size: int | None = None, operation: str = "WRITE", parameters: dict | None = None, properties=None, commit_properties=None, post=None) -> Table | None:
     """Append to, overwrite (wholly, or where the predicate is true), or create a table.
 
     Schema modes: none (columns must fit), merge (new columns are added) and overwrite (with mode overwrite only).
+    Files hold ``target_rows`` rows at most, or by their estimated width about ``target_file_size`` bytes (or the table's
+    delta.targetFileSize). ``operation`` and ``parameters`` are what the log says of the commit.
     """
     table = table_or_path if isinstance(table_or_path, Table) else Table(spark, table_or_path, load=False)
     df = frame_of(spark, data)
@@ -310,14 +349,17 @@ def write_table(spark: SparkSession, table_or_path, data, *, mode: str = "error"
         raise TableError(f"{table.path} is a table")
     if there and mode == "ignore":
         return table.refresh()
+    if there and table.snapshot is None:
+        table.refresh()
+    known = table.snapshot.metadata.configuration if there else {k: str(v) for k, v in (configuration or {}).items()}
+    if target_rows is None and (size := target_file_size or known.get("delta.targetFileSize")):
+        target_rows = max(1, int(size) // max(1, _row_width(table if there else None, df)))
     with session(spark):
         if not there:
             fields = [T.StructField(f.name, f.dataType, True, f.metadata) for f in df.schema]
             meta = Table._new_metadata(T.StructType(fields), partition_by, name, description, configuration)
             adds = write_files(spark, table.store, checked(conform(df, meta.schema), meta), meta, properties=properties, target_rows=target_rows)
-            return table.commit([protocol_for(meta).action(), meta.action(), *adds], "WRITE", {"mode": "ErrorIfExists" if mode == "error" else mode.title(), "partitionBy": list(meta.partition_columns)}, props=commit_properties, post=post, new=True, blind=True)
-        if table.snapshot is None:
-            table.refresh()
+            return table.commit([protocol_for(meta).action(), meta.action(), *adds], operation, {**(parameters or {}), "mode": "ErrorIfExists" if mode == "error" else mode.title(), "partitionBy": list(meta.partition_columns)}, props=commit_properties, post=post, new=True, blind=True)
         now = table.snapshot.metadata
         parts = tuple([partition_by] if isinstance(partition_by, str) else partition_by or ())
         schema, new_parts = now.schema, now.partition_columns
@@ -338,12 +380,12 @@ def write_table(spark: SparkSession, table_or_path, data, *, mode: str = "error"
             head = ([wanted.action()] if wanted != table.snapshot.protocol else []) + [meta.action()]
         if mode == "append":
             adds = write_files(spark, table.store, rows, meta, properties=properties, target_rows=target_rows)
-            return table.commit(head + adds, "WRITE", {"mode": "Append", "partitionBy": list(new_parts)}, props=commit_properties, post=post)
+            return table.commit(head + adds, operation, {**(parameters or {}), "mode": "Append", "partitionBy": list(new_parts)}, props=commit_properties, post=post)
         if now.flag("delta.appendOnly"):
             raise TableError("the table is append-only")
         if predicate is None:
             adds = write_files(spark, table.store, rows, meta, properties=properties, target_rows=target_rows)
-            return table.commit(head + adds + [remove_of(a) for a in table.snapshot.adds], "WRITE", {"mode": "Overwrite", "partitionBy": list(new_parts)}, reads=Reads(everything=True), props=commit_properties, post=post)
+            return table.commit(head + adds + [remove_of(a) for a in table.snapshot.adds], operation, {**(parameters or {}), "mode": "Overwrite", "partitionBy": list(new_parts)}, reads=Reads(everything=True), props=commit_properties, post=post)
         p = predicate_of(spark, schema, predicate)
         fits = F.when(is_true(p.column), F.lit(True)).otherwise(F.raise_error(F.lit(f"TARN_CONSTRAINT rows must match: {predicate}")).cast("boolean"))
         new_rows = rows.where(fits)
@@ -360,7 +402,15 @@ def write_table(spark: SparkSession, table_or_path, data, *, mode: str = "error"
                 feed = old.where(p.column).withColumn(CHANGE, F.lit("delete")).unionByName(new_rows.withColumn(CHANGE, F.lit("insert")))
                 adds += write_files(spark, table.store, feed, meta, cdc=True)
         reads = dml.reads_of(table, gone, p)
-        return table.commit(head + adds + [remove_of(a) for a in gone], "WRITE", {"mode": "Overwrite", "partitionBy": list(new_parts), "predicate": predicate}, reads=reads, props=commit_properties, post=post)
+        return table.commit(head + adds + [remove_of(a) for a in gone], operation, {**(parameters or {}), "mode": "Overwrite", "partitionBy": list(new_parts), "predicate": predicate}, reads=reads, props=commit_properties, post=post)
+
+
+def _row_width(table: Table | None, df: DataFrame) -> int:
+    """Bytes of a row in a file, about: by the files there are, or by the columns' types."""
+    pairs = [(a.get("size") or 0, stats_of(a).get("numRecords") or 0) for a in table.snapshot.adds] if table else []
+    if rows := sum(n for _, n in pairs):
+        return sum(s for s, _ in pairs) // rows
+    return df._jdf.schema().defaultSize()
 
 
 def convert_to_table(spark, path: str, **how) -> Table:
@@ -378,6 +428,30 @@ def create_with_adds(spark, path: str, schema: T.StructType, adds: list[dict], m
     return table.commit([protocol_for(meta).action(), meta.action(), *({"add": a} for a in adds)], "CREATE TABLE", {"mode": "ErrorIfExists", "location": path, "metadata": meta.action()["metaData"]}, props=commit_properties, post=post, new=True)
 
 
+#: Types by the names that arrow_cast takes.
+ARROW_TYPES = {"Boolean": "BOOLEAN", "Int8": "TINYINT", "Int16": "SMALLINT", "Int32": "INT", "Int64": "BIGINT", "Float32": "FLOAT", "Float64": "DOUBLE", "Utf8": "STRING", "LargeUtf8": "STRING", "Utf8View": "STRING", "Binary": "BINARY", "LargeBinary": "BINARY", "Date32": "DATE", "Timestamp(Microsecond, None)": "TIMESTAMP_NTZ", 'Timestamp(Microsecond, Some("UTC"))': "TIMESTAMP"}
+
+
+def translated(sql: str) -> str:
+    """SQL with what Spark spells otherwise: SIMILAR TO, which is a regular expression for the whole value, and arrow_cast."""
+    # text in quotes stays as it is, but for the patterns and types that follow
+    sql = re.sub(r"\bSIMILAR\s+TO\s+'((?:[^']|'')*)'", lambda m: "RLIKE r'^(?:" + m[1] + ")$'" if "''" not in m[1] else f"RLIKE '^(?:{m[1]})$'", sql, flags=re.I)
+    while m := re.search(r"\barrow_cast\s*\(", sql, re.I):
+        depth, at, comma, quoted = 1, m.end(), None, False
+        while depth and at < len(sql):
+            c = sql[at]
+            quoted ^= c == "'"
+            if not quoted:
+                depth += (c == "(") - (c == ")")
+                comma = at if c == "," and depth == 1 else comma
+            at += 1
+        kind = sql[(comma or at) + 1 : at - 1].strip().strip("'")
+        if comma is None or depth or kind not in ARROW_TYPES and not re.fullmatch(r"Decimal128\(\d+, ?\d+\)", kind):
+            raise TableError(f"arrow_cast to {kind}")
+        sql = f"{sql[: m.start()]}CAST({sql[m.end() : comma]} AS {ARROW_TYPES.get(kind) or kind.replace('Decimal128', 'DECIMAL')}){sql[at:]}"
+    return sql
+
+
 class QueryBuilder:
     """SQL over registered tables, each at the version of its handle."""
 
@@ -412,7 +486,10 @@ class QueryBuilder:
                 raise TableError(f"{m[2]} isn't a registered table")
             self.register(m[2], self.insert(self.tables[m[2]], m[3], overwrite=m[1].upper() == "OVERWRITE"))
             return self.spark.createDataFrame([], "name string")
-        return self.spark.sql(sql)
+        if (m := re.match(r"\s*SELECT\s+COUNT\s*\(\s*(?:\*|1)\s*\)(?:\s+(?:AS\s+)?`?(\w+)`?)?\s+FROM\s+`?(\w+)`?\s*;?\s*$", sql, re.I)) and m[2] in self.tables and (m[1] or "").upper() != "FROM":
+            # from the log, as no file's rows are needed
+            return self.spark.createDataFrame([(self.tables[m[2]].count(),)], f"`{m[1] or 'count(1)'}` long")
+        return self.spark.sql(translated(sql))
 
     def insert(self, table: Table, sql: str, overwrite: bool = False) -> Table:
         """Append a query's rows to a table, or put them in place of its rows."""
