@@ -54,9 +54,9 @@ def _shard(keys: int) -> int:
 class LineIndex:
     spark: SparkSession
     postings: DataFrame
-    gone: DataFrame
+    gone: DataFrame | None
     rows: DataFrame
-    filters: DataFrame
+    filters: DataFrame | None
     shards: int | None
     gen: int = 0
     since: int = 0
@@ -65,12 +65,12 @@ class LineIndex:
     def create(cls, spark: SparkSession, expected_keys: int | None = None) -> LineIndex:
         """An empty index, with filters for the keys expected, or else for those of the first insertion."""
         empty = lambda schema: spark.createDataFrame([], schema)
-        return cls(spark, empty("key binary, doc_id long, gen int"), empty("doc_id long, gone int"), empty("key binary, n_docs long, min_doc long, flag int, gen int"), empty("shard int, filter binary, n long"), expected_keys and _shard(expected_keys))
+        return cls(spark, empty("key binary, doc_id long, gen int"), None, empty("key binary, n_docs long, min_doc long, flag int, gen int"), None, expected_keys and _shard(expected_keys))
 
     @property
     def held(self) -> DataFrame:
         """The postings (key, doc_id) of documents that weren't deleted."""
-        if self.gone.isEmpty():
+        if self.gone is None:
             return self.postings.select("key", "doc_id")
         return self.postings.join(self.gone.groupBy("doc_id").agg(F.max("gone").alias("gone")), "doc_id", "left").where("gone IS NULL OR gen > gone").select("key", "doc_id")
 
@@ -117,7 +117,7 @@ class LineIndex:
             return right.__class__({"shard": [key[0]], "filter": [f.to_bytes()], "n": [n], "full": [f.full or not fits]})
 
         touched = self._of(keys).select("shard", "key")
-        if self.filters.isEmpty():
+        if self.filters is None:
             filters = touched.groupBy("shard").applyInPandas(lambda k, a: change(k, a, a.iloc[:0].assign(filter=None, n=0)), "shard int, filter binary, n long, full boolean")
         else:
             # filters of shards without such keys go by as they are
@@ -149,7 +149,7 @@ class LineIndex:
         """The same index in one generation; this reads and writes all of it."""
         gen = F.lit(self.gen).cast("int")
         counts = self.counts.select("key", "n_docs", "min_doc", F.lit(FRESH).alias("flag"), gen.alias("gen"))
-        return replace(self, postings=materialise(self.held.withColumn("gen", gen), "postings"), gone=self.gone.limit(0), rows=materialise(counts, "line-counts"), since=0)
+        return replace(self, postings=materialise(self.held.withColumn("gen", gen), "postings"), gone=None, rows=materialise(counts, "line-counts"), since=0)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> LineIndex:
         """The index with these documents added. Rows of one doc_id are one document; the id must not be in the index yet."""
@@ -164,7 +164,7 @@ class LineIndex:
         # partial sums before the shuffle: a line that most documents hold is one row a task
         delta = new.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("min_doc"))
         row = lambda rows, flag: rows.select("key", "n_docs", "min_doc", F.lit(flag).alias("flag"), gen.alias("gen"))
-        if self.filters.isEmpty():
+        if self.filters is None:
             fresh = materialise(row(delta, FRESH), "line-counts")
             rows = fresh
         else:
@@ -184,7 +184,7 @@ class LineIndex:
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """The index as if these documents had never been inserted; ids that it doesn't hold change nothing."""
-        if self.shards is None:
+        if self.filters is None:
             return self
         gen = F.lit(self.gen + 1).cast("int")
         gone = materialise(ids.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "line-gone")
@@ -192,12 +192,12 @@ class LineIndex:
         rest = self.held.join(touched, "key", "left_semi").join(gone, "doc_id", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("min_doc"))
         rows = touched.join(rest, "key", "left").select("key", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), "min_doc", F.lit(RESET).alias("flag"), gen.alias("gen"))
         rows = materialise(rows, "line-counts")
-        return self._with(rows.where("n_docs = 0").select("key"), False, rows=self.rows.unionByName(rows), gone=self.gone.unionByName(gone.select("doc_id", gen.alias("gone"))))
+        return self._with(rows.where("n_docs = 0").select("key"), False, rows=self.rows.unionByName(rows), gone=gone.select("doc_id", gen.alias("gone")) if self.gone is None else self.gone.unionByName(gone.select("doc_id", gen.alias("gone"))))
 
     def contains(self, keys: DataFrame) -> DataFrame:
         """(key, n_docs, min_doc) of those keys (column key) that documents hold: filters first, exact counts for what they let through."""
         delta = keys.select("key").distinct().select("key", F.lit(0).cast("long").alias("n_docs"), F.lit(None).cast("long").alias("min_doc"))
-        if self.shards is None:
+        if self.filters is None:
             return self.counts
         return self.counts.join(self._probed(delta).where("maybe").select("key"), "key", "left_semi")
 
