@@ -265,7 +265,7 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(keys, "key binary, doc_id long")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", expected_keys: int | None = None, batches: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", expected_keys: int | None = None, batches: int = 2) -> DataFrame:
     """Index docs in ``batches``, by the hash of their ids, and take their repeated lines out: see ``LineIndex.apply``.
 
     The batches after the first go through the filters; the result is that of one batch. Other columns of docs are not read.
