@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -425,3 +426,53 @@ def test_batch_writer(spark, path):
     w.write(pa.table({"id": [5], "extra": [1.5]}))
     assert w.flush_and_commit() == 2 and (5, None, 1.5) in rows(Table(spark, path).to_df())
     assert w.flush_and_commit() is None
+
+
+def test_zorder_of_any_type(spark, path):
+    """Strings that begin alike, large integers, dates, structs and nulls: files are ranges of the column, and all rows stay."""
+    df = spark.range(400).selectExpr("concat('a long common beginning ', lpad(cast((id * 37) % 400 as string), 4, '0')) s", "9007199254740992 + (id * 53) % 400 big", "date_add(date'2020-01-01', cast((id * 7) % 400 as int)) d", "if(id % 50 = 0, null, named_struct('x', (id * 11) % 400, 'y', 'z')) st", "cast((id * 3) % 400 as decimal(20, 2)) n", "map('k', id) m")
+    for k, (c, p) in enumerate((("s", "s = 'a long common beginning 0005'"), ("big", "big = 9007199254740999"), ("d", "d = date'2020-03-01'"), ("n", "n < 10"))):
+        t = write_table(spark, f"{path}{k}", df.repartition(4))
+        t.optimize().z_order([c], target_size=2000)
+        assert 1 <= len(t.files_scanned(p)) < len(t.file_uris()) and rows(t.to_df().drop("m")) == rows(df.drop("m"))
+    t.optimize().z_order(["st", "d"], target_size=2000)
+    assert rows(t.to_df().drop("m")) == rows(df.drop("m"))
+    with pytest.raises(TableError, match="order"):
+        t.optimize().z_order(["m"])
+
+
+def test_translated_sql():
+    from tarn.table import translated
+
+    assert translated("SELECT a SIMILAR TO '(x|y)%' FROM t") == "SELECT a RLIKE r'^(?:(x|y)%)$' FROM t"
+    assert translated("SELECT arrow_cast(f(a, ','), 'Int32'), arrow_cast(b, 'Decimal128(10, 2)')") == "SELECT CAST(f(a, ',') AS INT), CAST(b AS DECIMAL(10, 2))"
+    with pytest.raises(TableError):
+        translated("SELECT arrow_cast(a, 'Whatever')")
+
+
+def test_generated_by_reference(spark, path):
+    """A generated column follows the columns that its expression reads, not those whose names it contains."""
+    t = Table.create(spark, path, T.StructType([T.StructField("a", T.IntegerType()), T.StructField("ab", T.IntegerType()), T.StructField("g", T.IntegerType(), True, {"delta.generationExpression": "ab * 2"})]))
+    write_table(spark, t, spark.createDataFrame([(1, 2)], "a int, ab int"), mode="append")
+    t.update({"a": "7"})
+    t.update({"ab": "5"})
+    assert rows(t.to_df()) == [(7, 5, 10)]
+
+
+def test_vacuum_without_listing(spark, path):
+    t = write_table(spark, path, spark.range(5).coalesce(1))
+    old = t.file_uris()[0]
+    write_table(spark, t, spark.range(2).coalesce(1), mode="overwrite")
+    t.store.write("stray.parquet", b"x")
+    later = int(time.time() * 1000) + 60_000
+    listing = t.store.list
+    t.store.list = lambda folder="", recursive=False: listing(folder) if folder and not recursive else pytest.fail("a listing")
+    assert t.vacuum(0, dry_run=False, enforce_retention_duration=False, now=later) == [os.path.relpath(old, path)]
+    assert not os.path.exists(old) and os.path.exists(f"{path}/stray.parquet") and rows(t.to_df()) == [(0,), (1,)]
+
+
+def test_object_stores_are_refused(spark):
+    from tarn.sources.store import Store
+
+    with pytest.raises(OSError, match="oneWriter"):
+        Store(spark, "s3a://bucket/t").create("_delta_log/0.json", b"")
