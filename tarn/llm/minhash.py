@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, materialise, partitions
+from ._common import bounded_batches, held, materialise, partitions
 from .words import scramble, word_hashes
 
 SHINGLE = 5
@@ -145,12 +145,14 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written, so that the join reads it as a plain side and Spark can split a hot node's rows on the other
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")), name, small=True)
-        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), name, small=True)
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), name, small=True)
+        # held, so that the join reads it as a plain side and Spark can split a hot node's rows on the other
+        mins = held(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")))
+        large = held(both.join(mins, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = held(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name, small=True)
+        for done in (least, large, mins):
+            done.unpersist()
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -219,9 +221,9 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), siz
     all_docs = materialise(digests(docs, size, *banding(threshold[0] / threshold[1]), id_col, text_col), "digests")
     sets = all_docs.where("fingerprint IS NOT NULL AND id IS NOT NULL")
     same = sets.groupBy("fingerprint").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    same = materialise(same, "classes")
+    same = materialise(same, "classes", small=True)
     banded = same.select("rep", F.explode("bands").alias("band"))
-    shared = materialise(banded.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least"), "bands")
+    shared = materialise(banded.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least"), "bands", small=True)
     stars = banded.join(shared, "band").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     clusters = components(stars, "clusters")
     members = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())

@@ -6,10 +6,12 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from tarn.llm._common import materialise
 from tarn.llm.content_sort import content_sort
 from tarn.llm.cuckoo import CuckooFilter
 from tarn.llm.lines import LineIndex, dedup_lines, line_key
@@ -211,6 +213,48 @@ def brute_lines(pairs):
 LINES = [(1, "A shared line here\nown one\n\nééééééééééé"), (2, "  a SHARED line here\t\nééééééééééé\nshort"), (3, None), (4, ""), (5, "short\nshort\na shared line here\na shared line here"), (6, "only in this one, twice\nonly in this one, twice"), (None, "a shared line here"), (2, "a shared line here"), (7, "x" * 300_000 + "\n" + "x" * 300_000), (8, "x" * 300_000), (9, "Éééééééééééé"), (10, "éééééééééééé"), (11, "a shared line here")]
 
 
+def chmods(spark, tmp_path, work):
+    """How often Spark's JVM starts chmod while work runs."""
+    jvm = spark.sparkContext._jvm
+    log = jvm.jdk.jfr.Recording()
+    log.enable("jdk.ProcessStart")
+    log.start()
+    out = work()
+    path = jvm.java.io.File(str(tmp_path / "processes.jfr")).toPath()
+    log.dump(path)
+    log.close()
+    return out, sum("chmod" in e.getString("command") for e in jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(path))
+
+
+def test_tables_start_few_processes(spark, tmp_path):
+    """Each of them counts all of an executor's memory once more for a moment: one a file, one for its task, four a table."""
+    done, n = chmods(spark, tmp_path, lambda: materialise(spark.range(0, 800, 1, 8), "few"))
+    assert done.count() == 800 and n <= 2 * 8 + 4
+
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 500)], "a long, b long")
+    done, n = chmods(spark, tmp_path, lambda: components(edges, "few-links"))
+    assert {(r.node, r.component) for r in done.collect()} == {(i, 0) for i in range(1, 500)}
+    tables = len(list(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("tarn-few-links-*")))
+    assert n <= 6 * tables and tables <= 8  # one a round, and one before them
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
+def test_tables_tell_of_damage(spark):
+    """Written tables have no files of checksums, but their pages do."""
+    spark.conf.set("spark.sql.parquet.compression.codec", "uncompressed")
+    try:
+        done = materialise(spark.createDataFrame([("some text",)], "t string"), "damaged")
+    finally:
+        spark.conf.unset("spark.sql.parquet.compression.codec")
+    path = Path(done.inputFiles()[0].removeprefix("file://"))
+    data = path.read_bytes()
+    assert done.first().t == "some text" and b"some text" in data
+    path.write_bytes(data.replace(b"some text", b"same text", 1))
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        done.collect()
+
+
 def test_lines(spark):
     got = dedup_lines(frame(spark, LINES))
     assert sorted(map(tuple, got.collect()), key=repr) == brute_lines(LINES)
