@@ -443,7 +443,8 @@ def stream_commits(spark, sf):
     path = scratch(spark, "table")
     write = append_batches(spark, path, "label", configuration={"delta.targetFileSize": "20000"})
     for k in (0, 1):
-        write(e.where(f"event_id % 2 = {k}").coalesce(1), k)
+        # a small batch is one task, a large one many, so that a task's files don't grow with the batch
+        write(e.where(f"event_id % 2 = {k}").hint("rebalance"), k)
     t = Table(spark, path)
     return facts(spark, n=t.count(), more=len(t.file_uris()) > 4, operation=t.history(1)[0]["operation"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tarn.plans import operations
+from tarn.table import Table
 
 
 @pytest.mark.parametrize("rows", ["o_orderkey >= 500", "o_orderstatus <> 'F'", "o_orderstatus = 'F'", "false"])
@@ -14,3 +15,19 @@ def test_arrow_dataset_of_any_orders(spark, tmp_path, rows):
     every.write.parquet(f"{tmp_path}/orders.parquet")
     got = operations.QUERIES["arrow_dataset"](spark, str(tmp_path))
     assert got.columns == every.columns and sorted(got.collect()) == sorted(every.where("o_orderkey < 500 AND o_orderstatus = 'F'").collect())
+
+
+def test_stream_batches_are_many_tasks(spark, tmp_path, monkeypatch):
+    """A task's files don't grow with the batch."""
+    spark.range(0, 20_000, 1, 1).selectExpr("id AS event_id", "hash(id) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(operations, "scratch", lambda *_: f"{tmp_path}/t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "10k")
+    try:
+        assert operations.QUERIES["stream_commits"](spark, str(tmp_path)).collect() == [(20_000, True, "STREAMING UPDATE")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    by_write: dict = {}
+    for f in Table(spark, f"{tmp_path}/t").file_uris():
+        folder, name = f.rsplit("/", 2)[1:]
+        by_write.setdefault(folder, set()).add(name.split("-")[1])
+    assert len(by_write) == 2 and all(len(tasks) > 1 for tasks in by_write.values())
