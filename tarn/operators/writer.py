@@ -19,6 +19,8 @@ from ..sources.store import Store, encoded
 
 CDC_FOLDER = "_change_data"
 CHANGE = "_change_type"
+#: Files that a task of a write with few partition values has open at once.
+WRITERS = 8
 
 
 @dataclass(frozen=True)
@@ -235,12 +237,14 @@ def statistics(spark: SparkSession, store: Store, paths: list[str], metadata: Me
     return {p: out[p.rsplit("/", 1)[-1]] for p in paths if p.rsplit("/", 1)[-1] in out}
 
 
-def write_files(spark: SparkSession, store: Store, df: DataFrame, metadata: Metadata, *, folder: str | None = None, properties: WriterProperties | None = None, data_change: bool = True, sort: bool = False, target_rows: int | None = None, cdc: bool = False) -> list[dict]:
+def write_files(spark: SparkSession, store: Store, df: DataFrame, metadata: Metadata, *, folder: str | None = None, properties: WriterProperties | None = None, data_change: bool = True, sort: bool = False, target_rows: int | None = None, cdc: bool = False, few_partitions: bool = False) -> list[dict]:
     """Write df's rows (the table's columns) and return the add (or cdc) actions.
 
     Files go straight to a folder of this write's own under the table: nothing is moved, and files that no commit names
     are vacuum's. Partitioned tables are shuffled by their partition columns with REBALANCE, so that Spark splits a hot
     partition over several tasks and puts small ones together. ``sort`` keeps df's own order and partitioning.
+    ``few_partitions`` says that there are few partition values: rows stay in their tasks, unsorted, and each task writes a
+    file of each value (beyond WRITERS values it sorts what is left).
     """
     parts = [f for f in metadata.schema if f.name in metadata.partition_columns]
     folder = folder or f"{CDC_FOLDER + '/' if cdc else ''}w-{uuid.uuid4().hex}"
@@ -248,7 +252,7 @@ def write_files(spark: SparkSession, store: Store, df: DataFrame, metadata: Meta
     names = [physical_name(f) for f in parts]
     texts = [partition_text(F.col(f"`{f.name}`"), f.dataType).alias(n) for f, n in zip(parts, names, strict=True)]
     out = df.select(*kept, *([F.col(CHANGE)] if cdc else []), *texts)
-    if parts and not sort:
+    if parts and not sort and not few_partitions:
         out = out.hint("rebalance", *[F.col(f"`{n}`") for n in names])
     writer = out.write.mode("append").options(**(properties or WriterProperties()).options())
     if target_rows:
@@ -256,7 +260,8 @@ def write_files(spark: SparkSession, store: Store, df: DataFrame, metadata: Meta
     if parts:
         writer = writer.partitionBy(*names)
     try:
-        with session(spark, spark__sql__parquet__outputTimestampType="TIMESTAMP_MICROS", spark__sql__parquet__writeLegacyFormat="false"):
+        unsorted = {"spark__sql__maxConcurrentOutputFileWriters": str(WRITERS)} if parts and few_partitions and not sort else {}
+        with session(spark, spark__sql__parquet__outputTimestampType="TIMESTAMP_MICROS", spark__sql__parquet__writeLegacyFormat="false", **unsorted):
             writer.parquet(store.absolute(folder))
     except Exception as e:
         if (why := violation(e)) is not None:

@@ -331,12 +331,13 @@ def frame_of(spark: SparkSession, data) -> DataFrame:
     return spark.createDataFrame(data)
 
 
-def write_table(spark: SparkSession, table_or_path, data, *, mode: str = "error", partition_by=None, schema_mode: str | None = None, predicate: str | None = None, name=None, description=None, configuration=None, safe_cast: bool = False, target_rows: int | None = None, target_file_size: int | None = None, operation: str = "WRITE", parameters: dict | None = None, properties=None, commit_properties=None, post=None) -> Table | None:
+def write_table(spark: SparkSession, table_or_path, data, *, mode: str = "error", partition_by=None, schema_mode: str | None = None, predicate: str | None = None, name=None, description=None, configuration=None, safe_cast: bool = False, target_rows: int | None = None, target_file_size: int | None = None, few_partitions: bool = False, operation: str = "WRITE", parameters: dict | None = None, properties=None, commit_properties=None, post=None) -> Table | None:
     """Append to, overwrite (wholly, or where the predicate is true), or create a table.
 
     Schema modes: none (columns must fit), merge (new columns are added) and overwrite (with mode overwrite only).
     Files hold ``target_rows`` rows at most, or by their estimated width about ``target_file_size`` bytes (or the table's
-    delta.targetFileSize). ``operation`` and ``parameters`` are what the log says of the commit.
+    delta.targetFileSize). ``few_partitions`` says that the partition columns have few values, so that rows needn't be
+    shuffled by them. ``operation`` and ``parameters`` are what the log says of the commit.
     """
     table = table_or_path if isinstance(table_or_path, Table) else Table(spark, table_or_path, load=False)
     df = frame_of(spark, data)
@@ -358,7 +359,7 @@ def write_table(spark: SparkSession, table_or_path, data, *, mode: str = "error"
         if not there:
             fields = [T.StructField(f.name, f.dataType, True, f.metadata) for f in df.schema]
             meta = Table._new_metadata(T.StructType(fields), partition_by, name, description, configuration)
-            adds = write_files(spark, table.store, checked(conform(df, meta.schema), meta), meta, properties=properties, target_rows=target_rows)
+            adds = write_files(spark, table.store, checked(conform(df, meta.schema), meta), meta, properties=properties, target_rows=target_rows, few_partitions=few_partitions)
             return table.commit([protocol_for(meta).action(), meta.action(), *adds], operation, {**(parameters or {}), "mode": "ErrorIfExists" if mode == "error" else mode.title(), "partitionBy": list(meta.partition_columns)}, props=commit_properties, post=post, new=True, blind=True)
         now = table.snapshot.metadata
         parts = tuple([partition_by] if isinstance(partition_by, str) else partition_by or ())
@@ -379,12 +380,12 @@ def write_table(spark: SparkSession, table_or_path, data, *, mode: str = "error"
             wanted = protocol_for(meta, table.snapshot.protocol)
             head = ([wanted.action()] if wanted != table.snapshot.protocol else []) + [meta.action()]
         if mode == "append":
-            adds = write_files(spark, table.store, rows, meta, properties=properties, target_rows=target_rows)
+            adds = write_files(spark, table.store, rows, meta, properties=properties, target_rows=target_rows, few_partitions=few_partitions)
             return table.commit(head + adds, operation, {**(parameters or {}), "mode": "Append", "partitionBy": list(new_parts)}, props=commit_properties, post=post)
         if now.flag("delta.appendOnly"):
             raise TableError("the table is append-only")
         if predicate is None:
-            adds = write_files(spark, table.store, rows, meta, properties=properties, target_rows=target_rows)
+            adds = write_files(spark, table.store, rows, meta, properties=properties, target_rows=target_rows, few_partitions=few_partitions)
             return table.commit(head + adds + [remove_of(a) for a in table.snapshot.adds], operation, {**(parameters or {}), "mode": "Overwrite", "partitionBy": list(new_parts)}, reads=Reads(everything=True), props=commit_properties, post=post)
         p = predicate_of(spark, schema, predicate)
         fits = F.when(is_true(p.column), F.lit(True)).otherwise(F.raise_error(F.lit(f"TARN_CONSTRAINT rows must match: {predicate}")).cast("boolean"))
@@ -392,12 +393,12 @@ def write_table(spark: SparkSession, table_or_path, data, *, mode: str = "error"
         cdf = now.flag("delta.enableChangeDataFeed")
         if p.columns <= set(now.partition_columns):
             gone = exact_partitions(spark, table.snapshot, table.snapshot.adds, p)
-            adds = write_files(spark, table.store, new_rows, meta, properties=properties, target_rows=target_rows)
+            adds = write_files(spark, table.store, new_rows, meta, properties=properties, target_rows=target_rows, few_partitions=few_partitions)
         else:
             candidates = prune(spark, table.snapshot, table.snapshot.adds, p)
             gone = dml.touched_files(table, candidates, p)[0] if candidates else []
             old = conform(scan(spark, table.store, table.snapshot, gone), schema)
-            adds = write_files(spark, table.store, new_rows.unionByName(old.where(~is_true(p.column))), meta, properties=properties, target_rows=target_rows)
+            adds = write_files(spark, table.store, new_rows.unionByName(old.where(~is_true(p.column))), meta, properties=properties, target_rows=target_rows, few_partitions=few_partitions)
             if cdf:
                 feed = old.where(p.column).withColumn(CHANGE, F.lit("delete")).unionByName(new_rows.withColumn(CHANGE, F.lit("insert")))
                 adds += write_files(spark, table.store, feed, meta, cdc=True)

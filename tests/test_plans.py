@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from tarn.plans import operations
-from tarn.table import Table
+from tarn.plans import operations, relational
+from tarn.table import Table, write_table
 
 
 @pytest.mark.parametrize("rows", ["o_orderkey >= 500", "o_orderstatus <> 'F'", "o_orderstatus = 'F'", "false"])
@@ -31,3 +31,18 @@ def test_stream_batches_are_many_tasks(spark, tmp_path, monkeypatch):
         folder, name = f.rsplit("/", 2)[1:]
         by_write.setdefault(folder, set()).add(name.split("-")[1])
     assert len(by_write) == 2 and all(len(tasks) > 1 for tasks in by_write.values())
+
+
+def test_inputs_are_written_without_a_shuffle(spark, tmp_path):
+    """Tables with few partition values: each task writes its own rows, in a file of each value."""
+    rows = spark.range(0, 400, 1, 4).selectExpr("id AS o_orderkey", "element_at(array('F', 'O', 'P'), CAST(1 + id % 3 AS INT)) AS o_orderstatus")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    t = relational._table(spark, str(tmp_path), "orders")
+    assert len(t.file_uris()) == 12 and sorted(t.to_df().collect()) == sorted(rows.collect())
+
+
+def test_few_partitions_that_are_many(spark, tmp_path):
+    """More values than a task has files open for, nulls among them."""
+    rows = spark.range(0, 500, 1, 2).selectExpr("id", "nullif(id % 50, 7) AS k")
+    t = write_table(spark, f"{tmp_path}/t", rows, partition_by="k", few_partitions=True)
+    assert len(t.partitions()) == 50 and sorted(t.to_df().collect(), key=str) == sorted(rows.collect(), key=str)
