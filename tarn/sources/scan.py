@@ -13,6 +13,8 @@ from .snapshot import Snapshot, TableError, physical_name, relative, stats_of
 from .store import Store, uri_of
 
 FILE, ROW = "__tarn_file", "__tarn_row"
+#: Files whose partition values are broadcast, some MB at most; with more, Spark sizes the join.
+BROADCAST_FILES = 10_000
 
 
 def physical_schema(schema: T.StructType, partitions) -> T.StructType:
@@ -71,8 +73,8 @@ def scan(spark: SparkSession, store: Store, snapshot: Snapshot, adds: list[dict]
     """Rows of a snapshot's files (all, or those in ``adds``), with its columns in order.
 
     With ``identity``, FILE (as Spark spells it) and ROW follow. The predicate prunes files only: the caller filters.
-    Partition values come from the log, by a join on the file that Spark sizes; a file of the scan that the log doesn't
-    know is an error. Deletion vectors are an anti join on (file, row).
+    Partition values come from the log, by a join on the file, whose rows don't move unless there are more than
+    BROADCAST_FILES; a file of the scan that the log doesn't know is an error. Deletion vectors are an anti join on (file, row).
     """
     meta = snapshot.metadata
     schema = schema or meta.schema
@@ -95,6 +97,8 @@ def scan(spark: SparkSession, store: Store, snapshot: Snapshot, adds: list[dict]
         values = {(uri_of(p), *((a.get("partitionValues") or {}).get(physical_name(f)) for f in parts)) for p, a in zip(paths, adds, strict=True)}
         rows = [(r[0], True, *(from_partition(v, f.dataType) for v, f in zip(r[1:], parts, strict=True))) for r in values]
         listed = spark.createDataFrame(rows, T.StructType([T.StructField(FILE, T.StringType()), T.StructField("__listed", T.BooleanType())] + [T.StructField(f.name, f.dataType, True) for f in parts]))
+        if len(rows) <= BROADCAST_FILES:
+            listed = F.broadcast(listed)  # Spark doesn't know how few they are
         df = df.join(listed, FILE, "left").where(F.coalesce("__listed", F.raise_error(F.concat(F.lit("not in the log: "), FILE)).cast("boolean"))).drop("__listed")
     if vectors:
         df = df.join(deleted_frame(spark, store, vectors, FILE, ROW), [FILE, ROW], "left_anti")

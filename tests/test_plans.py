@@ -46,3 +46,10 @@ def test_few_partitions_that_are_many(spark, tmp_path):
     rows = spark.range(0, 500, 1, 2).selectExpr("id", "nullif(id % 50, 7) AS k")
     t = write_table(spark, f"{tmp_path}/t", rows, partition_by="k", few_partitions=True)
     assert len(t.partitions()) == 50 and sorted(t.to_df().collect(), key=str) == sorted(rows.collect(), key=str)
+
+
+def test_partition_values_move_no_rows(spark, tmp_path):
+    """The join that gives rows their partition values is by broadcast."""
+    t = write_table(spark, f"{tmp_path}/t", spark.range(100).selectExpr("id", "id % 3 AS k"), partition_by="k")
+    plan = t.to_df()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
