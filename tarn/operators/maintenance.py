@@ -112,8 +112,8 @@ def _commit_optimize(table, actions, params, metrics, commit_properties, post) -
 RANGES, SAMPLED, BOUNDARY = 1024, 20, 4096
 
 
-def zorder_key(df: DataFrame, columns: list[str], rows: int) -> F.Column:
-    """An interleaving of the columns' range numbers, nulls first, as a binary string's column.
+def with_zorder_key(df: DataFrame, columns: list[str], rows: int, name: str) -> DataFrame:
+    """df with an interleaving of the columns' range numbers, nulls first, in a column: a number, or a binary string if it is long.
 
     Each column is cut into at most RANGES ranges at quantiles of a sample of its own values, whatever their type, so that
     the key's bits are spread evenly, strings that begin alike and large integers included; all in expressions. ``rows`` is
@@ -133,13 +133,35 @@ def zorder_key(df: DataFrame, columns: list[str], rows: int) -> F.Column:
 
     picks = [picked(F.col(f"v{i}")).alias(f"c{i}") for i in range(len(columns))]
     cuts = values.select(*picks).first()
+    limits = [[_literal(x, types[c]) for x in cuts[f"c{i}"] or ()] for i, c in enumerate(columns)]
+    before, n = df.columns, len(columns)
+    df = _with_ranks(df, columns, limits)
     width = (RANGES - 1).bit_length() + 1
-    digits = []
-    for i, c in enumerate(columns):
-        limits = cuts[f"c{i}"]
-        rank = F.lit(1) + _range_of(F.col(c), [_literal(x, types[c]) for x in limits]) if limits else F.lit(1)
-        digits.append(F.lpad(F.bin(F.when(F.col(c).isNull(), F.lit(0)).otherwise(rank).cast("long")), width, "0"))
-    return F.concat(*[F.substring(d, b + 1, 1) for b in range(width) for d in digits])
+    if n * width <= 63:
+        spread = F.lit([sum((r >> b & 1) << b * n for b in range(width)) for r in range(RANGES + 1)]).cast("array<bigint>")
+        df = df.withColumn("__tarn_spread", spread)
+        key = F.lit(0).cast("long")
+        for i in range(n):
+            key = key.bitwiseOR(F.shiftleft(F.get("__tarn_spread", F.col(f"__tarn_at{i}")), n - 1 - i))
+    else:
+        digits = [F.lpad(F.bin(F.col(f"__tarn_at{i}").cast("long")), width, "0") for i in range(n)]
+        key = F.concat(*[F.substring(d, b + 1, 1) for b in range(width) for d in digits])
+    return df.select(*[F.col(f"`{c}`") for c in before], key.alias(name))
+
+
+def _with_ranks(df: DataFrame, columns: list[str], limits: list[list[F.Column]]) -> DataFrame:
+    """df with __tarn_at0...: 0 for null, else one more than the sorted limits at or below each column's value.
+
+    A search by halves, each step a projection of its own: Spark compiles them, as it doesn't compile lambda functions.
+    """
+    edges = {i: F.array(*x).alias(f"__tarn_edges{i}") for i, x in enumerate(limits) if x}
+    df = df.select("*", *edges.values(), *[F.lit(0).alias(f"__tarn_at{i}") for i in range(len(columns))])
+    for b in range(max(map(len, limits)).bit_length() - 1, -1, -1):
+        step = 1 << b
+        at = {f"__tarn_at{i}": F.col(f"__tarn_at{i}") for i in edges}
+        # beyond the last limit there is null, which isn't at or below anything
+        df = df.withColumns({k: F.when(F.get(f"__tarn_edges{i}", x + (step - 1)) <= F.col(columns[i]), x + step).otherwise(x) for i, (k, x) in zip(edges, at.items(), strict=True)})
+    return df.withColumns({f"__tarn_at{i}": F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.col(f"__tarn_at{i}") + 1) for i, c in enumerate(columns)})
 
 
 def _orderable(t: T.DataType) -> bool:
@@ -158,13 +180,6 @@ def _literal(value, t: T.DataType) -> F.Column:
     return F.lit(bytes(value) if isinstance(value, bytearray) else value).cast(t)
 
 
-def _range_of(v: F.Column, limits: list[F.Column]) -> F.Column:
-    """How many of the sorted limits are at or below v: a search by halves, in expressions."""
-    edges, n = F.array(*limits), len(limits)
-    widths = F.lit([1 << b for b in range(n.bit_length(), -1, -1)])
-    return F.aggregate(widths, F.lit(0), lambda at, w: F.when((at + w <= n) & (F.get(edges, at + w - 1) <= v), at + w).otherwise(at))
-
-
 def zorder(table, columns: list[str], filters=None, size: int | None = None, properties=None, commit_properties=None, post=None) -> dict:
     """Rewrite all files so that rows near in the columns are near in the files, partition by partition."""
     began, meta = time.time(), table.snapshot.metadata
@@ -186,7 +201,7 @@ def zorder(table, columns: list[str], filters=None, size: int | None = None, pro
         rows = scan(table.spark, table.store, table.snapshot, adds)
         n = max(1, -(-sum(a["size"] for a in adds) // target_size(table, size)))
         counts = [table.rows_of(a) for a in adds]
-        rows = rows.withColumn("__tarn_z", zorder_key(rows, columns, rows.count() if None in counts else sum(counts)))
+        rows = with_zorder_key(rows, columns, rows.count() if None in counts else sum(counts), "__tarn_z")
         by = [*[F.col(f"`{c}`") for c in meta.partition_columns], F.col("__tarn_z")]
         rows = (rows.repartitionByRange(n, *by) if n > 1 else rows.coalesce(1)).sortWithinPartitions(*by).drop("__tarn_z")
         added = write_files(table.spark, table.store, rows, meta, properties=properties or WriterProperties(compression="zstd", compression_level=4), data_change=False, sort=True)

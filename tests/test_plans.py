@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pytest
 
+from tarn.operators import maintenance
 from tarn.plans import operations, relational
 from tarn.table import Table, write_table
 
@@ -53,3 +56,19 @@ def test_partition_values_move_no_rows(spark, tmp_path):
     t = write_table(spark, f"{tmp_path}/t", spark.range(100).selectExpr("id", "id % 3 AS k"), partition_by="k")
     plan = t.to_df()._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("n", [2, 6])
+def test_zorder_key_without_lambdas(spark, n):
+    """The key orders rows as the interleaved range numbers do; Spark compiles it, of up to five columns as a number."""
+    values = [[None if (x * (7 + c)) % 11 == 0 else (x * (31 + c)) % 97 for c in range(n)] for x in range(200)]
+    df = spark.createDataFrame([(x, *v) for x, v in enumerate(values)], "x int, " + ", ".join(f"c{c} int" for c in range(n)))
+    keyed = maintenance.with_zorder_key(df, [f"c{c}" for c in range(n)], 200, "z")
+    ranks = []
+    for c in range(n):
+        known = sorted(v[c] for v in values if v[c] is not None)
+        limits = sorted({known[k * len(known) // 1024] for k in range(1, 1024) if known})
+        ranks.append([0 if v[c] is None else 1 + bisect_right(limits, v[c]) for v in values])
+    want = {x: "".join(f"{ranks[c][x]:011b}"[b] for b in range(11) for c in range(n)) for x in range(200)}
+    assert {r["x"]: r["z"] if n > 5 else f"{r['z']:022b}" for r in keyed.collect()} == want
+    assert "lambda" not in keyed._jdf.queryExecution().optimizedPlan().toString()
