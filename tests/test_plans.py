@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 
 import pytest
@@ -72,3 +73,15 @@ def test_zorder_key_without_lambdas(spark, n):
     want = {x: "".join(f"{ranks[c][x]:011b}"[b] for b in range(11) for c in range(n)) for x in range(200)}
     assert {r["x"]: r["z"] if n > 5 else f"{r['z']:022b}" for r in keyed.collect()} == want
     assert "lambda" not in keyed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_window_rank_in_slices(spark, tmp_path):
+    """Ranks over ties, nulls and a status of its own null are what the SQL gives, and no task sorts a whole status."""
+    rows = spark.range(0, 3000, 1, 2).selectExpr("id % 2900 AS o_orderkey", "nullif(element_at(array('F', 'O', 'P'), CAST(1 + id % 3 AS INT)), 'P') AS o_orderstatus", "concat('p', nullif(id % 5, 3)) AS o_orderpriority", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN 10D ELSE CAST(hash(id) % 500 AS DOUBLE) END AS o_totalprice")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    got = relational.QUERIES["window_rank"](spark, str(tmp_path))
+    rows.createOrReplaceTempView("ranked_orders")
+    want = spark.sql(relational.TEXTS["window_rank"].replace("FROM orders", "FROM ranked_orders"))
+    assert got.schema.simpleString() == want.schema.simpleString() and sorted(got.collect()) == sorted(want.collect())
+    keys = re.findall(r"windowspecdefinition\(([^\n]*?)#\d+L?, ([^\n]*?)#", got._jdf.queryExecution().optimizedPlan().toString())
+    assert ("o_orderstatus", "slice") in keys
