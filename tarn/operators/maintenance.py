@@ -135,7 +135,7 @@ def with_zorder_key(df: DataFrame, columns: list[str], rows: int, name: str) ->
     cuts = values.select(*picks).first()
     limits = [[_literal(x, types[c]) for x in cuts[f"c{i}"] or ()] for i, c in enumerate(columns)]
     before, n = df.columns, len(columns)
-    df = _with_ranks(df, columns, limits)
+    df = with_ranks(df, columns, limits)
     width = (RANGES - 1).bit_length() + 1
     if n * width <= 63:
         spread = F.lit([sum((r >> b & 1) << b * n for b in range(width)) for r in range(RANGES + 1)]).cast("array<bigint>")
@@ -149,7 +149,7 @@ def with_zorder_key(df: DataFrame, columns: list[str], rows: int, name: str) ->
     return df.select(*[F.col(f"`{c}`") for c in before], key.alias(name))
 
 
-def _with_ranks(df: DataFrame, columns: list[str], limits: list[list[F.Column]]) -> DataFrame:
+def with_ranks(df: DataFrame, columns: list[str], limits: list[list[F.Column]]) -> DataFrame:
     """df with __tarn_at0...: 0 for null, else one more than the sorted limits at or below each column's value.
 
     A search by halves, each step a projection of its own: Spark compiles them, as it doesn't compile lambda functions.

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.maintenance import with_ranks
 from ..sources.workspace import scratch
 from ..table import QueryBuilder, Table, write_table
 
@@ -112,9 +113,9 @@ def window_rank(spark, sf):
     the slices before; dense ranks of the few priorities, joined to the rows. Equal prices are in one slice, so ranks are exact."""
     rows = _table(spark, sf, "orders").to_df().select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
     cuts = rows.agg(F.percentile_approx("o_totalprice", [k / SLICES for k in range(1, SLICES)], 1000)).first()[0] or []
-    at = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda x: x <= F.col("o_totalprice"))) if cuts else F.lit(0)
-    # null prices come last
-    rows = rows.withColumn("slice", F.when(F.col("o_totalprice").isNull(), F.lit(-1)).otherwise(at))
+    # slice 0 is of null prices, which come last
+    rows = with_ranks(rows, ["o_totalprice"], [[F.lit(x) for x in sorted(set(cuts))]]).withColumnRenamed("__tarn_at0", "slice")
+    rows = rows.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "slice")
     sizes = rows.groupBy("o_orderstatus", "slice").count()
     above = Window.partitionBy("o_orderstatus").orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col("o_orderstatus").alias("s"), F.col("slice").alias("k"), F.coalesce(F.sum("count").over(above), F.lit(0)).alias("above"))
